@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import secrets
+from foliograph.llm import chat, mixing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_secret_scan": secrets.query}
+    return {
+        "op3_secret_scan": secrets.query,
+        "op9_mixing": mixing.query,
+        "op10_chat_format": chat.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.sql()}
