@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import chat, mixing, secrets
+from foliograph.llm import chat, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.query,
         "op3_secret_scan": secrets.query,
         "op9_mixing": mixing.query,
         "op10_chat_format": chat.query,
