@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,34 @@ def _with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
     """pairs (u, v) with the m of u; the pairs of a hub u are dealt over SALTS tasks."""
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first `keys` columns (numbers) as tables that never cut a run of equal keys; holds one run besides a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        if held and any(c[0] != held[-1].column(i)[-1].as_py() for i, c in enumerate(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        other = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            other |= c != c[-1]
+        last = int(np.nonzero(other)[0][-1]) + 1 if other.any() else 0
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def run_bounds(table: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal keys."""
+    change = np.zeros(max(0, table.num_rows - 1), bool)
+    for i in range(keys):
+        change |= np.diff(table.column(i).to_numpy()) != 0
+    cut = np.nonzero(change)[0] + 1
+    return np.r_[0, cut], np.r_[cut, table.num_rows]

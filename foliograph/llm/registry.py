@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import chat, mixing, secrets, simhash
+from foliograph.llm import chat, embeddings, mixing, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op2_embedding_dedup": embeddings.query,
         "op3_secret_scan": secrets.query,
+        "op8_quality_rules": quality.query,
         "op9_mixing": mixing.query,
         "op10_chat_format": chat.query,
     }
