@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import chat, embeddings, mixing, quality, secrets, simhash
+from foliograph.llm import chat, embeddings, mixing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.query,
         "op2_embedding_dedup": embeddings.query,
         "op3_secret_scan": secrets.query,
+        "op5_toxicity": toxicity.query,
         "op8_quality_rules": quality.query,
         "op9_mixing": mixing.query,
         "op10_chat_format": chat.query,
