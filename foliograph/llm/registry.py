@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import chat, embeddings, mixing, packing, quality, secrets, simhash, toxicity
+from foliograph.llm import chat, embeddings, mixing, packing, quality, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.query,
         "op2_embedding_dedup": embeddings.query,
         "op3_secret_scan": secrets.query,
+        "op4_substring_dedup": substrings.query,
         "op5_toxicity": toxicity.query,
         "op7_packing": packing.query,
         "op8_quality_rules": quality.query,
