@@ -105,3 +105,18 @@ def run_bounds(table: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
         change |= np.diff(table.column(i).to_numpy()) != 0
     cut = np.nonzero(change)[0] + 1
     return np.r_[0, cut], np.r_[cut, table.num_rows]
+
+
+def paired_chunks(rows: DataFrame, keys: list[str], by: str, chunk: int) -> DataFrame:
+    """rows with (i, j, side): the members of a key's list are dealt by hash of `by` to chunks of about `chunk`, and a list of several chunks has
+    a group for each pair i <= j, in which side 0 holds chunk i and side 1 chunk j. So all pairs of a list meet, and no group holds more than two chunks.
+
+    The table of long lists has at most rows / chunk rows; it is broadcast when its measured count is at most BROADCAST_ROWS.
+    """
+    lists = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks"))
+    lists = written(lists.filter("_chunks > 1"), "long_lists")
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    joined = rows.join(F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists, same, "left")
+    n = F.coalesce("_chunks", F.lit(1))
+    joined = joined.withColumn("_own", F.pmod(F.xxhash64(by), n).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return joined.select(*rows.columns, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import chat, embeddings, mixing, packing, quality, secrets, simhash, substrings, toxicity
+from foliograph.llm import chat, embeddings, mixing, packing, paragraphs, quality, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": secrets.query,
         "op4_substring_dedup": substrings.query,
         "op5_toxicity": toxicity.query,
+        "op6_paragraph_dedup": paragraphs.query,
         "op7_packing": packing.query,
         "op8_quality_rules": quality.query,
         "op9_mixing": mixing.query,

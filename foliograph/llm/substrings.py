@@ -91,7 +91,7 @@ def _digest(text: bytes) -> tuple[int, int, str]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:16], "big", signed=True), d.hexdigest()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows and their texts, about SLICE bytes at a time (one text at least)."""
     for b in batches:
         texts = b.column(text).cast(pa.binary())
@@ -123,7 +123,7 @@ def _anchor_rows(buckets: int):
     """Rows (doc_id, text) to anchors by bucket. A hash that two texts of a slice have is known to be shared: its texts are told at once, and only two entries go to the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _slices(batches, 1):
+        for _, texts in text_slices(batches, 1):
             texts, digests = _first_seen(texts)
             if not texts:
                 continue
@@ -195,7 +195,7 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1)
-    for b, texts in _slices(batches, 1):
+    for b, texts in text_slices(batches, 1):
         least: dict[bytes, int] = {}
         for doc, t in zip(b.column(0).to_pylist(), texts):
             if len(t) >= MATCH and doc < least.get(t, doc + 1):
