@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import written
+from foliograph.llm.common import release, written
 
 MATCH, GRAM = 50, 20
 _WINDOWS = MATCH - GRAM + 1
 # The perfect difference set modulo 13. Its gaps are at most 6.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text that a task works on together, and of fragments that a bucket has on average.
-SLICE, BUCKET_BYTES = 4_000_000, 16_000_000
+SLICE, BUCKET_BYTES = 2_000_000, 32_000_000
+#: Texts of a slice: their numbers have 16 bits.
+SLICE_TEXTS = 60_000
 #: Suffixes sorted together; a bucket's anchors are taken in runs of about this many.
 SORTED = 400_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -98,7 +100,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[
         start, size = 0, 0
         for i in range(b.num_rows):
             n = len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-            if size and size + n > SLICE:
+            if i > start and (size + n > SLICE or i - start >= SLICE_TEXTS):
                 yield b.slice(start, i - start), [t or b"" for t in texts.slice(start, i - start).to_pylist()]
                 start, size = i, 0
             size += n
@@ -128,8 +130,10 @@ def _anchor_rows(buckets: int):
             if not texts:
                 continue
             h, _, _, _, owner = _anchors(texts)
-            pair = np.unique(np.stack([h.view(np.int64), owner], axis=1), axis=0)
-            h, owner = pair[:, 0], pair[:, 1]
+            order = np.lexsort((owner, h))
+            h, owner = h.view(np.int64)[order], owner[order]
+            new = np.r_[True, (np.diff(h) != 0) | (np.diff(owner) != 0)][: len(h)]
+            h, owner = h[new], owner[new]
             cut = np.r_[0, np.nonzero(np.diff(h))[0] + 1, len(h)]
             size = np.diff(cut)
             place = np.arange(len(h)) - np.repeat(cut[:-1], size)
@@ -142,24 +146,16 @@ def _anchor_rows(buckets: int):
             out = []
             for s, e in zip(edges[:-1], edges[1:]):
                 local, number = np.unique(os[s:e], return_inverse=True)
-                out.append((int(bucket[s]), hs[s:e].tobytes(), number.astype(np.uint32).tobytes(), digests[local].tobytes()))
+                out.append((int(bucket[s]), hs[s:e].tobytes(), number.astype(np.uint16).tobytes(), digests[local].tobytes()))
             if told.any():
-                out.append((-1, h[told].tobytes(), owner[told].astype(np.uint32).tobytes(), digests.tobytes()))
+                out.append((-1 - int(h[0] % buckets), h[told].tobytes(), owner[told].astype(np.uint16).tobytes(), digests.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "h", "number", "owners"])
 
     return run
 
 
 def _unpack(h: bytes, number: bytes, owners: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(h, np.int64), np.frombuffer(owners, np.int64).reshape(-1, 2)[np.frombuffer(number, np.uint32)]
-
-
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries already known to be shared: (d1, d2, h)."""
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
-            h, owner = _unpack(*row)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[:, 0]), pa.array(owner[:, 1]), pa.array(h)], names=["d1", "d2", "h"])
+    return np.frombuffer(h, np.int64), np.frombuffer(owners, np.int64).reshape(-1, 2)[np.frombuffer(number, np.uint16)]
 
 
 def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -177,8 +173,13 @@ def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[t
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of anchors to (d1, d2, h) where h occurs in two different texts."""
-    for _, rows in _buckets_of(batches):
+    """Buckets of anchors to (d1, d2, h) where h occurs in two different texts. Buckets below 0 hold entries already known to be shared."""
+    for bucket, rows in _buckets_of(batches):
+        if bucket < 0:
+            for row in rows:
+                h, owner = _unpack(*row)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[:, 0]), pa.array(owner[:, 1]), pa.array(h)], names=["d1", "d2", "h"])
+            continue
         parts = [_unpack(*r) for r in rows]
         h, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(h, kind="stable")
@@ -375,22 +376,37 @@ def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["doc_id", "kept", "n_removed", "n_spans"])
 
 
+def _wanted(docs: DataFrame, buckets: int) -> DataFrame:
+    """(d1, d2, hashes): the anchors of each text that another text has too; a text has fewer anchors than bytes."""
+    rows = docs.mapInArrow(_anchor_rows(buckets), "bucket long, h binary, number binary, owners binary")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "d1 long, d2 long, h long")
+    return written(met.groupBy("d1", "d2").agg(F.collect_set("h").alias("hashes")), "wanted")
+
+
+def _pieces(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    texts = docs.mapInArrow(_packed_texts, "d1 long, d2 long, doc_id long, packed binary")
+    texts = texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.any_value("packed").alias("packed"))
+    return written(texts.join(wanted, ["d1", "d2"]).select("doc_id", "packed", "hashes").mapInArrow(_fragments(buckets), _CUT_SCHEMA), "fragments")
+
+
+def _all_ranges(pieces: DataFrame) -> DataFrame:
+    """(doc_id, ranges); a document has fewer ranges than bytes."""
+    found = pieces.filter("kind = 0").select("bucket", "packed", "ints").repartition("bucket").sortWithinPartitions("bucket")
+    ranges = found.mapInArrow(_ranges, "doc_id long, low long, high long").union(pieces.filter("kind = 2").select("doc_id", "low", "high"))
+    return written(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
+
+
 def shared_texts(docs: DataFrame, light: DataFrame) -> DataFrame:
     """(doc_id, kept binary, n_removed, n_spans) of the documents, one per different text, that lose bytes. light: see `remove_repeats`."""
     total = light.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     docs = docs.filter("doc_id is not null")
-    anchors = written(docs.mapInArrow(_anchor_rows(buckets), "bucket long, h binary, number binary, owners binary"), "anchors")
-    told = anchors.filter("bucket = -1").mapInArrow(_told, "d1 long, d2 long, h long")
-    met = anchors.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "d1 long, d2 long, h long")
-    wanted = told.union(met).groupBy("d1", "d2").agg(F.collect_set("h").alias("hashes"))  # a text has fewer anchors than bytes
-    texts = docs.mapInArrow(_packed_texts, "d1 long, d2 long, doc_id long, packed binary")
-    texts = texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.any_value("packed").alias("packed"))
-    pieces = texts.join(wanted, ["d1", "d2"]).select("doc_id", "packed", "hashes").mapInArrow(_fragments(buckets), _CUT_SCHEMA)
-    pieces = written(pieces, "fragments")
-    found = pieces.filter("kind = 0").select("bucket", "packed", "ints").repartition("bucket").sortWithinPartitions("bucket")
-    ranges = found.mapInArrow(_ranges, "doc_id long, low long, high long").union(pieces.filter("kind = 2").select("doc_id", "low", "high"))
-    ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # a document has fewer ranges than bytes
+    wanted = _wanted(docs, buckets)
+    release(docs.sparkSession)
+    pieces = _pieces(docs, wanted, buckets)
+    release(docs.sparkSession)
+    ranges = _all_ranges(pieces)
+    release(docs.sparkSession)
     return pieces.filter("kind = 1").select("doc_id", "packed").join(ranges, "doc_id").mapInArrow(_kept_texts, "doc_id long, kept binary, n_removed long, n_spans long")
 
 
