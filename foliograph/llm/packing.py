@@ -30,7 +30,7 @@ CAPACITY = LENGTH // GRAIN
 #: Chunks that prefix sums and ranks are dealt over. Tables of chunk totals have at most CAPACITY * CHUNKS rows and are broadcast.
 CHUNKS = 64
 _SHARES = 1000
-_KEPT = 1_000_000
+_KEPT = 600_000
 _BUCKET = 1024
 VOCABULARY = "word_bpe_49k.json"
 
@@ -70,11 +70,21 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _encoder(path: str) -> Encoder:
+    """One encoder for a worker process: Spark reuses workers, and a later task finds the words of the earlier ones."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_held_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def _tokenized(path: str, tails: bool):
     """Rows (doc_id, text) to (doc_id, n, crcs of the full pieces and the tail), with the tail's ids if `tails`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+        encode, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             n, crcs, rest = [], [], []
             for t in b.column(1):
