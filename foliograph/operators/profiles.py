@@ -105,10 +105,11 @@ def resolve_profiles(profiles: DataFrame, most: int = 32) -> tuple[DataFrame, Da
         layers = layers.union(step.select("id", "depth", "row"))
     else:
         errors = errors.union(step.filter("next is not null").select("id", F.lit("chain too long").alias("error")))
-    stack = layers.join(errors.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "row")))).alias("s"))
+    stack = layers.join(errors.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("depth", "row"))).alias("m"), F.max("depth").alias("top"))
+    stack = stack.withColumn("s", F.transform(F.sequence(F.col("top"), F.lit(0), F.lit(-1)), lambda i: F.element_at("m", i)))
     # Every layer goes through the same merge, the root over nothing, so extra rules and overrides count at each level.
     none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in profiles.schema.fields])
-    merged = F.aggregate("s", none, lambda acc, x: merge_profile(acc, x["row"]).cast(profiles.schema))
+    merged = F.aggregate("s", none, lambda acc, x: merge_profile(acc, x).cast(profiles.schema))
     return stack.select(merged.alias("p")).select("p.*"), errors
 
 
