@@ -28,6 +28,7 @@ from foliograph.llm.common import release, written
 
 MATCH, GRAM = 50, 20
 _WINDOWS = MATCH - GRAM + 1
+PART = 8_000_000
 # The perfect difference set modulo 13. Its gaps are at most 6.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text that a task works on together, and of fragments that a bucket has on average.
@@ -69,12 +70,16 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if len(data) < MATCH:
         return none.astype(np.uint64), none, none, none, none
     h = _gram_hashes(data)
-    key = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
-    low = np.minimum(key[:-1], key[1:])
-    for step in (2, 4, 8):
-        low = np.minimum(low[:-step], low[step:])
-    low = np.minimum(low[: len(low) - (_WINDOWS - 16)], low[_WINDOWS - 16 :])
-    anchor = (low & np.uint64(0xFFFFFF)).astype(np.int64)
+    # The least hash of each window's grams, the leftmost of equals: place and hash share a number, so long texts go in parts.
+    windows, parts = len(h) - _WINDOWS + 1, []
+    for start in range(0, windows, PART):
+        own = h[start : start + PART + _WINDOWS - 1]
+        low = (own & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(own), dtype=np.uint64)
+        for step in (1, 2, 4, 8):
+            low = np.minimum(low[:-step], low[step:])
+        low = np.minimum(low[: len(low) - (_WINDOWS - 16)], low[_WINDOWS - 16 :])
+        parts.append((low & np.uint64(0xFFFFFF)).astype(np.int64) + start)
+    anchor = np.concatenate(parts)
     valid = np.ones(len(anchor), bool)
     for e in ends[:-1]:
         valid[max(0, e - MATCH + 1) : e] = False
@@ -235,12 +240,15 @@ def _fragments(buckets: int):
             rows: list[tuple] = [(1, None, docs[i], packed[i], None, None, None) for i in np.unique(owner)]
             joined = b"".join(texts)
             lowest: dict[bytes, int] = {}
+            kept: list[int] = []
             strings = [joined[f : f + c + MATCH - 1] for f, c in zip(first.tolist(), count.tolist())]
             for j in np.argsort(doc[owner], kind="stable").tolist():
-                if lowest.setdefault(strings[j], j) != j and doc[owner[j]] > doc[owner[lowest[strings[j]]]]:
+                if doc[owner[j]] == lowest.setdefault(strings[j], doc[owner[j]]):
+                    kept.append(j)
+                else:
                     low = int(first[j] - starts[owner[j]])
                     rows.append((2, None, int(doc[owner[j]]), None, None, low, low + len(strings[j])))
-            keep = np.array(sorted(lowest.values()), np.int64)
+            keep = np.array(sorted(kept), np.int64)
             bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
             keep = keep[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
