@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
 from foliograph.operators import registry
+from foliograph.sources.scratch import written
 
 _RULE = "struct<role:string,keywords:array<string>,any:array<string>>"
 _PLACE = "struct<section:string,intent:string,toc:boolean,presentation:string,outline_level:string>"
@@ -110,7 +111,7 @@ def resolve_profiles(profiles: DataFrame, most: int = 32) -> tuple[DataFrame, Da
     # Every layer goes through the same merge, the root over nothing, so extra rules and overrides count at each level.
     none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in profiles.schema.fields])
     merged = F.aggregate("s", none, lambda acc, x: merge_profile(acc, x).cast(profiles.schema))
-    return stack.select(merged.alias("p")).select("p.*"), errors
+    return written(stack.select(merged.alias("p")).select("p.*"), "profiles"), written(errors, "profile_errors")
 
 
 def contract_violations(raw: DataFrame, schema: str, key: str, value: str, required: list[str], allowed: dict[str, list[str]] | None = None) -> DataFrame:
