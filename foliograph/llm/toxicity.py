@@ -31,7 +31,7 @@ TRAIN_ROWS, MOST_STEMS, THRESHOLD = 20_000, 4_000, 0.7
 #: What a stem needs: training documents with it, log-likelihood ratio, and share of toxic ones among them.
 LEAST_DOCS, LEAST_LLR, LEAST_SHARE = 5, 25.0, 0.75
 _STEM_LENGTHS = (4, 5, 6)
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 400_000
 
 # The words of each transducer.
 INSULTS = """idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumbass bastard vermin filth
