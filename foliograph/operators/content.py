@@ -32,10 +32,22 @@ FLAGS = {
     "has_italic": [r"(?d)(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)"],
 }
 
-_BY_DOC = Window.partitionBy("doc_id").orderBy("sec_no")
-_SO_FAR = _BY_DOC.rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = _BY_DOC.rowsBetween(Window.unboundedPreceding, -1)
-_AFTER = _BY_DOC.rowsBetween(1, Window.unboundedFollowing)
+
+def _rows(low: int, high: int):
+    """Sections of a document in order, from `low` to `high` rows off."""
+    return Window.partitionBy("doc_id").orderBy("sec_no").rowsBetween(low, high)
+
+
+def _so_far():
+    return _rows(Window.unboundedPreceding, 0)
+
+
+def _before():
+    return _rows(Window.unboundedPreceding, -1)
+
+
+def _after():
+    return _rows(1, Window.unboundedFollowing)
 
 
 def corpus_lines(docs: DataFrame) -> DataFrame:
@@ -67,7 +79,7 @@ def section_type(level: Column) -> Column:
 def section_tags(heads: DataFrame) -> DataFrame:
     """heads with tag: h1_i, h2_i_j, h3_i_j_k by running counts; -1 before any level 1, 0 without a level 2."""
     n = lambda level, w: F.sum((F.col("level") == level).cast("int")).over(w)
-    h = heads.withColumn("_h1", n(1, _SO_FAR))
+    h = heads.withColumn("_h1", n(1, _so_far()))
     h = h.withColumn("_h2", n(2, Window.partitionBy("doc_id", "_h1").orderBy("sec_no").rowsBetween(Window.unboundedPreceding, 0)))
     h = h.withColumn("_h3", n(3, Window.partitionBy("doc_id", "_h1", "_h2").orderBy("sec_no").rowsBetween(Window.unboundedPreceding, 0)))
     one = F.when(F.col("_h1") == 0, -1).otherwise(F.col("_h1"))
@@ -110,6 +122,8 @@ def block_lines(modes: DataFrame) -> DataFrame:
     def islands(df: DataFrame, out: str) -> DataFrame:
         before = F.lag("kind").over(w)
         new = before.isNull() | (before != F.col("kind")) | F.col("mode").isin("o", "m", "s")
+        if "_island" in df.columns:  # only text joins up again
+            new = new | ((F.col("kind") != "text") & (F.lag("_island").over(w) != F.col("_island")))
         return df.withColumn("_new", new.cast("int")).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     rows = islands(rows, "_island")
@@ -232,17 +246,17 @@ def document_tree(section_rows: DataFrame) -> DataFrame:
     """
     level = F.col("level")
     by_level = lambda f: F.when(level == 1, f(1)).when(level == 2, f(2)).otherwise(f(3))
-    s = section_rows.withColumn("_sum", F.sum("word_count").over(_SO_FAR))
+    s = section_rows.withColumn("_sum", F.sum("word_count").over(_so_far()))
     total = F.sum("word_count").over(Window.partitionBy("doc_id"))
     s = s.withColumns(
         {
-            "parent_id": by_level(lambda n: F.last(F.when(level < n, F.col("tag")), True).over(_BEFORE)),
-            "_two": F.last(F.when(level < 3, level), True).over(_BEFORE),
-            "subtree_end": by_level(lambda n: F.first(F.when(level <= n, F.col("sec_no")), True).over(_AFTER)),
-            "_upto": F.coalesce(by_level(lambda n: F.first(F.when(level <= n, F.col("_sum") - F.col("word_count")), True).over(_AFTER)), total),
+            "parent_id": by_level(lambda n: F.last(F.when(level < n, F.col("tag")), True).over(_before())),
+            "_two": F.last(F.when(level < 3, level), True).over(_before()),
+            "subtree_end": by_level(lambda n: F.first(F.when(level <= n, F.col("sec_no")), True).over(_after())),
+            "_upto": F.coalesce(by_level(lambda n: F.first(F.when(level <= n, F.col("_sum") - F.col("word_count")), True).over(_after())), total),
         }
     )
-    one = F.max((level == 1).cast("int")).over(_BEFORE)
+    one = F.max((level == 1).cast("int")).over(_before())
     depth = F.when(F.col("parent_id").isNull(), 0).when((level == 3) & (F.col("_two") == 2) & (one == 1), 2).otherwise(1)
     s = s.withColumn("depth", depth).withColumn("child_word_count", F.col("_upto") - F.col("_sum"))
     return s.withColumn("node_id", F.col("tag")).drop("_sum", "_two", "_upto")

@@ -13,8 +13,14 @@ STYLES = {"major_section": "Heading1", "minor_section": "Heading2", "sub_section
 MONO, INDENT = "Courier New", "360"
 STRATEGIES = ["clone"]
 _LAST = "/body/p[last()]"
-_NONE = F.create_map().cast("map<string,string>")
-_BY_DOC = Window.partitionBy("doc_id").orderBy("op_seq")
+
+
+def _none() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def _upto():
+    return Window.partitionBy("doc_id").orderBy("op_seq").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _key(phase: int, *parts: Column | int) -> Column:
@@ -23,9 +29,9 @@ def _key(phase: int, *parts: Column | int) -> Column:
     return F.struct(*[c.cast("long").alias(n) for c, n in zip(cols, "pabcde")])
 
 
-def _op(key: Column, command: str, type_: str | None = None, parent: Column | str | None = None, path: Column | None = None, before: str | None = None, props: Column = _NONE) -> Column:
+def _op(key: Column, command: str, type_: str | None = None, parent: Column | str | None = None, path: Column | None = None, before: str | None = None, props: Column | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    return F.struct(key.alias("key"), F.lit(command).alias("command"), lit(type_).alias("type"), lit(parent).alias("parent"), lit(path).alias("path"), lit(before).alias("before"), props.cast("map<string,string>").alias("props"))
+    return F.struct(key.alias("key"), F.lit(command).alias("command"), lit(type_).alias("type"), lit(parent).alias("parent"), lit(path).alias("path"), lit(before).alias("before"), (_none() if props is None else props).cast("map<string,string>").alias("props"))
 
 
 def _one(*pairs: str | Column) -> Column:
@@ -49,12 +55,12 @@ def body_props(docs: DataFrame, formats: DataFrame, styles: DataFrame, best: Dat
     """docs (doc_id, template_id) with body_props and run_props: the discovered format with a style, else the style's; run properties only from the format."""
     d = docs.join(formats, "template_id", "left").join(styles, "template_id", "left").withColumn("style_name", F.coalesce("body_style", F.lit("Normal")))
     d = template.props_for_style(best, d)
-    found = F.size(F.coalesce("body_format", _NONE)) > 0
+    found = F.size(F.coalesce("body_format", _none())) > 0
     body = F.when(found, template.with_style(F.col("body_format"), F.col("style_name"))).otherwise(F.col("props"))
     body = _put(body, _one("align", "both")) if justify else body
     value = lambda k: F.try_element_at("body_format", F.lit(k))
     run = F.map_filter(_one("size", value("size"), "font.latin", value("font.ascii")), lambda _, v: F.coalesce(v, F.lit("")) != "")
-    return d.withColumn("body_props", body).withColumn("run_props", F.when(found, run).otherwise(_NONE)).drop("style_name", "props", "body_format", "body_style")
+    return d.withColumn("body_props", body).withColumn("run_props", F.when(found, run).otherwise(_none())).drop("style_name", "props", "body_format", "body_style")
 
 
 def run_ops(runs: Column, key, parent: Column | str, base: Column, mono: bool = False) -> Column:
@@ -85,7 +91,7 @@ def heading_ops(nodes: DataFrame, prototypes: DataFrame) -> DataFrame:
     n = nodes.filter("presentation <> 'body_text'").withColumn("style_name", style)
     n = template.heading_props(n, prototypes)
     p = F.array(_op(_key(2, F.col("sec_no"), -1, 0, 0, -1), "add", "p", "/body", props=F.col("props")))
-    runs = run_ops(plain_run(F.col("title")), lambda i: _key(2, F.col("sec_no"), -1, 0, 0, i), _LAST, _NONE)
+    runs = run_ops(plain_run(F.col("title")), lambda i: _key(2, F.col("sec_no"), -1, 0, 0, i), _LAST, _none())
     return n.select("doc_id", F.explode(F.concat(p, runs)).alias("op"))
 
 
@@ -175,7 +181,7 @@ def degrade_equations(plan_ops: DataFrame, failed: DataFrame) -> tuple[DataFrame
     f = failed.select(F.col("doc_id").alias("_d"), F.col("op_seq").alias("_s")).distinct()
     p = plan_ops.join(f, (F.col("doc_id") == F.col("_d")) & (F.col("op_seq") == F.col("_s")) & (F.col("type") == "equation"), "left")
     is_p = (F.col("command") == "add") & (F.col("type") == "p")
-    p = p.withColumn("_last", F.coalesce(F.last(F.when(is_p, F.col("props")), True).over(_BY_DOC.rowsBetween(Window.unboundedPreceding, 0)), _one("style", "Normal")))
+    p = p.withColumn("_last", F.coalesce(F.last(F.when(is_p, F.col("props")), True).over(_upto()), _one("style", "Normal")))
     bad = F.col("_d").isNotNull()
     count = p.filter(bad).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degraded"))
     text = _one("text", F.concat(F.lit("$"), F.coalesce(F.try_element_at("props", F.lit("formula")), F.lit("")), F.lit("$")), "italic", "true")
@@ -201,7 +207,7 @@ def apply_plan(children: DataFrame, plan_ops: DataFrame) -> DataFrame:
     # The n-th table move takes the n-th of the tables that the moves leave for the end.
     tables = Window.partitionBy("doc_id").orderBy("pos")
     left = left.withColumn("_rank", F.when(F.col("kind") == "tbl", F.sum((F.col("kind") == "tbl").cast("int")).over(tables.rowsBetween(Window.unboundedPreceding, 0))))
-    moves = named("move").withColumn("_rank_t", F.when(F.col("_t").isNotNull(), F.col("_t") - 1 + F.sum(F.col("_t").isNotNull().cast("int")).over(_BY_DOC.rowsBetween(Window.unboundedPreceding, 0))))
+    moves = named("move").withColumn("_rank_t", F.when(F.col("_t").isNotNull(), F.col("_t") - 1 + F.sum(F.col("_t").isNotNull().cast("int")).over(_upto())))
     m = moves.select(F.col("doc_id").alias("_d"), "op_seq", "_p", "_rank_t")
     by_para = left.join(m.filter("_p is not null"), (F.col("doc_id") == F.col("_d")) & (F.col("para_id") == F.col("_p")), "left").drop("_d", "_p", "_rank_t").withColumnRenamed("op_seq", "_m1")
     both = by_para.join(m.filter("_rank_t is not null"), (F.col("doc_id") == F.col("_d")) & (F.col("_rank") == F.col("_rank_t")), "left").drop("_d", "_p", "_rank_t")
@@ -211,7 +217,7 @@ def apply_plan(children: DataFrame, plan_ops: DataFrame) -> DataFrame:
     old = both.select("doc_id", _key(0, F.when(moved.isNull(), 0).otherwise(2), F.coalesce(moved, F.col("pos"))).alias("key"), F.when(F.col("kind") == "tbl", "table").otherwise("para").alias("kind"), "para_id", col("style").alias("style"), col("align").alias("align"), "text", col("eff_size").alias("size"), col("eff_font").alias("font"), null("string").alias("ind_first_line"), col("line_rule").alias("line_rule"), col("tbl_index", "int").alias("tbl_index"), col("rows", "int").alias("rows"), null("int").alias("cols"))
     a = plan_ops.filter("command = 'add'")
     starts = F.col("type").isin("p", "table") | ((F.col("type") == "equation") & (F.col("parent") == "/body"))
-    a = a.withColumn("_e", F.sum(starts.cast("int")).over(_BY_DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    a = a.withColumn("_e", F.sum(starts.cast("int")).over(_upto()))
     first = lambda v: F.max(F.when(starts, v))
     prop = lambda k: F.try_element_at("props", F.lit(k))
     own_run = (F.col("type") == "r") & (F.col("parent") == _LAST)

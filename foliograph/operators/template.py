@@ -12,7 +12,6 @@ from foliograph.functions import text as T
 
 HEADINGS = ["Heading1", "Heading2", "Heading3"]
 RAW_SCHEMA = "template_id long, seq long, text string, path string, format map<string,string>"
-_TEXT = F.col("text")
 
 
 def _first(*columns: Column) -> Column:
@@ -23,7 +22,7 @@ def load_template_paras(raw: DataFrame) -> DataFrame:
     """Paragraph records (RAW_SCHEMA; format holds the readback keys) to typed rows."""
     f = lambda k: F.col("format")[k]
     style = F.when(_first(f("style")).isNotNull(), T.norm_style(f("style")))
-    text = T.strip(F.coalesce(_TEXT, F.lit("")))
+    text = T.strip(F.coalesce(F.col("text"), F.lit("")))
     p = raw.select(
         "template_id", "seq", f("paraId").alias("para_id"), style.alias("style"), text.alias("text"), F.coalesce("path", F.lit("")).alias("path"),
         F.when(f("outlineLevel").rlike("^[0-9]+$"), f("outlineLevel").cast("int")).alias("outline_level"),
@@ -37,7 +36,7 @@ def load_template_paras(raw: DataFrame) -> DataFrame:
 def structural_flags() -> dict[str, Column]:
     path = F.col("path")
     outside = path.contains("/tbl[") | path.contains("note[") | ~path.startswith("/body/p")
-    return {"has_text": _TEXT != "", "is_heading": F.coalesce(F.col("style").isin(HEADINGS), F.lit(False)), "in_table": outside, "text_len": F.length("text")}
+    return {"has_text": F.col("text") != "", "is_heading": F.coalesce(F.col("style").isin(HEADINGS), F.lit(False)), "in_table": outside, "text_len": F.length("text")}
 
 
 def load_template_tables(raw: DataFrame) -> DataFrame:
@@ -59,7 +58,7 @@ def load_prototypes(raw: DataFrame, styles: DataFrame | None = None) -> DataFram
     given = F.try_to_number(F.col("format")["outlineLevel"], F.lit("999")).cast("int")
     level = F.coalesce(given, F.when(F.col("style_name").isin(HEADINGS), F.substring("style_name", 8, 1).cast("int")))
     return p.filter(wanted).select(
-        "template_id", "seq", "style_name", F.col("format")["paraId"].alias("para_id"), T.strip(F.coalesce(_TEXT, F.lit(""))).alias("text"),
+        "template_id", "seq", "style_name", F.col("format")["paraId"].alias("para_id"), T.strip(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
         F.coalesce(size, f("effective.size")).alias("effective_size"), F.coalesce(font, f("effective.font.ascii")).alias("effective_font"),
         F.coalesce(F.col("format")["bold"] == "true", F.lit(False)).alias("bold"), level.alias("outline_level"), f("ind.firstLine").alias("ind_first_line"),
         f("spaceBefore").alias("space_before"), f("spaceAfter").alias("space_after"), f("align").alias("alignment"), f("lineSpacing").alias("line_spacing"),
@@ -127,14 +126,18 @@ def section_context(prototypes: DataFrame, paras: DataFrame) -> DataFrame:
     return p.withColumn("section_context", F.when(F.col("_p").isNotNull(), "CONTENT").otherwise("FRONT")).drop("_t", "_p")
 
 
-_USED = F.when(T.strip(F.coalesce(_TEXT, F.lit(""))) != "", 0).otherwise(1)
-_SIZED = F.when(F.coalesce(F.col("explicit_size"), F.lit("")) != "", 0).otherwise(1)
+def _used() -> Column:
+    return F.when(T.strip(F.coalesce(F.col("text"), F.lit(""))) != "", 0).otherwise(1)
+
+
+def _sized() -> Column:
+    return F.when(F.coalesce(F.col("explicit_size"), F.lit("")) != "", 0).otherwise(1)
 
 
 def best_prototype(prototypes: DataFrame) -> DataFrame:
     """One prototype for each style: in the content region, with text, explicitly sized, first."""
     front = F.when(F.col("section_context") == "CONTENT", 0).otherwise(1)
-    w = Window.partitionBy("template_id", "style_name").orderBy(front, _USED, _SIZED, "seq")
+    w = Window.partitionBy("template_id", "style_name").orderBy(front, _used(), _sized(), "seq")
     return prototypes.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -145,8 +148,8 @@ def outline_para_ids(outline: DataFrame, prototypes: DataFrame) -> DataFrame:
     """
     heads = prototypes.filter(F.col("style_name").isin(HEADINGS) & (F.coalesce("para_id", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
     order = F.struct("style_name", "seq")
-    titles = heads.groupBy(F.col("template_id").alias("_t"), T.strip(_TEXT).alias("title")).agg(F.min(order).alias("place"), F.max_by("para_id", order).alias("pid"))
-    o = outline.withColumn("_txt", T.strip(_TEXT))
+    titles = heads.groupBy(F.col("template_id").alias("_t"), T.strip(F.col("text")).alias("title")).agg(F.min(order).alias("place"), F.max_by("para_id", order).alias("pid"))
+    o = outline.withColumn("_txt", T.strip(F.col("text")))
     o = o.join(titles.select("_t", "title", F.col("pid").alias("exact")), (F.col("template_id") == F.col("_t")) & (F.col("_txt") == F.col("title")), "left").drop("_t", "title")
     head = lambda c: F.substring(c, 1, 1)
     alike = F.col("title").startswith(F.col("_txt")) | F.col("_txt").startswith(F.substr("title", F.lit(1), F.least(F.length("_txt"), F.lit(10))))
@@ -189,7 +192,7 @@ def match_heading_prototype(titles: DataFrame, prototypes: DataFrame) -> DataFra
 
     The same normalised text wins, else the longest common prefix of at least 10 characters and half the shorter text. That prefix makes the second join an equality on 10 characters.
     """
-    c = candidates(prototypes).select(F.col("template_id").alias("_t"), F.col("style_name").alias("_s"), "seq", T.norm_title(_TEXT).alias("cn"), build_props().alias("props"))
+    c = candidates(prototypes).select(F.col("template_id").alias("_t"), F.col("style_name").alias("_s"), "seq", T.norm_title(F.col("text")).alias("cn"), build_props().alias("props"))
     t = titles.withColumn("n", T.norm_title(F.col("title"))).filter(F.length("n") >= 3)
     same = (F.col("template_id") == F.col("_t")) & (F.col("style_name") == F.col("_s"))
     exact = t.join(c, same & (F.col("n") == F.col("cn"))).withColumn("lcp", F.lit(1_000_000))
@@ -206,7 +209,7 @@ def representative_prototype(prototypes: DataFrame) -> DataFrame:
     n = c.groupBy("template_id", "style_name", "_align").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("at"))
     n = n.groupBy("template_id", "style_name").agg(F.max_by("_align", F.struct("n", -F.col("at"))).alias("_modal"))
     own = c.join(n, ["template_id", "style_name"]).filter("_align = _modal")
-    return own.groupBy("template_id", "style_name").agg(F.min_by(build_props(), F.struct(_USED, _SIZED, "seq")).alias("props"))
+    return own.groupBy("template_id", "style_name").agg(F.min_by(build_props(), F.struct(_used(), _sized(), "seq")).alias("props"))
 
 
 def props_for_style(best: DataFrame, wanted: DataFrame) -> DataFrame:
