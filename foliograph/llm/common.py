@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,8 +39,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps: its cleaner removes those whose plans the driver's JVM has collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)  # Python's references to the JVM's objects are dropped by a thread of their own
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ PART = 8_000_000
 # The perfect difference set modulo 13. Its gaps are at most 6.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text that a task works on together, and of fragments that a bucket has on average.
-SLICE, BUCKET_BYTES = 2_000_000, 32_000_000
+SLICE, BUCKET_BYTES = 2_000_000, 16_000_000
 #: Texts of a slice: their numbers have 16 bits.
 SLICE_TEXTS = 60_000
 #: Suffixes sorted together; a bucket's anchors are taken in runs of about this many.
@@ -200,7 +200,7 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Rows (doc_id, text) to (d1, d2, doc_id, compressed text); a text that a slice repeats is sent with its smallest doc_id."""
     import zstandard
 
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for b, texts in text_slices(batches, 1):
         least: dict[bytes, int] = {}
         for doc, t in zip(b.column(0).to_pylist(), texts):
@@ -226,7 +226,7 @@ def _fragments(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
         def flush(docs: list[int], packed: list[bytes], texts: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
             h, at, first, count, owner = _anchors(texts)
