@@ -131,3 +131,15 @@ def paired_chunks(rows: DataFrame, keys: list[str], by: str, chunk: int) -> Data
     n = F.coalesce("_chunks", F.lit(1))
     joined = joined.withColumn("_own", F.pmod(F.xxhash64(by), n).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
     return joined.select(*rows.columns, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("side"))
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those with the smallest hashed `key` (ties by the other columns).
+
+    A counted share of the hash range is cut off first, so that all tasks together send little more than `most` rows.
+    """
+    n = rows.count()
+    h = F.xxhash64(key)
+    if n > most:
+        rows = rows.filter(F.pmod(h, F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, 1.2 * most / n)) + 1))
+    return rows.orderBy(F.pmod(h, F.lit(1_000_000)), h, *rows.columns).limit(most)

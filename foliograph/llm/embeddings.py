@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import BROADCAST_ROWS, connected_components, run_bounds, whole_runs, written
+from foliograph.llm.common import BROADCAST_ROWS, bounded_sample, connected_components, run_bounds, whole_runs, written
 
 COSINE = 0.98
 K, SHARED, MOST_PIVOTS, CHUNK = 8, 2, 1024, 1024
@@ -164,7 +164,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.max("c")).first()
     rows, of_label = sizes[0] or 0, sizes[1] or 0
     pivots: dict[int, list] = {}
-    for r in classes.select(F.xxhash64("rep").alias("h"), "vec").orderBy("h").limit(_pivot_count(rows)).collect():
+    for r in bounded_sample(classes.select("rep", "vec"), "rep", _pivot_count(rows)).collect():
         pivots.setdefault(len(r["vec"]), []).append(r["vec"])
     fixed = {dim: _unit(np.array(p, np.float32).ravel(), dim) for dim, p in pivots.items()}
     arity = _arity(of_label, max([1, *map(len, fixed.values())]))

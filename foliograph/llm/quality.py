@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import written
+from foliograph.llm.common import bounded_sample, written
 
 TRAIN_ROWS = 20_000
 #: A rule needs this precision on the rows it was pruned on and this many rows; a conjunction has at most MOST_TESTS tests.
@@ -196,8 +196,8 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[lis
     """Rules learned on at most `rows` labelled rows that pass the base rule. labels: (doc_id, quality)."""
     given = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").alias("label_id"), "quality")
     train = stats.join(given, stats["doc_id"] == given["label_id"]).filter(~base_failed())
-    train = train.select(F.xxhash64("doc_id").alias("h"), (F.col("quality") == 0).alias("low"), *[F.expr(e).alias(k) for k, e in FEATURES.items()])
-    got = train.orderBy("h", *FEATURES).limit(rows).toPandas()
+    train = train.select(F.col("doc_id").alias("h"), (F.col("quality") == 0).alias("low"), *[F.expr(e).alias(k) for k, e in FEATURES.items()])
+    got = bounded_sample(train, "h", rows).toPandas()
     if not len(got) or got["low"].nunique() < 2:
         return []
     return learn({k: got[k].to_numpy(float) for k in FEATURES}, got["low"].to_numpy(bool), np.arange(len(got)))

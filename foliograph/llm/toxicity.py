@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import written
+from foliograph.llm.common import bounded_sample, written
 
 TRAIN_ROWS, MOST_STEMS, THRESHOLD = 20_000, 4_000, 0.7
 #: What a stem needs: training documents with it, log-likelihood ratio, and share of toxic ones among them.
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dic
     """Stems and regression weights from at most `rows` labelled rows that are not held out. labels: (doc_id, toxic)."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out())
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    known = written(known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows), "labels")
+    known = written(bounded_sample(known, "label_id", rows), "labels")
     # At most `rows` rows, so broadcasting has a fixed bound.
     train = written(docs.join(F.broadcast(known), docs["doc_id"] == known["label_id"]).select("text", "toxic"), "train")
     n = {r[0]: r[1] for r in train.groupBy(F.col("toxic") > 0).count().collect()}
