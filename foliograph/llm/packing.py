@@ -59,13 +59,22 @@ class Encoder:
         words = text.lower().split()
         found = list(map(self.kept.get, words))
         if None in found:
-            missing = list(dict.fromkeys(w for w, f in zip(words, found) if f is None))
-            new = dict(zip(missing, self._whole(missing)))
+            new = self._new(dict.fromkeys(w for w, f in zip(words, found) if f is None))
             found = [new[w] if f is None else f for w, f in zip(words, found)]
-            if len(self.kept) < _KEPT:
-                self.kept.update(new)
         return b"".join(found)
 
+    def _new(self, missing) -> dict[str, bytes]:
+        """Ids of words not kept yet. Letters and the marks after them are tokens of their own, so a word's forms with marks need no further encoding."""
+        parts = {w: (w[: len(stem)], w[len(stem) :]) for w in missing if (stem := w.rstrip(".,;:!?")) != w and stem.isalpha()}
+        need = dict.fromkeys(x for w in missing for x in parts.get(w, (w,)) if x not in self.kept)
+        found = dict(zip(need, self._whole(list(need)))) if need else {}
+        held = lambda x: found[x] if x in found else self.kept[x]
+        new = {w: b"".join(map(held, parts.get(w, (w,)))) for w in missing}
+        if len(self.kept) < _KEPT:
+            self.kept.update(found)
+            self.kept.update(new)
+        return new
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
