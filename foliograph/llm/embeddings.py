@@ -6,8 +6,9 @@ subset of two or three when the table is so large that lists for smaller subsets
 every such subset of them in common, so the subset's size changes the speed and not the result. A pair that meets in several lists
 counts in the list of its smallest common pivots only.
 
-Pivots are at most MOST_PIVOTS vectors, those with the smallest hashed vec_id (the only sample; their number grows with the square root of the
-row count up to that bound). All rows are indexed. Equal vectors enter once, with their number. Lists above CHUNK members are cut into chunks and each pair
+Pivots are at most MOST_PIVOTS vectors, taken from the CANDIDATES times as many with the smallest hashed vec_id (the only sample; the number of pivots grows with the square root of the
+row count up to that bound). They are thinned so that no two are near each other: in a large group of near copies a plain sample would have hundreds of pivots, among which
+the members' nearest are a matter of chance, and links would be lost. Vectors that don't give enough pivots that way are one list. All rows are indexed. Equal vectors enter once, with their number. Lists above CHUNK members are cut into chunks and each pair
 of chunks is a task's work, so no task holds more than two chunks; counts are added up per task, so pairs are never emitted.
 
 Rules for odd rows: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link with nothing and are their own
@@ -30,12 +31,33 @@ from foliograph.llm.common import BROADCAST_ROWS, bounded_sample, connected_comp
 
 COSINE = 0.98
 K, SHARED, MOST_PIVOTS, CHUNK = 8, 2, 1024, 1024
+CANDIDATES = 4
+#: Cosines that two pivots may not reach; the lowest that leaves enough pivots is used.
+APART = (0.5, 0.6, 0.7, 0.8, 0.9)
 
 
 def _pivot_count(rows: int) -> int:
     return max(16, min(MOST_PIVOTS, int(rows**0.5)))
 
 
+def _thinned(candidates: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` of the candidates (unit vectors, the first ones first), no two of them near each other. Half of `most` are enough; fewer are taken only where APART leaves no more."""
+    kept = []
+    for apart in APART:
+        free, own = np.ones(len(candidates), bool), []
+        while len(own) < most and free.any():
+            own.append(int(np.argmax(free)))
+            free &= candidates @ candidates[own[-1]] < apart
+            free[own[-1]] = False
+        if 2 * len(own) >= most:
+            return candidates[own]
+        kept.append(own)
+    enough = most / 4
+    while enough > 2 * K and not any(len(own) >= enough for own in kept):
+        enough /= 2
+    return candidates[next((own for own in kept if len(own) >= max(enough, 2 * K)), kept[-1])]
+
+
 def _arity(rows_of_label: int, pivots: int) -> int:
     """The least size of the subsets that keeps the expected list within half a chunk; at most SHARED."""
     return next((r for r in range(1, SHARED) if rows_of_label * comb(K, r) / comb(pivots, r) <= CHUNK / 2), SHARED)
@@ -59,7 +81,7 @@ def _describe(pivots: dict[int, np.ndarray], arity: int):
                 x = _unit(vectors.take(pa.array(at)).flatten().to_numpy(), int(dim))
                 p = pivots.get(int(dim))
                 k = min(K, len(p)) if p is not None else 0
-                if k < K:  # a length with fewer pivots than K: one list
+                if k < K:  # a length with too few pivots: one list
                     order = np.full((len(at), K), -1, np.int16)
                     key = np.full((len(at), 1), int(dim) << 40)
                 else:
@@ -163,10 +185,13 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     classes = written(usable.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n")), "vectors")
     sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.max("c")).first()
     rows, of_label = sizes[0] or 0, sizes[1] or 0
-    pivots: dict[int, list] = {}
-    for r in bounded_sample(classes.select("rep", "vec"), "rep", _pivot_count(rows)).collect():
-        pivots.setdefault(len(r["vec"]), []).append(r["vec"])
-    fixed = {dim: _unit(np.array(p, np.float32).ravel(), dim) for dim, p in pivots.items()}
+    candidates: dict[int, list] = {}
+    most = _pivot_count(rows)
+    for r in bounded_sample(classes.select("rep", "vec"), "rep", CANDIDATES * most).collect():
+        candidates.setdefault(len(r["vec"]), []).append(np.array(r["vec"], np.float32))
+    sampled = sum(map(len, candidates.values()))
+    fixed = {dim: _thinned(_unit(np.concatenate(c), dim), max(2 * K, most * len(c) // sampled)) for dim, c in candidates.items()}
+    fixed = {dim: p for dim, p in fixed.items() if len(p) >= 2 * K}
     arity = _arity(of_label, max([1, *map(len, fixed.values())]))
     postings = classes.select("rep", "label", "n", "vec").mapInArrow(_describe(fixed, arity), "label long, key long, rep long, n long, prefix array<short>, vec array<float>")
     postings = written(postings, "postings")

@@ -153,6 +153,30 @@ def test_embeddings(vectors, monkeypatch):
     assert embeddings.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_large_group(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4500, 64))
+    x[::3] = r.normal(size=64) + r.normal(size=(1500, 64)) * 0.1
+    x = x.astype(np.float32)
+    monkeypatch.setattr(embeddings, "_pivot_count", lambda rows: 1024)
+    got = {g["vec_id"]: g for g in embeddings.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum() > 1_000_000
+
+
+def test_thinned_pivots():
+    r = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for share in (0.3, 0.9):
+        x = r.normal(size=(4000, 64))
+        x[: int(4000 * share)] = x[0] + r.normal(size=(int(4000 * share), 64)) * 0.1
+        p = embeddings._thinned(unit(x), 1000)
+        assert 200 <= len(p) <= 1000 and (p @ p.T)[~np.eye(len(p), dtype=bool)].max() < 0.9
+    assert len(embeddings._thinned(unit(x[:3000]), 750)) < 2 * embeddings.K
+
+
 # ---- 3 secrets
 
 CASES = [
