@@ -5,7 +5,7 @@ bucket at a time, so memory is bounded by a bucket: a suffix belongs to the buck
 Equal strings of MATCH bytes have the same anchor, so equal suffixes always meet, and only suffixes whose anchor string
 occurs in two different texts are sorted at all. Inside a bucket, suffixes are ordered by their first 16 bytes; longer ties are resolved by precomputed ranks of
 cover samples: the positions whose distance from the anchor lies in a difference cover (COVER modulo PERIOD) are ranked by the 32 bytes after them,
-and every suffix has such a sample 10 to 16 bytes on, so its rank and the last 8 bytes settle all MATCH bytes. Suffixes are compared as bytes; hashes only choose candidates.
+and every suffix has such a sample 10 to 16 bytes on, so how far on it is, its rank and the last 8 bytes settle all MATCH bytes. Suffixes are compared as bytes; hashes only choose candidates.
 
 Equal texts enter once, as the one with the smallest doc_id; the others lose everything if they have MATCH bytes. A string that several documents of one task
 share goes to its bucket once, so a passage of a large part of all documents isn't one task's work.
@@ -308,7 +308,8 @@ def _repeated(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, count: np.n
         differs |= word[ordered[1:] + k] != word[ordered[:-1] + k]
     rank[order] = np.r_[0, np.cumsum(differs)] if len(places) else rank
     of_suffix = rank[np.searchsorted(places, sample)]
-    keys = (doc[fragment], word[at + MATCH - 8], of_suffix, word[at + 8], word[at])
+    # Ranks tell only samples at the same distance apart; equal strings have equal distances.
+    keys = (doc[fragment], word[at + MATCH - 8], of_suffix, gap[residue], word[at + 8], word[at])
     order = np.lexsort(keys)
     new = np.zeros(len(order), bool)
     new[:1] = True

@@ -268,6 +268,15 @@ def test_substrings(spark, odd_docs, monkeypatch, size):
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
 
 
+def test_substrings_of_rulers_differ_by_the_place_of_a_blemish(spark):
+    rulers = [fill * place + blemish + fill * (49 - place) for fill in "-= ." for blemish in "+|x" for place in range(14, 44)]
+    docs = list(enumerate([*rulers, rulers[7], "x" + rulers[9]]))
+    want = removed(docs)
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    assert [i for i, w in want.items() if w[1]] == [len(rulers), len(rulers) + 1]
+
+
 def test_substrings_of_nothing(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
 
