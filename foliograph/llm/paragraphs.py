@@ -14,7 +14,8 @@ are not carried by `repeated_paragraphs` and pass through `remove_paragraphs`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from foliograph.llm.common import connected_components, paired_chunks, run_bounds, whole_runs, written
 from foliograph.llm.substrings import text_slices
 
+Units = Callable[[bytes | None], list[tuple[int, list[bytes]]]]
 SHINGLE, SIMILARITY, MIN_WORDS, ROWS, RECALL, CHUNK = 5, 0.8, 10, 3, 0.998, 2048
 _MIX = 0x9E3779B97F4A7C15
 
@@ -42,6 +44,12 @@ def paragraph_words(text: bytes | None) -> list[tuple[int, list[bytes]]]:
     return [(i, w) for i, w in ((i, line.split()) for i, line in lines) if len(w) >= MIN_WORDS]
 
 
+def document_words(text: bytes | None) -> list[tuple[int, list[bytes]]]:
+    """The whole text as its only unit, numbered by its CRC-32 (as an int); a text of fewer than SHINGLE words has one shingle."""
+    words = (text or b"").lower().split()
+    return [(zlib.crc32(text or b"") - (1 << 31), words + [b""] * (SHINGLE - len(words)))]
+
+
 def _identity(words: list[bytes]) -> tuple[int, int]:
     import xxhash
 
@@ -81,7 +89,7 @@ def shingle_hashes(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
     return _mixed(s[ok]), np.cumsum(count) - count
 
 
-def _signatures(bands: int):
+def _signatures(bands: int, units: Units):
     """Rows (doc_id, text) to a row per paragraph: (doc_id, line, k1, k2, bands)."""
     seeds = _mixed(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * np.uint64(_MIX))
 
@@ -91,7 +99,7 @@ def _signatures(bands: int):
             place: dict[tuple[int, int], int] = {}
             which = []
             for d, t in zip(b.column(0).to_pylist(), texts):
-                for i, w in paragraph_words(t):
+                for i, w in units(t):
                     k = _identity(w)
                     if k not in place:
                         place[k] = len(words)
@@ -136,14 +144,20 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(table.column(i).to_numpy()[several]) for i in range(2)], names=["key", "k1"])
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_sets(units: Units):
     """Rows (text, wanted array<struct<line, k1>>) to (k1, sorted distinct shingle hashes)."""
-    for b in batches:
-        for text, wanted in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist()):
-            words = dict(paragraph_words(text.as_py()))
-            s, starts = shingle_hashes([words[w["line"]] for w in wanted])
-            sets = [np.unique(x).tobytes() for x in np.split(s, starts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([w["k1"] for w in wanted], pa.int64()), pa.array(sets, pa.binary())], names=["k1", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, wanted in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist()):
+                words = dict(units(text.as_py()))
+                # Another row with this doc_id may have other words there, or none.
+                own = [w for w in wanted if w["line"] in words and _identity(words[w["line"]])[0] == w["k1"]]
+                s, starts = shingle_hashes([words[w["line"]] for w in own])
+                sets = [np.unique(x).tobytes() for x in np.split(s, starts[1:])] if own else []
+                yield pa.RecordBatch.from_arrays([pa.array([w["k1"] for w in own], pa.int64()), pa.array(sets, pa.binary())], names=["k1", "shingles"])
+
+    return run
 
 
 def _similar(one: np.ndarray, flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -191,8 +205,12 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
     component_id is the component's smallest paragraph hash. Paragraphs are told apart by 128 bits of hash.
     """
+    return _repeated(docs, paragraph_words)
+
+
+def _repeated(docs: DataFrame, units: Units) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    rows = written(docs.mapInArrow(_signatures(band_count()), "doc_id long, line int, k1 long, k2 long, bands binary"), "paragraphs")
+    rows = written(docs.mapInArrow(_signatures(band_count(), units), "doc_id long, line int, k1 long, k2 long, bands binary"), "paragraphs")
     classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("doc_id").alias("last_doc"), F.any_value("bands", True).alias("bands"))
     classes = written(classes, "paragraph_classes")
     bands = classes.select("k1", "bands").mapInArrow(_band_rows, "key long, k1 long").repartition("key").sortWithinPartitions("key")
@@ -200,7 +218,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     wanted = classes.join(met.select(F.col("k1").alias("m1")).distinct(), F.col("k1") == F.col("m1"), "left_semi")
     wanted = wanted.groupBy(F.col("first.doc_id").alias("w_doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "k1")).alias("wanted"))
     one_row = docs.join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", "wanted")
-    sets = one_row.mapInArrow(_shingle_sets, "k1 long, shingles binary").groupBy("k1").agg(F.any_value("shingles").alias("shingles"))
+    sets = one_row.mapInArrow(_shingle_sets(units), "k1 long, shingles binary").groupBy("k1").agg(F.any_value("shingles").alias("shingles"))
     pairs = paired_chunks(met, ["key"], "k1", CHUNK).join(written(sets, "shingle_sets"), "k1")
     pairs = pairs.select("key", "i", "j", "side", "k1", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     parts = connected_components(pairs.mapInArrow(_verified, "a long, b long"))
@@ -212,6 +230,16 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return out.filter("doc_id > first_doc_id").select("doc_id", "line", "first_doc_id", "component_id")
 
 
+def keep_first_copies(docs: DataFrame) -> DataFrame:
+    """docs without those whose whole text is near an earlier document's: links are pairs of texts with exact Jaccard similarity SIMILARITY or more of their
+    SHINGLE-word shingles, and a component keeps the smallest doc_id. Equal rows of a doc_id stay once, texts without words are copies of each other; rows without doc_id stay.
+    """
+    gone = _repeated(docs, document_words).select(F.col("doc_id").alias("_gone_id"), F.col("line").alias("_text")).distinct()
+    number = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))) - F.lit(1 << 31)
+    kept = docs.filter("doc_id is not null").join(gone, (F.col("doc_id").cast("long") == F.col("_gone_id")) & (number == F.col("_text")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+
+
 def remove_paragraphs(docs: DataFrame) -> DataFrame:
     """docs without the paragraphs that an earlier document has; all columns stay."""
     gone = repeated_paragraphs(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))

@@ -348,6 +348,29 @@ def test_paragraphs(odd_docs, no_docs, spark, monkeypatch):
     assert paragraphs.repeated_paragraphs(no_docs).count() == 0
 
 
+def test_near_copies_of_whole_texts(spark, odd_docs, no_docs):
+    base = prose(700, 120).split()
+    edit = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(base))
+    more = [(40, " ".join(base)), (41, edit(20, 21, 22)), (42, edit(10, 90)), (43, edit(*range(0, 120, 8))), (44, "x  "), (45, "X y"), (46, prose(701, 50)), (46, prose(10, 70) + "\n" + prose(1, 80))]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = {(i, t or "", tuple((t or "").lower().split())) for i, t in rows_of(docs) if i is not None}
+    shingles = lambda w: {w[i : i + 5] for i in range(max(1, len(w) - 4))}
+    u = Union()
+    for _, _, x in rows:
+        for _, _, y in rows:
+            s, t = shingles(x), shingles(y)
+            if len(s & t) >= 0.8 * len(s | t):
+                u.join(x, y)
+    first = {}
+    for i, _, w in rows:
+        first[u.find(w)] = min(i, first.get(u.find(w), i))
+    want = sorted((i, t) for i, t, w in rows if i == first[u.find(w)])
+    assert {40, 43, 46} <= {i for i, _ in want} and not {41, 42, 44} & {i for i, _ in want}
+    got = rows_of(paragraphs.keep_first_copies(docs))
+    assert sorted((i, t or "") for i, t in got if i is not None) == want and len(got) == len(want) + 1
+    assert paragraphs.keep_first_copies(no_docs).count() == 0
+
+
 # ---- 7 packing
 
 

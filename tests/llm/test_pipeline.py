@@ -23,3 +23,10 @@ def test_clean_documents_stay(spark, sf):
     kept = {r[0] for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
     scores = toxicity.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
     assert kept == {r["doc_id"] for r in scores if not r["predicted"]}
+
+
+def test_edited_copies_go(spark, sf):
+    words = [f"w{i * 7919 % 1000}" for i in range(200)]
+    edited = [f"new{i}" if i % 70 == 9 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert sorted(r[0] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == [1, 3]
