@@ -20,10 +20,12 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset (tests) a temporary one is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset a local master gets a temporary one, and a cluster an error."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = context.getCheckpointDir()
     return folder
@@ -31,10 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return _written(df, table_path(df.sparkSession, tag))
+
+
+def table_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that only an operator's own later tables are made from; `clear` deletes them once those are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        path = table_path(self.spark, tag)
+        self.paths.append(path)
+        return _written(df, path)
+
+    def clear(self) -> None:
+        context = self.spark.sparkContext
+        for path in self.paths:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
 
 
 def release(spark: SparkSession) -> None:

@@ -322,30 +322,74 @@ def test_bands():
     assert 1 - (1 - 0.8**3) ** paragraphs.band_count() >= paragraphs.RECALL
 
 
-def test_paragraphs(odd_docs, no_docs, spark, monkeypatch):
+def plain_units(texts):
+    """(text number, start, its words) of all lines of 20 words and all 20-word runs that begin at an anchor, by plain loops over words."""
+    units = paragraphs.passage_units([t.encode() for t in texts])
+    out = {(int(o), int(a), int(n)) for o, a, n in zip(units.owner, units.start, units.size)}
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in texts]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in words]
+    for i, t in enumerate(texts):
+        at = 0
+        for line in t.split("\n"):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+            assert n < 20 or (i, at, n) in out
+            at += n
+        starts = sorted(a for o, a, n in out if o == i and n == 20)
+        # Any REACH shingles in a row that begin a whole window have an anchor among them.
+        assert all(any(x <= a < x + paragraphs.REACH for a in starts) for x in range(len(words[i]) - paragraphs.REACH - 19))
+    return [(i, a, tuple(words[i][a : a + n])) for i, a, n in sorted(out)]
+
+
+def test_passages(odd_docs, no_docs, spark, monkeypatch):
     a = prose(500, 60)
     near = " ".join("other" if i == 30 else w for i, w in enumerate(a.split()))
-    more = spark.createDataFrame([(30, prose(600, 20) + "\n" + a), (31, near + "\n" + prose(601, 30)), (32, prose(602, 40)), (33, a.upper() + "\n" + a), (34, "short line here\nshort line here")], "doc_id long, text string")
-    docs = odd_docs.select("doc_id", "text").union(more)
-    rows = [(i, n, tuple(w)) for i, t in rows_of(docs) if i is not None for n, w in paragraphs.paragraph_words((t or "").encode())]
+    more = [(30, prose(600, 25) + "\n" + a), (31, near + "\n" + prose(601, 30)), (32, prose(602, 40)), (33, a.upper() + "\n" + a), (34, "short line here\nshort line here")]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    own = [(i, t or "") for i, t in rows_of(docs) if i is not None]
+    rows = [(own[o][0], a, w) for o, a, w in plain_units([t for _, t in own])]
     shingles = lambda w: {w[i : i + 5] for i in range(len(w) - 4)}
-    u = Union()
-    for x in {w for _, _, w in rows}:
-        for y in {w for _, _, w in rows}:
-            s, t = shingles(x), shingles(y)
-            if len(s & t) >= 0.8 * len(s | t):
-                u.join(x, y)
+    every, least = Union(), Union()
+    lines = {w for _, _, w in rows if len(w) != 20}
+    sets = {w: shingles(w) for _, _, w in rows}
+    for x, s in sets.items():
+        for y, t in sets.items():
+            if x < y and len(s & t) >= 0.8 * len(s | t):
+                every.join(x, y)
+                if x in lines and y in lines:
+                    least.join(x, y)
     first = {}
-    for i, _, w in rows:
-        first[u.find(w)] = min(i, first.get(u.find(w), i))
-    want = {(i, n, first[u.find(w)]) for i, n, w in rows if i > first[u.find(w)]}
-    assert {(31, 0, 30), (33, 0, 30), (33, 1, 30)} <= want
+    for u in (every, least):
+        for i, _, w in rows:
+            first[u is every, u.find(w)] = min(i, first.get((u is every, u.find(w)), i))
+    # Near windows have fewer bands, so some of their links may be missing; equal units and near lines are all found.
+    most = {(i, a, len(w)) for i, a, w in rows if i > first[True, every.find(w)]}
+    sure = {(i, a, len(w)) for i, a, w in rows if i > first[False, least.find(w)]}
+    assert {(31, 0, 60), (33, 0, 60), (33, 60, 60)} <= sure
     for chunk in (2048, 1):
         monkeypatch.setattr(paragraphs, "CHUNK", chunk)
-        assert {(r["doc_id"], r["line"], r["first_doc_id"]) for r in paragraphs.repeated_paragraphs(docs).collect()} == want
-    out = dict(rows_of(paragraphs.remove_paragraphs(docs).filter("doc_id >= 30")))
-    assert out[31] == prose(601, 30) and out[33] == "" and out[34] == "short line here\nshort line here"
-    assert paragraphs.repeated_paragraphs(no_docs).count() == 0
+        got = {(r["doc_id"], r["start"], r["size"]) for r in paragraphs.repeated_passages(docs).collect()}
+        assert sure <= got <= most
+    out = dict(rows_of(paragraphs.remove_passages(docs).filter("doc_id >= 30")))
+    assert out[31].strip() == prose(601, 30) and out[33].strip() == "" and out[34] == "short line here\nshort line here"
+    assert paragraphs.repeated_passages(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("words", [52, 60])
+def test_passages_inside_longer_lines(spark, words):
+    shared, docs = prose(900, words), [(0, prose(901, 150) + " " + prose(900, words) + " " + prose(902, 150))]
+    for i in range(1, 60):
+        broken = shared.split()
+        broken[i % words] += "\n" if i % 2 else ""
+        docs.append((i, prose(1000 + i, 5 * i) + " " + " ".join(broken) + " " + prose(2000 + i, 7 * i % 90)))
+    docs += [(i, prose(3000 + i, 200)) for i in range(60, 80)]
+    got = {(r["doc_id"], r["first_doc_id"]) for r in paragraphs.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {(i, 0) for i in range(1, 60)} <= got and {i for i, _ in got} == set(range(1, 60))
+
+
+def test_repeated_doc_ids_with_other_texts_lose_their_own_passages(spark):
+    docs = [(1, prose(1, 60)), (2, prose(2, 70)), (2, prose(1, 60) + "\n" + prose(3, 40)), (3, prose(4, 30))]
+    out = rows_of(paragraphs.remove_passages(spark.createDataFrame([(*d, "x", 1, 2) for d in docs], "doc_id long, text string, ranges string, id int, crc int")))
+    assert sorted((i, t.strip()) for i, t in out) == sorted([docs[0], docs[1], docs[3], (2, prose(3, 40))])
 
 
 def test_near_copies_of_whole_texts(spark, odd_docs, no_docs):
