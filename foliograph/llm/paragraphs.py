@@ -4,9 +4,10 @@ A unit is a run of words that is compared as a whole. Units are the lines of MIN
 lie inside a line or cross line breaks: an anchor is the least hashed SHINGLE-word shingle of some REACH shingles in a row, the leftmost of equals. Two documents that share a run of at
 least MIN_WORDS + REACH - 1 words share REACH shingles in a row that begin a whole window, so they share an anchor and its window, wherever the run lies in either text.
 
-Each unit's MinHash signature of SHINGLE-word shingles is cut into bands of ROWS values. For lines the number of bands is the least that finds a pair at the threshold with probability RECALL;
-windows have WINDOW_BANDS bands, as equal windows always collide and a passage has several. Units that collide in a band are joined and verified by exact Jaccard similarity of
-their shingle sets; verified links make components, and a component's units go from every document but its first (the smallest doc_id).
+Each line's MinHash signature of SHINGLE-word shingles is cut into bands of ROWS values; the number of bands is the least that finds a pair at the threshold with probability RECALL.
+Lines that collide in a band are joined and verified by exact Jaccard similarity of their shingle sets; verified links make components, and a component's
+units go from every document but its first (the smallest doc_id). Windows are linked when they are equal: of a window's 16 shingles one changed word takes up to five, so those at
+the threshold differ at their ends only, and an edited passage has other windows.
 
 Equal units enter once. A list of colliding units is searched breadth first and yields a link per member, not its pairs; a list above
 CHUNK members is cut into chunks and each pair of chunks is a task's work.
@@ -33,7 +34,7 @@ from foliograph.llm.common import Scratch, connected_components, paired_chunks,
 from foliograph.llm.substrings import text_slices
 
 SHINGLE, SIMILARITY, ROWS, RECALL, CHUNK = 5, 0.8, 3, 0.998, 2048
-MIN_WORDS, REACH, WINDOW_BANDS = 20, 30, 3
+MIN_WORDS, REACH = 20, 30
 _MIX = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Bytes of words that are hashed together.
@@ -62,7 +63,7 @@ _OF_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MIX))
 
 @dataclass
 class Units:
-    """Units of several texts: whose they are, first word and number of words in that text, bands, and the place of their shingles in `shingles`."""
+    """Units of several texts: whose they are, first word and number of words in that text, number of bands (0: only equal ones are linked), and the place of their shingles in `shingles`."""
 
     shingles: np.ndarray
     owner: np.ndarray
@@ -149,18 +150,29 @@ def anchors(s: np.ndarray, n: np.ndarray, base: np.ndarray) -> tuple[np.ndarray,
     return at, owner[at]
 
 
-def passage_units(texts: list[bytes]) -> Units:
-    """Lines of MIN_WORDS words or more, and windows of MIN_WORDS words."""
-    h, of_word, line = word_hashes(texts)
-    s, n, base = _shingles(h, of_word, len(texts))
+def _line_units(h: np.ndarray, of_word: np.ndarray, line: np.ndarray, s: np.ndarray, base: np.ndarray) -> Units:
     low, high = _runs(line)
     long = high - low >= MIN_WORDS
     low, high = low[long], high[long]
+    owner = of_word[low]
+    at = low + SHINGLE * owner
+    return Units(s, owner, at - base[owner], high - low, np.full(len(low), band_count()), at)
+
+
+def line_units(texts: list[bytes]) -> Units:
+    """Lines of MIN_WORDS words or more."""
+    h, of_word, line = word_hashes(texts)
+    s, _, base = _shingles(h, of_word, len(texts))
+    return _line_units(h, of_word, line, s, base)
+
+
+def passage_units(texts: list[bytes]) -> Units:
+    """Lines of MIN_WORDS words or more, and windows of MIN_WORDS words, which have no bands."""
+    h, of_word, line = word_hashes(texts)
+    s, n, base = _shingles(h, of_word, len(texts))
+    u = _line_units(h, of_word, line, s, base)
     at, owner = anchors(s, n, base)
-    bands = np.repeat([band_count(), WINDOW_BANDS], [len(low), len(at)])
-    size = np.r_[high - low, np.full(len(at), MIN_WORDS)]
-    owner, at = np.r_[of_word[low], owner], np.r_[low + SHINGLE * of_word[low], at]
-    return Units(s, owner, at - base[owner], size, bands, at)
+    return Units(s, np.r_[u.owner, owner], np.r_[u.start, at - base[owner]], np.r_[u.size, np.full(len(at), MIN_WORDS)], np.r_[u.bands, np.zeros(len(at), np.int64)], np.r_[u.at, at])
 
 
 def document_units(texts: list[bytes]) -> Units:
@@ -174,10 +186,11 @@ Cut = Callable[[list[bytes]], Units]
 
 
 def _signatures(cut: Cut):
-    """Rows (doc_id, text) to a row per unit; one that its slice of texts repeats has its bands in its first row only."""
-    seeds = _mixed(np.arange(1, band_count() * ROWS + 1, dtype=np.uint64) * np.uint64(_MIX))
+    """Rows (doc_id, text) to a row per unit; one that its slice of texts repeats has its bands in its first row only, and units without bands have none."""
+    bands = band_count()
+    seeds = _mixed(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * np.uint64(_MIX))
 
-    def bands_of(units: Units, some: np.ndarray, bands: int) -> np.ndarray:
+    def bands_of(units: Units, some: np.ndarray) -> np.ndarray:
         s, begin, _ = units.gathered(some)
         keys = np.zeros((len(some), bands), np.uint64)
         with np.errstate(over="ignore"):
@@ -195,11 +208,10 @@ def _signatures(cut: Cut):
             k1, k2 = units.identities()
             packed: list[bytes | None] = [None] * len(k1)
             first = np.unique(k1, return_index=True)[1]
-            for bands in np.unique(units.bands):
-                some = first[units.bands[first] == bands]
-                if len(some):
-                    for i, keys in zip(some.tolist(), bands_of(units, some, int(bands))):
-                        packed[i] = keys.tobytes()
+            first = first[units.bands[first] > 0]
+            if len(first):
+                for i, keys in zip(first.tolist(), bands_of(units, first)):
+                    packed[i] = keys.tobytes()
             crc = np.array([zlib.crc32(t) for t in texts], np.int64)[units.owner]
             columns = [b.column(0).take(pa.array(units.owner)), pa.array(crc), pa.array(units.start, pa.int32()), pa.array(units.size, pa.int32()), pa.array(k1), pa.array(k2), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "size", "k1", "k2", "bands"])
@@ -288,19 +300,22 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     component_id is the component's smallest unit hash. Units are told apart by 128 bits of hash.
     """
-    return _repeated(docs, passage_units)
+    return _repeated(docs, passage_units, line_units)
 
 
-def _repeated(docs: DataFrame, cut: Cut) -> DataFrame:
+def _repeated(docs: DataFrame, cut: Cut, banded: Cut) -> DataFrame:
+    """banded: cuts the units of `cut` that have bands."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     rows = written(docs.mapInArrow(_signatures(cut), _ROWS_SCHEMA), "units")
     bands = rows.filter("bands is not null").select("k1", "bands").mapInArrow(_band_rows, "key long, k1 long").repartition("key").sortWithinPartitions("key", "k1")
     met = scratch.written(bands.mapInArrow(_colliding, "key long, k1 long"), "colliding")
-    classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last_doc"))
-    classes = scratch.written(classes.join(met.select(F.col("k1").alias("m1")).distinct(), F.col("k1") == F.col("m1"), "left").filter("m1 is not null or doc < last_doc"), "unit_classes")
+    classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last_doc"), F.bool_or(F.col("bands").isNotNull()).alias("banded"))
+    classes = scratch.written(classes.filter("banded or doc < last_doc"), "unit_classes")
+    classes = classes.join(met.select(F.col("k1").alias("m1")).distinct(), F.col("k1") == F.col("m1"), "left").filter("m1 is not null or doc < last_doc")
+    classes = scratch.written(classes, "met_classes")
     wanted = classes.filter("m1 is not null").groupBy(F.col("doc").alias("w_doc")).agg(F.collect_list("k1").alias("wanted"))
-    sets = docs.join(wanted, F.col("doc_id") == F.col("w_doc")).select("wanted", "text").mapInArrow(_shingle_sets(cut), "k1 long, shingles binary")
+    sets = docs.join(wanted, F.col("doc_id") == F.col("w_doc")).select("wanted", "text").mapInArrow(_shingle_sets(banded), "k1 long, shingles binary")
     sets = scratch.written(sets.groupBy("k1").agg(F.any_value("shingles").alias("shingles")), "shingle_sets")
     pairs = paired_chunks(met, ["key"], "k1", CHUNK).join(sets, "k1")
     pairs = pairs.select("key", "i", "j", "side", "k1", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -323,7 +338,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     SHINGLE-word shingles, and a component keeps the smallest doc_id. Of rows that repeat a doc_id and its text one stays, that whose other columns
     come first as JSON; texts without words are copies of each other; rows without doc_id stay.
     """
-    gone = _repeated(docs, document_units).select("doc_id", "text_crc").distinct()
+    gone = _repeated(docs, document_units, document_units).select("doc_id", "text_crc").distinct()
     row = docs.select(F.col("doc_id").cast("long").alias("id"), _text_crc("text").alias("crc"), F.struct(*docs.columns).alias("row"))
     kept = row.filter("id is not null").join(gone, (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left_anti")
     kept = kept.groupBy("id", F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")), 256)).agg(F.min_by("row", F.to_json(F.struct(F.lit(0).alias("one"), *[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]))).alias("row"))

@@ -361,7 +361,7 @@ def test_passages(odd_docs, no_docs, spark, monkeypatch):
     for u in (every, least):
         for i, _, w in rows:
             first[u is every, u.find(w)] = min(i, first.get((u is every, u.find(w)), i))
-    # Near windows have fewer bands, so some of their links may be missing; equal units and near lines are all found.
+    # Equal units and near lines are linked; windows that are only near are not.
     most = {(i, a, len(w)) for i, a, w in rows if i > first[True, every.find(w)]}
     sure = {(i, a, len(w)) for i, a, w in rows if i > first[False, least.find(w)]}
     assert {(31, 0, 60), (33, 0, 60), (33, 60, 60)} <= sure
