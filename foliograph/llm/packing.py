@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import written
+from foliograph.llm.common import BROADCAST_ROWS, written
 
 LENGTH, GRAIN, END_ID = 4096, 16, 2
 CAPACITY = LENGTH // GRAIN
-#: Chunks that prefix sums and ranks are dealt over. Tables of chunk totals have at most CAPACITY * CHUNKS rows and are broadcast.
-CHUNKS = 64
+#: Rows of a chunk that prefix sums and ranks are dealt over.
+CHUNK_ROWS = 50_000
 _SHARES = 1000
 _KEPT = 600_000
 _BUCKET = 1024
@@ -177,14 +177,17 @@ def plan_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[t
 def _summed(df: DataFrame, group: list[str], key: Column, value: Column, out: str) -> tuple[DataFrame, DataFrame]:
     """df with `out`: the sum of `value` over the rows before it in its group, in the order of (chunk, hash); and the groups' totals.
 
-    Sums run inside a group's CHUNKS chunks and, over the chunks' totals, before them: no task holds a whole group.
+    A group has a chunk for each CHUNK_ROWS of its counted rows. Sums run inside chunks and, over the chunks' totals, before them: no task holds a whole group.
+    There are at most CAPACITY groups, so their counts are broadcast; the totals are only when their measured number is at most BROADCAST_ROWS.
     """
-    df = df.withColumn("_h", key).withColumn("_chunk", F.pmod("_h", F.lit(CHUNKS))).withColumn("_v", value)
+    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("_chunks"))
+    df = df.join(F.broadcast(sizes), group).withColumn("_h", key).withColumn("_chunk", F.pmod("_h", F.col("_chunks"))).withColumn("_v", value).drop("_chunks")
     totals = written(df.groupBy(*group, "_chunk").agg(F.sum("_v").alias("_sum")), "chunks")
     earlier = Window.partitionBy(*group, F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*group, "_chunk").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_in", F.sum("_v").over(inside) - F.col("_v")).join(F.broadcast(before), [*group, "_chunk"])
+    few = totals.count() <= BROADCAST_ROWS
+    df = df.withColumn("_in", F.sum("_v").over(inside) - F.col("_v")).join(F.broadcast(before) if few else before, [*group, "_chunk"])
     return df.withColumn(out, F.col("_in") + F.col("_before")).drop("_h", "_chunk", "_v", "_in", "_before"), totals
 
 
