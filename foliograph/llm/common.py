@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured row count is at most this.
@@ -64,6 +64,24 @@ class Scratch:
         self.paths = []
 
 
+def in_row(docs: DataFrame, *, without: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """docs as one struct `row` of all its columns, with named columns beside it: whatever docs' columns are called, they clash with none."""
+    names = [c for c in docs.columns if c not in without]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def out_of_row(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns `names` of `row` again, some of them changed."""
+    return df.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in names])
+
+
+def one_of_each(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row of those of `in_row` that repeat a doc_id and its text: that whose other columns come first as JSON."""
+    rest = F.to_json(F.struct(F.lit(0).alias("none"), *[F.col("row").getField(c) for c in names if c not in ("doc_id", "text")]))
+    text = F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")), 256)
+    return rows.groupBy(F.col("row.doc_id"), text, F.col("row.text").isNull()).agg(F.min_by("row", rest).alias("row"))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps: its cleaner removes those whose plans the driver's JVM has collected."""
     for _ in range(2):

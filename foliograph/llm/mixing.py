@@ -7,7 +7,7 @@ by its count, and all copies are dealt to partitions and ordered inside them by
 Rules for odd rows: a null source is a source of its own; a null doc_id hashes like the text 'null'; null and
 empty texts have no characters but are replicated at their source's rate; a source without any character keeps each row
 once; rows with the same doc_id get the same count, each for itself; an empty table gives an empty one. Extra
-columns pass through; columns named copy_no or shuffle_key are replaced.
+columns pass through, whatever their names; columns named copy_no or shuffle_key are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import BROADCAST_ROWS, SALTS, written
+from foliograph.llm.common import BROADCAST_ROWS, SALTS, in_row, written
 
 SEED = "mix-1"
 #: Target weights of the query; other sources weigh DEFAULT_WEIGHT. The mixture has as many characters as the input.
@@ -61,20 +61,22 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float = D
     The table of rates has a row per source. It is broadcast when its measured count is at most BROADCAST_ROWS; beyond that it
     is joined with each source's rows dealt over SALTS tasks.
     """
-    docs = docs.drop("copy_no", "shuffle_key")
-    per_source = written(rates(docs, weights, default, budget).select("mix_source", poisson_bounds(F.col("rate")).alias("mix_bounds")), "rates")
-    same = docs["source"].eqNullSafe(F.col("mix_source"))
+    per_source = written(rates(docs.select("source", "text"), weights, default, budget).select("mix_source", poisson_bounds(F.col("rate")).alias("mix_bounds")), "rates")
+    names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    rows = in_row(docs, without=("copy_no", "shuffle_key"), id=F.col("doc_id"), source=F.col("source"))
+    same = F.col("source").eqNullSafe(F.col("mix_source"))
     if per_source.count() <= BROADCAST_ROWS:
-        joined = docs.join(F.broadcast(per_source), same)
+        joined = rows.join(F.broadcast(per_source), same)
     else:
-        salted = per_source.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("mix_salt_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, same & (F.col("mix_salt_of") == F.col("mix_salt")))
-    u = (_hashed(seed, docs["doc_id"]) + F.lit(0.5)) / F.lit(float(2**_BITS))
-    counted = joined.withColumn("mix_u", u).withColumn("mix_n", F.size(F.filter("mix_bounds", lambda c: c <= F.col("mix_u"))))
-    copies = counted.filter("mix_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy_no"))
-    copies = copies.withColumn("shuffle_key", _hashed(f"{seed}-order", F.col("doc_id"), F.col("copy_no")))
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
+        salted = per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("salt_of", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (F.col("salt_of") == F.col("salt")))
+    u = (_hashed(seed, F.col("id")) + F.lit(0.5)) / F.lit(float(2**_BITS))
+    counted = joined.withColumn("u", u).withColumn("n", F.size(F.filter("mix_bounds", lambda c: c <= F.col("u"))))
+    copies = counted.filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    copies = copies.withColumn("shuffle_key", _hashed(f"{seed}-order", F.col("id"), F.col("copy_no")))
+    dealt = copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "id", "copy_no")
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in names], "copy_no", "shuffle_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

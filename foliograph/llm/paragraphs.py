@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import Scratch, connected_components, paired_chunks, run_bounds, whole_runs, written
+from foliograph.llm.common import Scratch, connected_components, in_row, one_of_each, out_of_row, paired_chunks, run_bounds, whole_runs, written
 from foliograph.llm.substrings import text_slices
 
 SHINGLE, SIMILARITY, ROWS, RECALL, CHUNK = 5, 0.8, 3, 0.998, 2048
@@ -339,10 +339,9 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     come first as JSON; texts without words are copies of each other; rows without doc_id stay.
     """
     gone = _repeated(docs, document_units, document_units).select("doc_id", "text_crc").distinct()
-    row = docs.select(F.col("doc_id").cast("long").alias("id"), _text_crc("text").alias("crc"), F.struct(*docs.columns).alias("row"))
-    kept = row.filter("id is not null").join(gone, (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left_anti")
-    kept = kept.groupBy("id", F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")), 256)).agg(F.min_by("row", F.to_json(F.struct(F.lit(0).alias("one"), *[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]))).alias("row"))
-    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
+    row = in_row(docs, id=F.col("doc_id").cast("long"), crc=_text_crc("text")).filter("id is not null")
+    kept = row.join(gone, (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left_anti")
+    return out_of_row(one_of_each(kept, docs.columns), docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def _without(text: pd.Series, ranges: pd.Series) -> pd.Series:
@@ -363,10 +362,9 @@ def _without(text: pd.Series, ranges: pd.Series) -> pd.Series:
 def remove_passages(docs: DataFrame) -> DataFrame:
     """docs without the passages that an earlier document has; all columns stay. White space around a passage stays."""
     gone = repeated_passages(docs).groupBy("doc_id", "text_crc").agg(F.collect_set(F.struct("start", "size")).alias("ranges"))
-    row = docs.select(F.col("doc_id").cast("long").alias("id"), _text_crc("text").alias("crc"), F.struct(*docs.columns).alias("row"))
+    row = in_row(docs, id=F.col("doc_id").cast("long"), crc=_text_crc("text"))
     joined = row.join(gone, (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left")
-    text = F.pandas_udf(_without, "string")(F.col("row.text").cast("string"), F.col("ranges")).alias("text")
-    return joined.select(*[text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return out_of_row(joined, docs.columns, text=F.pandas_udf(_without, "string")(F.col("row.text").cast("string"), F.col("ranges")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

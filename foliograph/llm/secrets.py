@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm.common import in_row, out_of_row
+
 # The patterns of the contract, the kinds in their order, and the allow-list.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -145,7 +147,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans")
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of `text` replaced by `mark` (overlapping spans by one mark). Columns stay as they are; n_chars, if there, is counted again for changed texts."""
-    df = scan_secrets(docs, text, "_spans")
+    df = scan_secrets(in_row(docs, given=F.col(f"`{text}`")), "given", "spans")
 
     def disjoint(acc: Column, s: Column) -> Column:
         late = F.greatest(acc["end"], s["start"])
@@ -155,19 +157,20 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
         ).otherwise(acc)
 
     empty = F.array().cast("array<struct<joined:boolean,after:int,start:int>>")
-    folded = F.aggregate("_spans", F.struct(F.lit(0).alias("end"), empty.alias("cuts")), disjoint)
-    df = df.withColumn("_fold", F.when(F.size("_spans") > 0, folded))
-    given = F.col(text)
+    folded = F.aggregate("spans", F.struct(F.lit(0).alias("end"), empty.alias("cuts")), disjoint)
+    df = df.withColumn("fold", F.when(F.size("spans") > 0, folded))
+    given = F.col("given")
     pieces = F.transform(
-        "_fold.cuts",
+        "fold.cuts",
         lambda c: F.when(c["joined"] & (c["after"] > 0), F.lit("")).otherwise(F.concat(F.substring(given, c["after"] + 1, c["start"] - c["after"]), F.lit(mark))),
     )
-    whole = F.concat(F.array_join(pieces, ""), F.substring(given, F.col("_fold.end") + 1, F.length(given)))
-    out = {text: F.when(F.col("_fold").isNotNull(), whole).otherwise(given)}
-    df = df.withColumns(out)
+    whole = F.concat(F.array_join(pieces, ""), F.substring(given, F.col("fold.end") + 1, F.length(given)))
+    found = F.col("fold").isNotNull()
+    df = df.withColumn("masked", F.when(found, whole).otherwise(given))
+    changed = {text: F.col("masked")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_fold").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        changed["n_chars"] = F.when(found, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out_of_row(df, docs.columns, **changed)
 
 
 def digest(spans: str) -> Column:

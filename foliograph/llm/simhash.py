@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import connected_components, written
+from foliograph.llm.common import connected_components, in_row, one_of_each, out_of_row, written
 
 BITS, MATCHES, WORDS, LIST = 3, 5, 3, 20_000
 
@@ -169,10 +169,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id. Rows without doc_id stay."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"] == kept["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.filter("doc_id is null"))
+    """docs without those that are near an earlier one: a group keeps the document with the smallest doc_id. Rows without doc_id stay.
+
+    Of rows that repeat a doc_id and its text one stays, that whose other columns come first as JSON; different texts of one doc_id are one document and stay or go together.
+    """
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = in_row(docs, id=F.col("doc_id").cast("long")).join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    return out_of_row(one_of_each(found, docs.columns), docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -239,8 +239,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted toxic; all columns stay."""
-    stems, weights = fit(docs, labels)
+    """docs without the rows predicted toxic; all columns stay, whatever their names."""
+    stems, weights = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     run = _scorer(stems, weights)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
