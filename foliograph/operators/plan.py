@@ -149,11 +149,11 @@ def strategy_filter(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def plan(docs: DataFrame, logical: DataFrame, sections: DataFrame, block_rows: DataFrame, paras: DataFrame, prototypes: DataFrame, justify: bool = False) -> DataFrame:
     """(doc_id, op_seq, command, type, parent, path, before, props): removes, adds in content order, moves.
 
-    docs: (doc_id, template_id, front_matter_strategy); prototypes with section_context.
+    docs: (doc_id, template_id, front_matter_strategy), and strategy if some documents may not be plannable: those get no operations; prototypes with section_context.
     """
     emitted = slots.emitted_nodes(logical)
-    children = slots.per_document(slots.body_children(paras), docs)
-    classified = slots.classify_elements(children, slots.content_titles(sections, emitted))
+    docs = strategy_filter(docs)[0] if "strategy" in docs.columns else docs
+    classified = slots.classify_elements(slots.body_children(paras), docs, slots.content_titles(sections, emitted))
     templates = docs.select("doc_id", "template_id")
     nodes = emitted.select("doc_id", "node_id", "presentation").join(sections.select("doc_id", "sec_no", F.col("tag").alias("node_id"), "title"), ["doc_id", "node_id"]).join(templates, "doc_id")
     props = body_props(templates, template.body_format(paras), template.body_style(paras), template.best_prototype(prototypes), justify)

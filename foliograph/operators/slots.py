@@ -25,13 +25,13 @@ def content_titles(sections: DataFrame, emitted: DataFrame | None = None) -> Dat
 
 
 def aligned_paras(children: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, template_id, pos) of paragraphs whose text is a title, or shares the whole shorter text of at least 10 characters. children carry doc_id."""
+    """(doc_id, template_id, pos) of paragraphs whose text is a title, or shares the whole shorter text of at least 10 characters. titles: (doc_id, template_id, title)."""
     c = children.filter("kind = 'p'").withColumn("n", T.norm_title(F.col("text"))).filter(F.length("n") >= 3)
-    t = titles.filter("title <> ''").withColumnRenamed("doc_id", "_d")
-    exact = c.join(t, (F.col("doc_id") == F.col("_d")) & (F.col("n") == F.col("title")), "left_semi")
+    t = titles.filter("title <> ''").withColumnRenamed("template_id", "_t")
+    exact = t.join(c, (F.col("template_id") == F.col("_t")) & (F.col("n") == F.col("title")))
     ten = lambda x: F.substring(x, 1, 10)
     shorter = F.col("n").startswith(F.col("title")) | F.col("title").startswith(F.col("n"))
-    near = c.filter(F.length("n") >= 10).join(t.filter(F.length("title") >= 10), (F.col("doc_id") == F.col("_d")) & (ten("n") == ten("title")) & shorter, "left_semi")
+    near = t.filter(F.length("title") >= 10).join(c.filter(F.length("n") >= 10), (F.col("template_id") == F.col("_t")) & (ten("n") == ten("title")) & shorter)
     return exact.select(*_KEY, "pos").union(near.select(*_KEY, "pos")).distinct()
 
 
@@ -51,26 +51,34 @@ def per_document(children: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "template_id", "front_matter_strategy").join(children, "template_id")
 
 
-def anchors(children: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, template_id, pos): headings and placeholders; in a template without headings, placeholders and aligned paragraphs."""
-    p = children.filter("kind = 'p'").withColumn("_any", F.max(F.col("is_heading").cast("int")).over(Window.partitionBy(*_KEY)))
-    strong = p.filter(F.col("is_heading") | T.is_placeholder(F.col("text"))).select(*_KEY, "pos")
-    weak = aligned_paras(p.filter("_any = 0"), titles)
-    return strong.union(weak).distinct()
+def anchors(children: DataFrame) -> DataFrame:
+    """(template_id, lo, hi, last, headed): first and last heading or placeholder, last child, and whether there is a heading. Once for each template."""
+    p = F.col("kind") == "p"
+    heading = p & F.coalesce("is_heading", F.lit(False))
+    at = F.when(heading | (p & F.coalesce(T.is_placeholder(F.col("text")), F.lit(False))), F.col("pos"))
+    return children.groupBy("template_id").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max("pos").alias("last"), F.bool_or(heading).alias("headed"))
 
 
-def slot_span(children: DataFrame, anchor_rows: DataFrame) -> DataFrame:
-    """(doc_id, template_id, lo, hi) where there is an anchor; the strategy 'replace' widens it to all children."""
-    span = anchor_rows.groupBy(*_KEY).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    last = children.groupBy(*_KEY).agg(F.max("pos").alias("_last"), F.first("front_matter_strategy").alias("_strategy"))
-    whole = F.col("_strategy") == "replace"
-    return span.join(last, _KEY).select(*_KEY, F.when(whole, 0).otherwise(F.col("lo")).alias("lo"), F.when(whole, F.col("_last")).otherwise(F.col("hi")).alias("hi"))
+def slot_span(children: DataFrame, docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, template_id, lo, hi) of documents whose template has an anchor; the strategy 'replace' widens it to all children.
 
+    Only in a template without headings do a document's titles count: paragraphs that align with one are anchors too. No row of a child is made for a document here.
+    """
+    a = anchors(children).withColumnRenamed("template_id", "_t")
+    d = docs.select("doc_id", "template_id", "front_matter_strategy").join(a, F.col("template_id") == F.col("_t")).drop("_t")
+    plain = children.join(a.filter("not headed").select("_t"), F.col("template_id") == F.col("_t"), "left_semi")
+    own = d.filter("not headed").select("doc_id", "template_id").join(titles.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d")).drop("_d")
+    found = aligned_paras(plain, own).groupBy(F.col("doc_id").alias("_d")).agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+    d = d.join(found, F.col("doc_id") == F.col("_d"), "left").withColumns({"lo": F.least("lo", "_lo"), "hi": F.greatest("hi", "_hi")}).filter("lo is not null")
+    whole = F.col("front_matter_strategy") == "replace"
+    return d.select(*_KEY, F.when(whole, 0).otherwise(F.col("lo")).alias("lo"), F.when(whole, F.col("last")).otherwise(F.col("hi")).alias("hi"))
 
-def classify_elements(children: DataFrame, titles: DataFrame) -> DataFrame:
-    """children with role (slot, slot_table, furniture, furniture_table) and trailing; without a span all is furniture."""
-    span = slot_span(children, anchors(children, titles))
-    c = children.join(span, _KEY, "left")
+
+def classify_elements(children: DataFrame, docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """The children of each document's template with role (slot, slot_table, furniture, furniture_table) and trailing; without a span all is furniture."""
+    span = slot_span(children, docs, titles).withColumnsRenamed({"doc_id": "_d", "template_id": "_t"})
+    spans = docs.select("doc_id", "template_id", "front_matter_strategy").join(span, (F.col("doc_id") == F.col("_d")) & (F.col("template_id") == F.col("_t")), "left").drop("_d", "_t")
+    c = spans.join(children, "template_id")
     inside = F.coalesce(F.col("pos").between(F.col("lo"), F.col("hi")), F.lit(False))
     table = F.col("kind") == "tbl"
     role = F.when(inside, F.when(table, "slot_table").otherwise("slot")).otherwise(F.when(table, "furniture_table").otherwise("furniture"))

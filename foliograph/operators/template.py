@@ -144,17 +144,24 @@ def best_prototype(prototypes: DataFrame) -> DataFrame:
 def outline_para_ids(outline: DataFrame, prototypes: DataFrame) -> DataFrame:
     """outline with para_id: of the heading with the same text (the last of several), else of the first that begins alike.
 
-    Titles are matched in the order of styles and paragraphs. The prefix join has its own equality on the template and the first character.
+    Titles are matched in the order of styles and paragraphs. Alike are a title that begins with the outline text, and an outline text that begins with the title's first 10 (or as many as the text has)
+    characters; so the first min(10, length) characters of the shorter are equal, and the join is an equality on that many: titles give their prefixes of up to 10 characters, and texts their shorter ones.
     """
     heads = prototypes.filter(F.col("style_name").isin(HEADINGS) & (F.coalesce("para_id", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
     order = F.struct("style_name", "seq")
     titles = heads.groupBy(F.col("template_id").alias("_t"), T.strip(F.col("text")).alias("title")).agg(F.min(order).alias("place"), F.max_by("para_id", order).alias("pid"))
     o = outline.withColumn("_txt", T.strip(F.col("text")))
     o = o.join(titles.select("_t", "title", F.col("pid").alias("exact")), (F.col("template_id") == F.col("_t")) & (F.col("_txt") == F.col("title")), "left").drop("_t", "title")
-    head = lambda c: F.substring(c, 1, 1)
-    alike = F.col("title").startswith(F.col("_txt")) | F.col("_txt").startswith(F.substr("title", F.lit(1), F.least(F.length("_txt"), F.lit(10))))
-    loose = o.filter("exact is null and _txt <> ''").join(titles, (F.col("template_id") == F.col("_t")) & (head("_txt") == head("title")) & alike)
-    loose = loose.groupBy(F.col("template_id").alias("_t"), F.col("index").alias("_i")).agg(F.min_by("pid", "place").alias("near"))
+    prefixes = lambda c, n: F.transform(F.sequence(F.lit(1), n), lambda k: F.substr(c, F.lit(1), k))
+    ten = lambda c: F.least(F.length(c), F.lit(10))
+    begun = titles.filter("title <> ''").withColumn("_key", F.explode(prefixes(F.col("title"), ten("title"))))
+    short = titles.filter("title <> '' and length(title) < 10").withColumn("_key", F.col("title"))
+    open_ = o.filter("exact is null and _txt <> ''").select("template_id", "index", "_txt")
+    whole = open_.withColumn("_own", F.substr("_txt", F.lit(1), ten("_txt")))
+    shorter = open_.filter(F.length("_txt") > 1).withColumn("_own", F.explode(prefixes(F.col("_txt"), ten("_txt") - 1)))
+    meets = (F.col("template_id") == F.col("_t")) & (F.col("_own") == F.col("_key"))
+    both = whole.join(begun, meets).select("_t", "index", "pid", "place").union(shorter.join(short, meets).select("_t", "index", "pid", "place"))
+    loose = both.groupBy("_t", F.col("index").alias("_i")).agg(F.min_by("pid", "place").alias("near"))
     o = o.join(loose, (F.col("template_id") == F.col("_t")) & (F.col("index") == F.col("_i")), "left")
     return o.withColumn("para_id", F.coalesce("exact", "near")).drop("_txt", "exact", "_t", "_i", "near")
 

@@ -47,27 +47,31 @@ def md_corpus_sql(fence: str = "heading") -> str:
  SELECT doc_id, n, {_chunk(FENCES[fence])} AS chunk FROM (SELECT doc_id, n, line FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, n))) GROUP BY doc_id)"""
 
 
+#: Paragraphs of a template: more rows of part are more templates, not longer ones.
+PER_TEMPLATE = 40
+
+
 def template_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraph records of four templates (RAW_SCHEMA of the template operators) from part. Template 3 has no headings; the last four paragraphs of each are trailing prose."""
+    """Paragraph records (RAW_SCHEMA of the template operators) of templates of PER_TEMPLATE rows of part. Every fourth has no headings; the last four paragraphs of each are trailing prose."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    p.createOrReplaceTempView("_part")
     return spark.sql(
         f"""
-WITH t AS (SELECT p_partkey % 4 AS template_id, p_partkey, p_name, p_brand, p_type, p_size,
-                  row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS seq, count(*) OVER (PARTITION BY p_partkey % 4) AS n FROM _part),
+WITH g AS (SELECT (p_partkey - 1) div {PER_TEMPLATE} AS template_id, * FROM {{part}}),
+t AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY p_partkey) AS seq, count(*) OVER (PARTITION BY template_id) AS n FROM g),
 k AS (SELECT *, CASE WHEN seq <= 3 OR seq > n - 4 THEN 9 ELSE seq % 10 END AS kind, {_title("seq div 10")} AS title FROM t)
 SELECT template_id, seq,
-  CASE WHEN kind IN (0, 1) AND template_id <> 3 THEN title WHEN kind = 2 THEN element_at(array('……', '{{{{name}}}}', '[fill in]', 'xxx'), CAST(seq div 10 % 4 + 1 AS INT)) WHEN kind = 4 THEN ''
-       WHEN kind = 5 AND template_id = 3 AND seq BETWEEN 20 AND n - 20 THEN title ELSE p_name END AS text,
+  CASE WHEN kind IN (0, 1) AND template_id % 4 <> 3 THEN title WHEN kind = 2 THEN element_at(array('……', '{{{{{{{{name}}}}}}}}', '[fill in]', 'xxx'), CAST(seq div 10 % 4 + 1 AS INT)) WHEN kind = 4 THEN ''
+       WHEN kind = 5 AND template_id % 4 = 3 AND seq BETWEEN 10 AND n - 10 THEN title ELSE p_name END AS text,
   CASE WHEN kind = 3 THEN concat('/body/tbl[', seq div 10 + 1, ']/tr[1]/tc[1]/p[1]') ELSE concat('/body/p[', seq, ']') END AS path,
   map_filter(map('paraId', lpad(upper(hex(p_partkey)), 8, '0'),
-      'style', CASE WHEN kind = 0 AND template_id <> 3 THEN 'heading 1' WHEN kind = 1 AND template_id <> 3 THEN 'heading 2' WHEN p_size % 2 = 1 THEN 'Normal' END,
+      'style', CASE WHEN kind = 0 AND template_id % 4 <> 3 THEN 'heading 1' WHEN kind = 1 AND template_id % 4 <> 3 THEN 'heading 2' WHEN p_size % 2 = 1 THEN 'Normal' END,
       'markRPr.size', CASE WHEN p_size % 3 = 0 THEN '13pt' WHEN p_size % 3 = 1 THEN '12pt' END, 'effective.size', '11pt',
       'effective.font.ascii', CASE WHEN p_brand < 'Brand#3' THEN 'Times New Roman' ELSE 'Arial' END,
       'align', CASE WHEN p_type LIKE '%STEEL%' THEN 'both' WHEN p_type LIKE '%COPPER%' THEN 'center' END,
       'lineSpacing', CASE WHEN p_size % 3 = 0 THEN '1.5' END, 'lineRule', CASE WHEN p_size % 3 = 0 THEN 'auto' END,
       'ind.firstLine', CASE WHEN p_size % 2 = 1 THEN '1cm' END), (k, v) -> v IS NOT NULL) AS format
-FROM k"""
+FROM k""",
+        part=p,
     )
 
 
@@ -109,10 +113,11 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in ("id", "extends", *none)) for r in rows], P.SCHEMA)
 
 
-def assignments(docs: DataFrame) -> DataFrame:
-    """docs with template_id and profile_id: every third document is a report."""
+def assignments(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """docs with template_id and profile_id: every third document is a report. The number of templates is one row."""
     report = F.col("doc_id") % 3 == 1
-    return docs.select("doc_id", (F.col("doc_id") % 4).alias("template_id"), F.when(report, "report").otherwise("paper").alias("profile_id"), F.when(report, "replace").otherwise("preserve").alias("front_matter_strategy"))
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").agg((F.max(F.expr(f"(p_partkey - 1) div {PER_TEMPLATE}")) + 1).alias("templates"))
+    return docs.crossJoin(F.broadcast(n)).select("doc_id", F.expr("doc_id % templates").alias("template_id"), F.when(report, "report").otherwise("paper").alias("profile_id"), F.when(report, "replace").otherwise("preserve").alias("front_matter_strategy"))
 
 
 def stage2_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

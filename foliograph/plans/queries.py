@@ -131,13 +131,13 @@ def inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- templates --------------------------------------------------------------------------------
 
 _TITLE_SQL = "CASE CAST((seq // 10) % 12 AS INT) " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(X.TITLES)) + " END"
-_PARAS_SQL = f"""t AS (SELECT p_partkey % 4 AS template_id, p_partkey, p_name, p_brand, p_type, p_size,
-   row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS seq, count(*) OVER (PARTITION BY p_partkey % 4) AS n FROM part),
+_PARAS_SQL = f"""g AS (SELECT (p_partkey - 1) // {X.PER_TEMPLATE} AS template_id, * FROM part),
+t AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY p_partkey) AS seq, count(*) OVER (PARTITION BY template_id) AS n FROM g),
 k AS (SELECT *, CASE WHEN seq <= 3 OR seq > n - 4 THEN 9 ELSE seq % 10 END AS kind, {_TITLE_SQL} AS title FROM t),
 q AS (SELECT template_id, seq, kind, lpad(upper(to_hex(p_partkey)), 8, '0') AS para_id,
-   CASE WHEN kind = 0 AND template_id <> 3 THEN 'Heading1' WHEN kind = 1 AND template_id <> 3 THEN 'Heading2' WHEN p_size % 2 = 1 THEN 'Normal' END AS style,
-   CASE WHEN kind IN (0, 1) AND template_id <> 3 THEN title WHEN kind = 2 THEN ['……', '{{{{name}}}}', '[fill in]', 'xxx'][CAST((seq // 10) % 4 + 1 AS INT)] WHEN kind = 4 THEN ''
-        WHEN kind = 5 AND template_id = 3 AND seq BETWEEN 20 AND n - 20 THEN title ELSE p_name END AS text,
+   CASE WHEN kind = 0 AND template_id % 4 <> 3 THEN 'Heading1' WHEN kind = 1 AND template_id % 4 <> 3 THEN 'Heading2' WHEN p_size % 2 = 1 THEN 'Normal' END AS style,
+   CASE WHEN kind IN (0, 1) AND template_id % 4 <> 3 THEN title WHEN kind = 2 THEN ['……', '{{{{name}}}}', '[fill in]', 'xxx'][CAST((seq // 10) % 4 + 1 AS INT)] WHEN kind = 4 THEN ''
+        WHEN kind = 5 AND template_id % 4 = 3 AND seq BETWEEN 10 AND n - 10 THEN title ELSE p_name END AS text,
    kind = 3 AS in_table, CASE WHEN p_size % 3 = 0 THEN '13pt' WHEN p_size % 3 = 1 THEN '12pt' ELSE '11pt' END AS eff_size,
    CASE WHEN p_brand < 'Brand#3' THEN 'Times New Roman' ELSE 'Arial' END AS eff_font,
    CASE WHEN p_type LIKE '%STEEL%' THEN 'both' WHEN p_type LIKE '%COPPER%' THEN 'center' END AS align,
@@ -290,7 +290,7 @@ def chain(spark: SparkSession, sf_dir: str) -> Chain:
     sections = content.section_tags(content.section_heads(numbered)).join(content.section_stats(blocks), ["doc_id", "sec_no"], "left").fillna(0, ["paragraph_count", "word_count"]).fillna("", ["first_paragraph"])
     sections = written(sections.withColumn("body_paragraphs", F.coalesce("body_paragraphs", F.array().cast("array<string>"))), "sections")
     paras = written(_paras(spark, sf_dir), "paras")
-    return Chain(X.assignments(md), sections, blocks, paras, written(_prototypes(spark, sf_dir, paras), "prototypes"), profiles.resolve_profiles(X.profiles(spark))[0], content.document_tree(sections))
+    return Chain(written(X.assignments(spark, sf_dir, md), "assigned"), sections, blocks, paras, written(_prototypes(spark, sf_dir, paras), "prototypes"), profiles.resolve_profiles(X.profiles(spark))[0], content.document_tree(sections))
 
 
 def _routed(c: Chain, lazy: bool = False) -> DataFrame:
@@ -336,14 +336,12 @@ def capability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots and furniture of each document's template."""
     c = chain(spark, sf_dir)
-    children = slots.per_document(slots.body_children(c.paras), c.docs)
-    return slots.classify_elements(children, slots.content_titles(c.sections)).select("doc_id", "template_id", "pos", "kind", "para_id", "tbl_index", "role", "trailing")
+    return slots.classify_elements(slots.body_children(c.paras), c.docs, slots.content_titles(c.sections)).select("doc_id", "template_id", "pos", "kind", "para_id", "tbl_index", "role", "trailing")
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[Chain, DataFrame, DataFrame]:
     c = chain(spark, sf_dir)
     logical = written(placement.logical_nodes(_routed(c), c.profiles), "logical")
-    c.docs = written(c.docs, "docs")
     return c, logical, written(plan.plan(c.docs, logical, c.sections, c.blocks, c.paras, c.prototypes), "plan")
 
 
@@ -379,7 +377,7 @@ def applied_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks over the built documents."""
     c, logical, ops, children, elements = _built(spark, sf_dir)
-    classified = slots.classify_elements(children, slots.content_titles(c.sections, slots.emitted_nodes(logical)))
+    classified = slots.classify_elements(slots.body_children(c.paras), c.docs, slots.content_titles(c.sections, slots.emitted_nodes(logical)))
     return checks.run_checks(c.docs, ops, elements, c.paras, c.sections, logical, template.best_prototype(c.prototypes), template.body_format(c.paras), template.body_style(c.paras), written(classified, "classified"))
 
 

@@ -42,7 +42,7 @@ def test_slots_of_a_template_without_headings(spark):
     p = template.load_template_paras(raw(spark, (None, "Ministry of things"), (None, "Purpose of the visit"), (None, "text"), (None, "……"), (None, "Signature")))
     docs = spark.createDataFrame([(1, 1, "preserve"), (2, 1, "preserve"), (3, 1, "replace")], "doc_id long, template_id long, front_matter_strategy string")
     sections = spark.createDataFrame([(1, "h1_1", "Purpose of the visit to Rome"), (2, "h1_1", "Purpose"), (3, "h1_1", "x")], "doc_id long, tag string, title string")
-    c = slots.classify_elements(slots.per_document(slots.body_children(p), docs), slots.content_titles(sections))
+    c = slots.classify_elements(slots.body_children(p), docs, slots.content_titles(sections))
     got = {(r["doc_id"], r["pos"]): (r["role"], r["trailing"]) for r in c.collect()}
     assert [got[1, i][0] for i in range(5)] == ["furniture", "slot", "slot", "slot", "furniture"] and got[1, 4][1] and not got[1, 0][1]
     assert [got[2, i][0] for i in range(5)] == ["furniture"] * 3 + ["slot", "furniture"]
@@ -95,7 +95,7 @@ def built(spark, sf):
 
 def test_plan_and_checks(spark, built):
     c, logical, ops, children, elements = built
-    classified = slots.classify_elements(children, slots.content_titles(c.sections, slots.emitted_nodes(logical)))
+    classified = slots.classify_elements(slots.body_children(c.paras), c.docs, slots.content_titles(c.sections, slots.emitted_nodes(logical)))
     assert classified.count() == children.count()
     ck = checks.run_checks(c.docs, ops, elements, c.paras, c.sections, logical, template.best_prototype(c.prototypes), template.body_format(c.paras), template.body_style(c.paras), classified)
     rows = ck.collect()
