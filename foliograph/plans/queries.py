@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from foliograph.functions import text as T
 from foliograph.operators import checks, content, placement, plan, profiles, readback, roles, slots, template
 from foliograph.plans import fixtures as X
+from foliograph.plans import sql as S
 from foliograph.sources import tables
-from foliograph.sources.scratch import written
+from foliograph.sources.scratch import once, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,18 +38,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- content ----------------------------------------------------------------------------------
 
-_SECTIONS_SQL = f"""{X.md_corpus_sql()},
-md_lines AS (SELECT doc_id, line_no, line FROM md_corpus, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) WITH ORDINALITY AS u(line, line_no)),
-numbered AS (SELECT doc_id, line_no, line, regexp_matches(line, '^#{{1,3}}\\s+.') AS is_heading,
-   sum(CAST(regexp_matches(line, '^#{{1,3}}\\s+.') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec_no FROM md_lines),
-heads AS (SELECT doc_id, sec_no, line_no, length(regexp_extract(line, '^(#{{1,3}})\\s', 1)) AS level, trim(regexp_extract(line, '^#{{1,3}}\\s+(.*)$', 1)) AS title FROM numbered WHERE is_heading),
-h1 AS (SELECT *, sum(CAST(level = 1 AS INT)) OVER (PARTITION BY doc_id ORDER BY sec_no) AS a FROM heads),
-h2 AS (SELECT *, sum(CAST(level = 2 AS INT)) OVER (PARTITION BY doc_id, a ORDER BY sec_no) AS b FROM h1),
-h3 AS (SELECT *, sum(CAST(level = 3 AS INT)) OVER (PARTITION BY doc_id, a, b ORDER BY sec_no) AS c FROM h2),
-tagged AS (SELECT doc_id, sec_no, line_no, level, title, CASE level WHEN 1 THEN 'h1_' || CASE WHEN a = 0 THEN -1 ELSE a END WHEN 2 THEN 'h2_' || CASE WHEN a = 0 THEN -1 ELSE a END || '_' || b
-   ELSE 'h3_' || CASE WHEN a = 0 THEN -1 ELSE a END || '_' || b || '_' || c END AS tag FROM h3),
-words AS (SELECT doc_id, sec_no, sum(CASE WHEN is_heading THEN 0 ELSE len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) END) AS word_count FROM numbered WHERE sec_no > 0 GROUP BY 1, 2)
-"""
+_SECTIONS_SQL = S.sections()
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -79,14 +69,14 @@ def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("doc_id", "node_id", "parent_id", F.col("word_count").cast("long").alias("word_count"), F.col("child_word_count").cast("long").alias("child_word_count"))
 
 
-@query("content_blocks")
+@query("content_blocks", S.content_blocks())
 def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed blocks of every section, of the corpus with real fence bodies."""
     b = content.blocks(content.section_lines(content.corpus_lines(X.md_corpus(spark, sf_dir, "plain"))))
     return b.select("doc_id", "sec_no", "block_no", "part_no", "kind", "text", "label", "lang", "formula", "ordered", "ncols", "header", "heading_like", F.size("runs").alias("n_runs"))
 
 
-@query("section_stats")
+@query("section_stats", S.section_stats())
 def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph counts, words, flags and first paragraphs of every section."""
     s = content.document_tree(content.sections(X.md_corpus(spark, sf_dir, "plain")))
@@ -98,11 +88,11 @@ def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.doc_summary(_documents(spark, sf_dir), _heads(spark, sf_dir)[1])
 
 
-@query("raw_documents_sections", "SELECT doc_id, CAST(count(*) AS BIGINT) AS section_count FROM documents, unnest(string_split(text, chr(10))) AS u(line) WHERE regexp_matches(line, '^#{1,3}\\s+.') GROUP BY doc_id")
-def raw_documents_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of the plain documents, of which few or none have any."""
-    heads = content.section_heads(content.section_lines(content.corpus_lines(_documents(spark, sf_dir))))
-    return heads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("section_count"))
+@query("tree_nodes", S.tree_nodes())
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of every document's tree, depth first by sec_no."""
+    nodes = content.tree_nodes(chain(spark, sf_dir).tree)
+    return nodes.withColumns({"sec_no": F.col("sec_no").cast("long"), "word_count": F.col("word_count").cast("long"), "child_word_count": F.col("child_word_count").cast("long")})
 
 
 @query(
@@ -121,7 +111,7 @@ def line_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.word_count(c).alias("words"), T.slugify(c).alias("slug"), T.fold_text(c).alias("folded"), T.is_placeholder(c).alias("placeholder"))
 
 
-@query("inline_runs")
+@query("inline_runs", S.inline_runs())
 def inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Styled runs of every line of the Markdown corpus."""
     lines = content.corpus_lines(X.md_corpus(spark, sf_dir))
@@ -191,7 +181,7 @@ def template_best_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("template_id", "style_name", "para_id", "section_context")
 
 
-@query("template_outline_ids")
+@query("template_outline_ids", S.template_outline_ids(_PARAS_SQL))
 def template_outline_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     paras = _paras(spark, sf_dir)
     return template.outline_para_ids(template.template_outline(paras), _prototypes(spark, sf_dir, paras))
@@ -208,7 +198,21 @@ def template_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.body_children(_paras(spark, sf_dir)).select("template_id", "pos", "kind", "para_id", "tbl_index")
 
 
-@query("template_tables")
+@query("template_heading_ids", S.heading_ids(_PARAS_SQL))
+def template_heading_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings' paragraph ids of each template, by style and order."""
+    return template.heading_ids(_prototypes(spark, sf_dir, _paras(spark, sf_dir))).select("template_id", F.array_join("heading_ids", ",").alias("heading_ids"))
+
+
+@query("template_prototypes", S.prototype_counts(_PARAS_SQL))
+def template_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many prototypes each style of a template has, and the first one's paragraph id, from the grouped form."""
+    grouped = template.prototypes_by_style(_prototypes(spark, sf_dir, _paras(spark, sf_dir)))
+    p = grouped.select("template_id", F.explode("prototypes").alias("style_name", "p"))
+    return p.select("template_id", "style_name", F.size("p").cast("long").alias("n"), F.get("p", F.lit(0))["para_id"].alias("first_para"))
+
+
+@query("template_tables", S.template_tables(_PARAS_SQL))
 def template_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.load_template_tables(X.template_tables_raw(spark, sf_dir))
 
@@ -283,6 +287,7 @@ class Chain:
     tree: DataFrame
 
 
+@once
 def chain(spark: SparkSession, sf_dir: str) -> Chain:
     md = written(X.md_corpus(spark, sf_dir), "md")
     numbered = content.section_lines(content.corpus_lines(md))
@@ -293,30 +298,50 @@ def chain(spark: SparkSession, sf_dir: str) -> Chain:
     return Chain(written(X.assignments(spark, sf_dir, md), "assigned"), sections, blocks, paras, written(_prototypes(spark, sf_dir, paras), "prototypes"), profiles.resolve_profiles(X.profiles(spark))[0], content.document_tree(sections))
 
 
-def _routed(c: Chain, lazy: bool = False) -> DataFrame:
+@once
+def _routed(spark: SparkSession, sf_dir: str, lazy: bool = False) -> DataFrame:
+    c = chain(spark, sf_dir)
     return written(roles.router_classify(roles.nodes_of(c.tree, c.docs), c.profiles, lazy), "routed")
 
 
-@query("router_roles")
+@query("router_roles", S.router_roles())
 def router_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles by keyword, similarity, and similarity with the first paragraph."""
-    return _routed(chain(spark, sf_dir), lazy=True).select("doc_id", "node_id", "semantic_role", "confidence", "evidence")
+    return _routed(spark, sf_dir, lazy=True).select("doc_id", "node_id", "semantic_role", "confidence", "evidence")
 
 
 @query("role_review")
 def role_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warnings after answers for unsure nodes are merged, and the budget of each document."""
     c = chain(spark, sf_dir)
-    merged, warnings = roles.merge_answers(_routed(c), X.stage2_answers(spark, sf_dir), c.profiles)
+    merged, warnings = roles.merge_answers(_routed(spark, sf_dir), X.stage2_answers(spark, sf_dir), c.profiles)
     merged = written(merged, "merged")
     all_ = warnings.select("doc_id", "warning").union(roles.quality_gate(merged, c.profiles, c.docs))
     return roles.evidence_budget(merged).join(all_.groupBy("doc_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings")), "doc_id", "left")
 
 
-@query("logical_placement")
+@query("logical_placement", S.logical_placement())
 def logical_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chain(spark, sf_dir)
-    return placement.logical_nodes(_routed(c), c.profiles)
+    return placement.logical_nodes(_routed(spark, sf_dir), c.profiles)
+
+
+@query("stage2_worklist", S.stage2_worklist())
+def stage2_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose role is unsure, with what a reviewer needs."""
+    c = chain(spark, sf_dir)
+    work = roles.stage2_worklist(_routed(spark, sf_dir), c.tree, c.profiles)
+    return work.select("doc_id", "node_id", "profile_id", "semantic_role", "confidence", "title", "level", "first_paragraph")
+
+
+@query("logical_docs", S.logical_docs())
+def logical_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placement totals of every document with the features that its profile degrades."""
+    c = chain(spark, sf_dir)
+    report = profiles.negotiate_capabilities(profiles.detect_features(c.sections, c.blocks), c.docs, c.profiles)
+    d = placement.apply_capabilities(placement.logical_docs(placement.logical_nodes(_routed(spark, sf_dir), c.profiles)), report)
+    degraded = F.coalesce(F.array_join(F.transform("capability_report", lambda r: r["feature"]), ","), F.lit(""))
+    return d.select("doc_id", "profile_id", "strategy", "front_matter_strategy", "outline_shift", "emitted", "preserved", degraded.alias("degraded"))
 
 
 @query("synthesized_profiles")
@@ -326,22 +351,23 @@ def synthesized_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "template_id", "id", "extends", "front_matter_strategy", F.to_json("keyword_rules").alias("keyword_rules"), "role_vocabulary", F.array_sort(F.map_keys("capabilities")).alias("capabilities"))
 
 
-@query("capability_report")
+@query("capability_report", S.capability_report())
 def capability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chain(spark, sf_dir)
     return profiles.negotiate_capabilities(profiles.detect_features(c.sections, c.blocks), c.docs, c.profiles)
 
 
-@query("slot_classes")
+@query("slot_classes", S.slot_classes(_PARAS_SQL))
 def slot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots and furniture of each document's template."""
     c = chain(spark, sf_dir)
     return slots.classify_elements(slots.body_children(c.paras), c.docs, slots.content_titles(c.sections)).select("doc_id", "template_id", "pos", "kind", "para_id", "tbl_index", "role", "trailing")
 
 
+@once
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[Chain, DataFrame, DataFrame]:
     c = chain(spark, sf_dir)
-    logical = written(placement.logical_nodes(_routed(c), c.profiles), "logical")
+    logical = written(placement.logical_nodes(_routed(spark, sf_dir), c.profiles), "logical")
     return c, logical, written(plan.plan(c.docs, logical, c.sections, c.blocks, c.paras, c.prototypes), "plan")
 
 
@@ -352,11 +378,12 @@ def rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select("doc_id", "op_seq", "command", "type", "parent", "path", "before", F.to_json(F.array_sort(F.map_entries("props"))).alias("props"))
 
 
-@query("plan_summary")
+@query("plan_summary", S.plan_summary(_PARAS_SQL))
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.plan_summary(_planned(spark, sf_dir)[2])
 
 
+@once
 def _built(spark: SparkSession, sf_dir: str):
     c, logical, ops = _planned(spark, sf_dir)
     failed = ops.filter("type = 'equation' and op_seq % 2 = 0").select("doc_id", "op_seq")

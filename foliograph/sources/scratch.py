@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests) a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset a local master gets a temporary one, and a cluster an error."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = context.getCheckpointDir()
     return folder
@@ -24,3 +27,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(build):
+    """build(spark, ...) is run once for each application and its arguments; the tables that it writes are shared by all queries of a session."""
+    built: dict[tuple, object] = {}
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, *args, **kwargs):
+        key = (spark.sparkContext.applicationId, id(spark), args, tuple(sorted(kwargs.items())))
+        if key not in built:
+            built[key] = build(spark, *args, **kwargs)
+        return built[key]
+
+    return get
