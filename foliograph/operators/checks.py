@@ -37,7 +37,7 @@ def _spread(docs: DataFrame, grouped: DataFrame) -> DataFrame:
 def nonempty(docs: DataFrame, plan_ops: DataFrame) -> DataFrame:
     d = _spread(docs, plan_ops.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     n = F.coalesce("n", F.lit(0))
-    return _rows(d, "nonempty", n > 0, "error", F.when(n > 0, F.format_string("%d ops", n)).otherwise("the plan is empty"))
+    return _rows(d, "nonempty", n > 0, "error", F.when(n > 0, F.format_string("the plan has %d operations", n)).otherwise("the plan has no operation"))
 
 
 def remove_targets(docs: DataFrame, plan_ops: DataFrame, paras: DataFrame) -> DataFrame:
@@ -46,18 +46,18 @@ def remove_targets(docs: DataFrame, plan_ops: DataFrame, paras: DataFrame) -> Da
     r = r.join(docs.select("doc_id", "template_id"), "doc_id").join(paras.select("template_id", "para_id").distinct(), ["template_id", "para_id"], "left_anti")
     d = _spread(docs, r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), _first(F.col("para_id"), "op_seq", 8).alias("d")))
     n = F.coalesce("n", F.lit(0))
-    return _rows(d, "remove_targets", n == 0, "error", F.when(n == 0, "all remove targets exist in template").otherwise(F.format_string("%d remove targets not in template body", n)), F.col("d"))
+    return _rows(d, "remove_targets", n == 0, "error", F.when(n == 0, "everything removed is in the template").otherwise(F.format_string("%d removed paragraphs are unknown to the template", n)), F.col("d"))
 
 
 def add_p_style(docs: DataFrame, plan_ops: DataFrame) -> DataFrame:
     bad = (F.col("command") == "add") & (F.col("type") == "p") & (F.coalesce(F.try_element_at("props", F.lit("style")), F.lit("")) == "")
-    return _counted(docs, plan_ops.filter(bad), "add_p_style", "all paragraphs carry a style", "%d paragraphs without a style", 8)
+    return _counted(docs, plan_ops.filter(bad), "add_p_style", "each added paragraph has a style", "%d added paragraphs have no style", 8)
 
 
 def runs_nonempty(docs: DataFrame, plan_ops: DataFrame) -> DataFrame:
     """No run is empty; a single space is a text."""
     bad = (F.col("command") == "add") & (F.col("type") == "r") & (F.coalesce(F.try_element_at("props", F.lit("text")), F.lit("")) == "")
-    return _counted(docs, plan_ops.filter(bad), "runs_nonempty", "all runs carry text", "%d empty run texts", 8)
+    return _counted(docs, plan_ops.filter(bad), "runs_nonempty", "each added run has a text", "%d added runs have an empty text", 8)
 
 
 def _counted(docs: DataFrame, bad: DataFrame, name: str, good: str, said: str, most: int) -> DataFrame:
@@ -80,17 +80,17 @@ def para_count(docs: DataFrame, plan_ops: DataFrame, sections: DataFrame, logica
     want = s.groupBy("doc_id").agg(F.count_if(F.col("type").startswith("heading")).alias("h"), F.sum("paragraph_count").alias("b"))
     d = _spread(docs, added).join(want, "doc_id", "left").fillna(0, ["a", "h", "b"])
     ok = F.col("a") == F.col("h") + F.col("b")
-    said = F.format_string("%d paragraphs built != %d expected (%d headings + %d body)", "a", F.col("h") + F.col("b"), "h", "b")
-    return _rows(d, "para_count", ok, "error", F.when(ok, F.format_string("%d paragraphs as the content has", "a")).otherwise(said))
+    said = F.format_string("%d paragraphs are added, the content has %d: %d headings and %d in bodies", "a", F.col("h") + F.col("b"), "h", "b")
+    return _rows(d, "para_count", ok, "error", F.when(ok, F.format_string("%d paragraphs are added, as many as the content has", "a")).otherwise(said))
 
 
 def heading_order(docs: DataFrame, headings: DataFrame) -> DataFrame:
     """S1: no heading (doc_id, seq, level) is more than one level below the one before."""
     h = headings.withColumn("prev", F.lag("level").over(Window.partitionBy("doc_id").orderBy("seq")))
-    jump = F.when(F.col("level") > F.col("prev") + 1, F.format_string("line %d: jump H%d -> H%d", "seq", "prev", "level"))
+    jump = F.when(F.col("level") > F.col("prev") + 1, F.format_string("element %d goes from level %d to %d", "seq", "prev", "level"))
     d = _spread(docs, h.groupBy("doc_id").agg(F.count(jump).alias("n"), _first(jump, "seq", 1_000_000).alias("d")))
     n = F.coalesce("n", F.lit(0))
-    return _rows(d, "S1", n == 0, "warning", F.when(n == 0, "Heading hierarchy OK").otherwise(F.format_string("%d hierarchy jumps", n)), F.col("d"))
+    return _rows(d, "S1", n == 0, "warning", F.when(n == 0, "no heading skips a level").otherwise(F.format_string("%d headings skip a level", n)), F.col("d"))
 
 
 def _judged(docs: DataFrame, elements: DataFrame, furniture: DataFrame | None) -> DataFrame:
@@ -104,12 +104,12 @@ def font_size(docs: DataFrame, elements: DataFrame, best: DataFrame, styles: Dat
     want = best.join(styles, "template_id", "left").filter(F.col("style_name").isin("Heading1", "Heading2", "Heading3") | F.coalesce(F.col("style_name") == F.col("body_style"), F.lit(False)))
     want = want.select("template_id", F.col("style_name").alias("style"), F.nullif("effective_font", F.lit("")).alias("ef"), F.coalesce(F.nullif("explicit_size", F.lit("")), F.nullif("effective_size", F.lit(""))).alias("es"))
     p = _judged(docs, elements, furniture).join(want, ["template_id", "style"])
-    wrong = lambda got, exp, what: F.when(F.nullif(got, F.lit("")) != exp, F.format_string(f"%s: {what} '%s' != expected '%s'", F.col("style"), got, exp))
+    wrong = lambda got, exp, what: F.when(F.nullif(got, F.lit("")) != exp, F.format_string(f"style %s has {what} %s instead of %s", F.col("style"), got, exp))
     found = F.array_compact(F.array(wrong(F.col("font"), F.col("ef"), "font"), wrong(F.col("size"), F.col("es"), "size")))
     g = p.withColumn("w", found).groupBy("doc_id").agg(F.count(F.lit(1)).alias("checked"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("style", "seq", "w"))), lambda x: x["w"]))).alias("d"))
     d = _spread(docs, g)
     n = F.size(F.coalesce("d", F.array().cast("array<string>")))
-    return _rows(d, "S3", n == 0, "warning", F.when(n == 0, F.format_string("Font/size match template (%d paragraphs)", F.coalesce("checked", F.lit(0)))).otherwise(F.format_string("%d font/size mismatches vs template", n)), F.slice("d", 1, 6))
+    return _rows(d, "S3", n == 0, "warning", F.when(n == 0, F.format_string("fonts and sizes agree in %d paragraphs", F.coalesce("checked", F.lit(0)))).otherwise(F.format_string("%d kinds of font or size differ from the template", n)), F.slice("d", 1, 6))
 
 
 def _body(docs: DataFrame, elements: DataFrame, styles: DataFrame, furniture: DataFrame | None, default: bool) -> DataFrame:
@@ -122,11 +122,11 @@ def first_line_indent(docs: DataFrame, elements: DataFrame, best: DataFrame, sty
     want = best.join(styles, "template_id").filter("style_name = body_style").select("template_id", F.col("ind_first_line").alias("exp"))
     want = want.filter(~F.coalesce("exp", F.lit("")).isin("", "0", "0pt", "0cm"))
     b = _body(docs, elements, styles, furniture, False).join(want, "template_id")
-    bad = F.when(~F.col("ind_first_line").eqNullSafe(F.col("exp")), F.format_string("'%s' indent=%s (exp %s)", F.substring("text", 1, 30), F.coalesce("ind_first_line", F.lit("None")), "exp"))
+    bad = F.when(~F.col("ind_first_line").eqNullSafe(F.col("exp")), F.format_string("%s: first line at %s instead of %s", F.substring("text", 1, 30), F.coalesce("ind_first_line", F.lit("None")), "exp"))
     d = _spread(docs, b.groupBy("doc_id").agg(F.count(bad).alias("n"), _first(bad, "seq", 5).alias("d"), F.max("exp").alias("exp")))
     n = F.coalesce("n", F.lit(0))
-    good = F.coalesce(F.concat(F.lit("Body first-line indent = "), "exp"), F.lit("no first-line indent to enforce"))
-    return _rows(d, "S4", n == 0, "warning", F.when(n == 0, good).otherwise(F.format_string("%d body paragraphs wrong indent", n)), F.col("d"))
+    good = F.coalesce(F.concat(F.lit("bodies begin their first line at "), "exp"), F.lit("the template has no first-line indent"))
+    return _rows(d, "S4", n == 0, "warning", F.when(n == 0, good).otherwise(F.format_string("%d body paragraphs have another first-line indent", n)), F.col("d"))
 
 
 def trailing_empties(docs: DataFrame, elements: DataFrame, styles: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def trailing_empties(docs: DataFrame, elements: DataFrame, styles: DataFrame) ->
     kept = F.coalesce(F.col("style").isin(KEEP) | (F.col("style") == F.col("body_style")), F.col("style").isNull() & F.col("body_style").isNull(), F.lit(False))
     empty = (T.strip(F.coalesce("text", F.lit(""))) == "") & ~kept
     d = _spread(docs, p.groupBy("doc_id").agg(F.count_if(empty).alias("n")))
-    said = F.when(F.col("n").isNull(), "No paragraphs").when(F.col("n") > 0, F.format_string("%d trailing empty paras (informational)", "n")).otherwise("No stray trailing empties")
+    said = F.when(F.col("n").isNull(), "no paragraph at all").when(F.col("n") > 0, F.format_string("%d empty paragraphs near the end", "n")).otherwise("no empty paragraph near the end")
     return _rows(d, "S5", F.col("n").isNotNull(), "error", said)
 
 
@@ -146,11 +146,11 @@ def line_spacing(docs: DataFrame, elements: DataFrame, formats: DataFrame, style
     value = lambda k: F.try_element_at("body_format", F.lit(k))
     want = formats.select("template_id", value("lineSpacing").alias("spacing"), value("lineRule").alias("rule")).filter("spacing is not null")
     b = _body(docs, elements, styles, furniture, True).join(want, "template_id")
-    bad = F.when((F.col("line_rule") == "exact") & ~F.coalesce(F.col("rule") == "exact", F.lit(False)), F.format_string("'%s' lineRule=exact (exp %s)", F.substring("text", 1, 30), F.coalesce("rule", F.lit("None"))))
+    bad = F.when((F.col("line_rule") == "exact") & ~F.coalesce(F.col("rule") == "exact", F.lit(False)), F.format_string("%s: exact line height, the template has %s", F.substring("text", 1, 30), F.coalesce("rule", F.lit("None"))))
     d = _spread(docs, b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("checked"), F.count(bad).alias("n"), _first(bad, "seq", 5).alias("d")))
     n = F.coalesce("n", F.lit(0))
-    good = F.when(F.col("checked").isNull(), "no body line-spacing to enforce").otherwise(F.format_string("Body line spacing OK (%d paragraphs)", "checked"))
-    return _rows(d, "S6", n == 0, "error", F.when(n == 0, good).otherwise(F.format_string("%d body paragraphs use exact line height (text crush)", n)), F.col("d"))
+    good = F.when(F.col("checked").isNull(), "the template has no line spacing").otherwise(F.format_string("%d body paragraphs have free line height", "checked"))
+    return _rows(d, "S6", n == 0, "error", F.when(n == 0, good).otherwise(F.format_string("%d body paragraphs have an exact line height", n)), F.col("d"))
 
 
 def completeness(docs: DataFrame, elements: DataFrame, sections: DataFrame, styles: DataFrame, logical: DataFrame | None = None) -> DataFrame:
@@ -159,7 +159,7 @@ def completeness(docs: DataFrame, elements: DataFrame, sections: DataFrame, styl
     want = _emitted_sections(sections, logical).groupBy("doc_id").agg(F.sum("paragraph_count").alias("e"))
     d = _spread(docs, got).join(want, "doc_id", "left").fillna(0, ["a", "e"])
     ok = (F.col("e") == 0) | (F.col("a") >= COMPLETE * F.col("e"))
-    return _rows(d, "S7", ok, "error", F.format_string("%s: %d/%d body paragraphs", F.when(ok, "Content complete").otherwise("Incomplete"), "a", "e"))
+    return _rows(d, "S7", ok, "error", F.format_string("%s: %d body paragraphs of %d", F.when(ok, "enough content").otherwise("content is missing"), "a", "e"))
 
 
 def heading_counts(docs: DataFrame, elements: DataFrame, sections: DataFrame, logical: DataFrame | None = None) -> DataFrame:
@@ -172,10 +172,10 @@ def heading_counts(docs: DataFrame, elements: DataFrame, sections: DataFrame, lo
     got = elements.filter("kind = 'para' and style in ('Heading1', 'Heading2', 'Heading3')").filter(T.strip(F.coalesce("text", F.lit(""))) != "")
     count = lambda df, n: df.groupBy("doc_id", "style").agg(F.count(F.lit(1)).alias(n))
     both = count(got, "g").join(count(want, "e"), ["doc_id", "style"], "full").fillna(0, ["g", "e"])
-    bad = F.when(F.col("g") != F.col("e"), F.format_string("%s: %d in doc != %d expected", "style", "g", "e"))
+    bad = F.when(F.col("g") != F.col("e"), F.format_string("%s: %d headings instead of %d", "style", "g", "e"))
     d = _spread(docs, both.groupBy("doc_id").agg(F.count(bad).alias("n"), _first(bad, "style", 3).alias("d")))
     n = F.coalesce("n", F.lit(0))
-    return _rows(d, "S8", n == 0, "error", F.when(n == 0, "Heading counts match source").otherwise("Heading counts differ from source"), F.col("d"))
+    return _rows(d, "S8", n == 0, "error", F.when(n == 0, "as many headings as planned").otherwise("more or fewer headings than planned"), F.col("d"))
 
 
 def furniture_survived(docs: DataFrame, elements: DataFrame, classified: DataFrame) -> DataFrame:
@@ -186,15 +186,15 @@ def furniture_survived(docs: DataFrame, elements: DataFrame, classified: DataFra
     want = classified.groupBy("doc_id").agg(F.count_if(F.col("role") == "furniture_table").alias("et"), F.count_if((F.col("role") == "furniture") & (F.coalesce("para_id", F.lit("")) != "")).alias("ep"))
     got = elements.groupBy("doc_id").agg(F.count_if(F.col("kind") == "table").alias("gt"))
     d = _spread(docs, want).join(lost, "doc_id", "left").join(got, "doc_id", "left").fillna(0, ["et", "ep", "lost", "gt"])
-    a = F.when(F.col("lost") > 0, F.format_string("%d furniture paragraph(s) deleted: %s", "lost", F.array_join(F.slice("ids", 1, 5), ", ")))
-    b = F.when(F.col("gt") < F.col("et"), F.format_string("furniture tables: %d/%d survive (%d deleted)", "gt", "et", F.col("et") - F.col("gt")))
+    a = F.when(F.col("lost") > 0, F.format_string("%d fixed paragraphs are gone: %s", "lost", F.array_join(F.slice("ids", 1, 5), ", ")))
+    b = F.when(F.col("gt") < F.col("et"), F.format_string("%d of %d fixed tables are left, %d are gone", "gt", "et", F.col("et") - F.col("gt")))
     ok = (F.col("lost") == 0) & (F.col("gt") >= F.col("et"))
-    return _rows(d, "S9", ok, "error", F.when(ok, F.format_string("Furniture preserved (%d paras, %d tables)", "ep", "et")).otherwise("Template furniture was destroyed"), F.array_compact(F.array(a, b)))
+    return _rows(d, "S9", ok, "error", F.when(ok, F.format_string("all %d fixed paragraphs and %d fixed tables are there", "ep", "et")).otherwise("fixed parts of the template are gone"), F.array_compact(F.array(a, b)))
 
 
 def skipped(docs: DataFrame, name: str) -> DataFrame:
     """A check whose inputs are missing: passes with a note."""
-    return _rows(docs.select("doc_id").distinct(), name, F.lit(True), "info", F.lit("inputs missing, skipped"))
+    return _rows(docs.select("doc_id").distinct(), name, F.lit(True), "info", F.lit("not checked, as its inputs are missing"))
 
 
 def run_checks(docs: DataFrame, plan_ops=None, elements=None, paras=None, sections=None, logical=None, best=None, formats=None, styles=None, classified=None) -> DataFrame:

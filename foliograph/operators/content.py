@@ -112,9 +112,12 @@ def line_modes(numbered: DataFrame) -> DataFrame:
 def block_lines(modes: DataFrame) -> DataFrame:
     """Lines with kind (code, equation, break, list, table, text or a registered kind) and block_no; lines that belong to no block are gone."""
     text = F.col("mode") == "t"
-    kind = F.when(F.col("mode").isin("o", "b", "c"), "code").when(~text, "equation").when(F.col("line").rlike(THEMATIC), "break")
-    kind = kind.when(F.col("line").rlike(BULLET) | F.col("line").rlike(ORDERED), "list").when(F.col("line").rlike(TABLE_ROW), "table")
-    for spec in registry.block_kinds():
+    kind = F.when(F.col("mode").isin("o", "b", "c"), "code").when(~text, "equation")
+    own = registry.block_kinds()
+    for spec in (s for s in own if s.priority < 0):
+        kind = kind.when(spec.match(F.col("line")), spec.kind)
+    kind = kind.when(F.col("line").rlike(THEMATIC), "break").when(F.col("line").rlike(BULLET) | F.col("line").rlike(ORDERED), "list").when(F.col("line").rlike(TABLE_ROW), "table")
+    for spec in (s for s in own if s.priority >= 0):
         kind = kind.when(spec.match(F.col("line")), spec.kind)
     rows = modes.withColumn("kind", kind.otherwise("text"))
     w = Window.partitionBy("doc_id", "sec_no").orderBy("line_no")

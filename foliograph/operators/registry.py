@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 
 @dataclass(frozen=True)
 class BlockKind:
-    """A kind of block: its line test, its number of paragraphs, and what its plan operations are (None: a paragraph's)."""
+    """A kind of block: its line test, its number of paragraphs, what its plan operations are (None: a paragraph's), and its priority: kinds below 0 come before the built-in ones."""
 
     kind: str
     match: Callable[[Column], Column]
     count: int = 1
     ops: Callable[[DataFrame], DataFrame] | None = None
+    priority: int = 0
 
 
 _BLOCKS: dict[str, BlockKind] = {}
@@ -23,9 +24,9 @@ _CHECKS: dict[str, Callable[..., DataFrame]] = {}
 _FEATURES: dict[str, tuple[str, str]] = {}
 
 
-def register_block(kind: str, match: Callable[[Column], Column], count: int = 1, ops: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Adds a block kind after the built-in ones; consecutive matching lines make one block."""
-    _BLOCKS[kind] = BlockKind(kind, match, count, ops)
+def register_block(kind: str, match: Callable[[Column], Column], count: int = 1, ops: Callable[[DataFrame], DataFrame] | None = None, priority: int = 0) -> None:
+    """Adds a block kind; consecutive matching lines make one block. Lines are tested in the order of priority, then of registration; below 0 before breaks, lists and tables, else after them. Fences come first."""
+    _BLOCKS[kind] = BlockKind(kind, match, count, ops, priority)
 
 
 def unregister_block(kind: str) -> None:
@@ -33,7 +34,7 @@ def unregister_block(kind: str) -> None:
 
 
 def block_kinds() -> list[BlockKind]:
-    return list(_BLOCKS.values())
+    return sorted(_BLOCKS.values(), key=lambda b: b.priority)
 
 
 def register_check(name: str, check: Callable[..., DataFrame]) -> None:

@@ -263,7 +263,7 @@ def content_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.detect_signals(_heads(spark, sf_dir)[1])
 
 
-@query("profile_errors")
+@query("profile_errors", S.profile_errors())
 def profile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose profile can't be resolved: every twelfth is assigned a broken one."""
     _, errors = profiles.resolve_profiles(X.profiles(spark))
@@ -378,16 +378,26 @@ def rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select("doc_id", "op_seq", "command", "type", "parent", "path", "before", F.to_json(F.array_sort(F.map_entries("props"))).alias("props"))
 
 
+@query("plan_operations", S.plan_operations(_PARAS_SQL))
+def plan_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operations of every document in order, with the text or formula and the style that they set."""
+    prop = lambda k: F.try_element_at("props", F.lit(k))
+    return _planned(spark, sf_dir)[2].select("doc_id", "op_seq", "command", "type", "parent", "path", "before", F.coalesce(prop("text"), prop("formula")).alias("text"), prop("style").alias("style"))
+
+
 @query("plan_summary", S.plan_summary(_PARAS_SQL))
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.plan_summary(_planned(spark, sf_dir)[2])
 
 
+def _failed(ops: DataFrame) -> DataFrame:
+    return ops.filter("type = 'equation' and op_seq % 2 = 0").select("doc_id", "op_seq")
+
+
 @once
 def _built(spark: SparkSession, sf_dir: str):
     c, logical, ops = _planned(spark, sf_dir)
-    failed = ops.filter("type = 'equation' and op_seq % 2 = 0").select("doc_id", "op_seq")
-    ops, _ = plan.degrade_equations(ops, failed)
+    ops, _ = plan.degrade_equations(ops, _failed(ops))
     children = slots.per_document(slots.body_children(c.paras), c.docs)
     formats = c.paras.select("template_id", "para_id", "style", "align", "eff_size", "eff_font", "line_rule")
     elements = plan.apply_plan(children.join(formats, ["template_id", "para_id"], "left"), ops)
@@ -400,6 +410,27 @@ def applied_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir)[-1]
 
 
+@query("applied_elements", S.applied_elements(_PARAS_SQL))
+def applied_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind, origin, style, text and size of the built documents' elements."""
+    return _built(spark, sf_dir)[-1].select("doc_id", "seq", "kind", "para_id", "style", "text", "tbl_index", "rows", "cols")
+
+
+@query("apply_summary", S.apply_summary(_PARAS_SQL))
+def apply_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many operations of each document were applied, failed, and were replaced by text."""
+    ops = _planned(spark, sf_dir)[2]
+    failed = _failed(ops)
+    return plan.apply_summary(ops, failed, plan.degrade_equations(ops, failed)[1])
+
+
+@query("check_errors", S.check_errors(_PARAS_SQL))
+def check_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which structural checks each built document passes."""
+    names = ["nonempty", "add_p_style", "runs_nonempty", "para_count", "S1", "S5", "S7", "S8", "S9"]
+    return rule_checks(spark, sf_dir).filter(F.col("name").isin(names)).select("doc_id", "name", "passed")
+
+
 @query("rule_checks")
 def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks over the built documents."""
@@ -420,14 +451,25 @@ def readback_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readback.observations(elements, written(readback.source_blob(c.sections, c.blocks), "blobs"))
 
 
+@query("readback_counts", S.readback_counts(_PARAS_SQL))
+def readback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted signals of the readback."""
+    return readback_observations(spark, sf_dir).filter("signal <> 'foreign_text_paragraphs'").select("doc_id", "signal", "value")
+
+
 @query("readback_view")
 def readback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readback.render_view(_built(spark, sf_dir)[-1])
 
 
-@query("content_json")
+@query("content_json", S.content_json())
 def content_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested content of every document as JSON."""
+    """The nested content of every document, written as JSON and read again: what its sections and its tree hold."""
     c = chain(spark, sf_dir)
-    ir = tables.content_ir(_documents(spark, sf_dir).select("doc_id"), c.sections, c.blocks)
-    return ir.select("doc_id", "section_count", F.to_json(F.struct(*ir.columns)).alias("json"))
+    ir = tables.content_ir(_documents(spark, sf_dir).select("doc_id"), c.sections, c.blocks, c.tree)
+    inner = ir.select("doc_id", F.to_json(F.struct(*ir.columns)).alias("json"))
+    back = inner.select("doc_id", F.from_json("json", ir.schema).alias("r")).select("doc_id", "r.source_file", "r.section_count", "r.sections", "r.document_tree")
+    listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
+    kinds = lambda s: F.concat_ws(":", s["tag"], F.array_join(F.transform(F.coalesce(s["body_blocks"], F.array()), lambda b: b["kind"]), ","))
+    node = lambda n: F.concat_ws("<", n["node_id"], n["parent_id"])
+    return back.select("doc_id", "source_file", "section_count", listed("sections", kinds).alias("kinds"), listed("document_tree", node).alias("tree"))

@@ -310,3 +310,111 @@ def prototype_counts(paras: str) -> str:
 
 def tree_nodes() -> str:
     return f"WITH {sections()}, {BLOCKS}, {TREE} SELECT doc_id, sec_no, tag AS node_id, parent_id, title, level, word_count, child_word_count, first_paragraph FROM tree"
+
+
+def profile_errors() -> str:
+    return "SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'orphan' ELSE 'a' END AS id, CASE doc_id % 12 WHEN 0 THEN 'missing parent: nowhere' ELSE 'cycle: a -> b -> a' END AS error FROM documents WHERE doc_id % 12 < 2"
+
+
+def content_json() -> str:
+    return f"""WITH {sections()}, {BLOCKS}, {TREE}, k AS (SELECT doc_id, sec_no, string_agg(kind, ',' ORDER BY block_no, part_no) AS kinds FROM blk GROUP BY 1, 2),
+n AS (SELECT doc_id, count(*) AS n, string_agg(tag || ':' || coalesce(kinds, ''), '|' ORDER BY sec_no) AS kinds, string_agg(concat_ws('<', tag, parent_id), '|' ORDER BY sec_no) AS tree FROM tree LEFT JOIN k USING (doc_id, sec_no) GROUP BY 1)
+SELECT doc_id, 'doc-' || doc_id || '.md' AS source_file, CAST(coalesce(n.n, 0) AS INT) AS section_count, coalesce(n.kinds, '') AS kinds, coalesce(n.tree, '') AS tree FROM documents LEFT JOIN n USING (doc_id)"""
+
+
+# ---- operations, built documents, checks, readback ----------------------------------------------
+
+_LAST = "/body/p[last()]"
+
+
+def _formula(x: str) -> str:
+    from foliograph.functions.text import SIZING
+
+    for old, new in SIZING:
+        x = f"replace({x}, {_q(old)}, {_q(new)})"
+    return x
+
+
+def _operations(paras: str) -> str:
+    """CTEs up to ops (doc_id, op_seq, command, type, parent, path, before_, text, style, display): the whole plan in order."""
+    cells = f"string_split(regexp_replace(regexp_replace({trimmed('line')}, '^\\|', ''), '\\|$', ''), '|')"
+    item = r"CASE WHEN regexp_matches(line, '^\s*\d+[.)]\s+') THEN regexp_extract(line, '^\s*\d+[.)]\s+(.*)$', 1) ELSE regexp_extract(line, '^\s*[-*+]\s+(.*)$', 1) END"
+    return f"""{routed(False)}, {LOGICAL}, {paras}, {slots("l.intent NOT IN ('preserve', 'remove')")},
+live AS (SELECT l.doc_id, l.sec_no, l.presentation, s.title, coalesce(b.body_style, 'Normal') AS body_style FROM logical l JOIN secs s USING (doc_id, sec_no) JOIN assigned a ON a.doc_id = l.doc_id LEFT JOIN
+  (SELECT template_id, style AS body_style FROM (SELECT template_id, coalesce(style, 'Normal') AS style, row_number() OVER (PARTITION BY template_id ORDER BY count(*) DESC, min(seq)) AS r FROM cohort GROUP BY 1, 2) WHERE r = 1) b USING (template_id)
+  WHERE l.intent NOT IN ('preserve', 'remove')),
+placed AS (SELECT i.*, row_number() OVER (PARTITION BY doc_id, sec_no, block_no ORDER BY line_no) - 1 AS at_ FROM i5 i WHERE kind IN ('list', 'table') OR (kind = 'code' AND mode = 'b')),
+piece AS (SELECT doc_id, sec_no, block_no, part_no, 0 AS d, 0 AS c, '{_LAST}' AS parent, txt, heading_like AND NOT raw LIKE '####%' AS one, true AS own FROM blk WHERE txt IS NOT NULL
+  UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, 0, '{_LAST}', {trimmed(item)}, false, true FROM placed WHERE kind = 'list' UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, 0, '{_LAST}', CASE line WHEN '' THEN ' ' ELSE line END, true, true FROM placed WHERE kind = 'code'
+  UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, c - 1, '/body/tbl[last()]/tr[last()]/tc[' || c || ']/p[last()]', {trimmed("x")}, false, false FROM placed, unnest({cells}) WITH ORDINALITY AS u(x, c) WHERE kind = 'table'),
+texts AS (SELECT DISTINCT txt FROM piece WHERE NOT one), {runs("texts")},
+raw_ops AS (
+  SELECT doc_id, 0 AS k0, pos AS k1, 0 AS k2, 0 AS k3, 0 AS k4, 0 AS k5, 'remove' AS command, NULL AS type, NULL AS parent, '/body/p[@paraId=' || para_id || ']' AS path, NULL AS before_, NULL AS text, NULL AS style, false AS display FROM classed WHERE inside AND kind = 'p'
+  UNION ALL SELECT doc_id, 1, -tbl_index, 0, 0, 0, 0, 'remove', NULL, NULL, '/body/tbl[' || tbl_index || ']', NULL, NULL, NULL, false FROM classed WHERE inside AND kind = 'tbl'
+  UNION ALL SELECT doc_id, 2, sec_no, -1, 0, 0, -1, 'add', 'p', '/body', NULL, NULL, NULL, CASE presentation WHEN 'minor_section' THEN 'Heading2' WHEN 'sub_section' THEN 'Heading3' ELSE 'Heading1' END, false FROM live
+  UNION ALL SELECT doc_id, 2, sec_no, -1, 0, 0, 0, 'add', 'r', '{_LAST}', NULL, NULL, title, NULL, false FROM live WHERE title <> ''
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, part_no, d, -1, 'add', 'p', '/body', NULL, NULL, NULL, body_style, false FROM piece JOIN live USING (doc_id, sec_no) WHERE own
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, part_no, d, c * 1000000 + coalesce(n, 0), 'add', CASE code WHEN 'm' THEN 'equation' ELSE 'r' END, p.parent, NULL, NULL, CASE code WHEN 'm' THEN {_formula("t")} ELSE coalesce(t, p.txt) END, NULL, false
+    FROM piece p JOIN live USING (doc_id, sec_no) LEFT JOIN run ON run.txt = p.txt AND NOT p.one WHERE coalesce(t, p.txt) <> ''
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, -1, 0, 'add', 'table', '/body', NULL, NULL, CAST(ncols AS VARCHAR), NULL, false FROM blk JOIN live USING (doc_id, sec_no) WHERE kind = 'table'
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, at_, -1, 'add', 'row', '/body/tbl[last()]', NULL, NULL, NULL, NULL, false FROM placed JOIN live USING (doc_id, sec_no) WHERE kind = 'table' AND at_ > 0
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, 0, 0, 'add', 'equation', '/body', NULL, NULL, {_formula("formula")}, NULL, true FROM blk JOIN live USING (doc_id, sec_no) WHERE kind = 'equation'
+  UNION ALL SELECT doc_id, 3, pos, 0, 0, 0, 0, 'move', NULL, NULL, CASE kind WHEN 'p' THEN '/body/p[@paraId=' || para_id || ']' ELSE '/body/tbl[' || (1 + (SELECT count(*) FROM classed f WHERE f.doc_id = c.doc_id AND f.kind = 'tbl' AND NOT f.inside AND NOT f.after_)) || ']' END, '/body/sectPr', NULL, NULL, false
+    FROM classed c WHERE after_),
+ops AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k0, k1, k2, k3, k4, k5) AS op_seq FROM raw_ops)"""
+
+
+def plan_operations(paras: str) -> str:
+    return f"""WITH {_operations(paras)}
+SELECT doc_id, CAST(op_seq AS INT) AS op_seq, command, type, parent, path, before_ AS "before", CASE WHEN type IN ('r', 'equation') THEN text END AS text, style FROM ops"""
+
+
+def _elements(paras: str) -> str:
+    """CTEs after _operations: op2 (every second equation as text) and elements (doc_id, seq, kind, para_id, style, text, tbl_index, rows, cols)."""
+    return f"""{_operations(paras)},
+bad AS (SELECT *, type = 'equation' AND op_seq % 2 = 0 AS failed, last_value(CASE WHEN type = 'p' THEN style END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY op_seq) AS last_style FROM ops),
+op2 AS (SELECT doc_id, op_seq, 0 AS sub, command, type, parent, text, style FROM bad WHERE NOT failed UNION ALL SELECT doc_id, op_seq, 0, 'add', 'p', '/body', NULL, coalesce(last_style, 'Normal') FROM bad WHERE failed AND display
+  UNION ALL SELECT doc_id, op_seq, 1, 'add', 'r', CASE WHEN display THEN '{_LAST}' ELSE parent END, '$' || text || '$', NULL FROM bad WHERE failed),
+begun AS (SELECT *, sum(CASE WHEN type IN ('p', 'table') OR (type = 'equation' AND parent = '/body') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY op_seq, sub) AS e FROM op2 WHERE command = 'add'),
+fresh AS (SELECT doc_id, e, first(CASE type WHEN 'p' THEN 'para' ELSE type END ORDER BY op_seq, sub) AS kind, first(style ORDER BY op_seq, sub) AS style, coalesce(string_agg(CASE WHEN type = 'r' AND parent = '{_LAST}' THEN text END, '' ORDER BY op_seq, sub), '') AS text,
+  1 + count(*) FILTER (type = 'row') AS n_rows, greatest(1, CAST(max(CASE WHEN type = 'table' THEN text END) AS INT)) AS n_cols FROM begun GROUP BY 1, 2),
+elements AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS seq FROM (
+  SELECT c.doc_id, CASE WHEN after_ THEN 2 ELSE 0 END AS a, c.pos AS b, CASE c.kind WHEN 'p' THEN 'para' ELSE 'table' END AS kind, c.para_id, p.style, CASE WHEN c.kind = 'p' THEN p.text END AS text, c.tbl_index, CAST(NULL AS INT) AS rows, CAST(NULL AS INT) AS cols
+    FROM classed c LEFT JOIN paras p ON p.template_id = c.template_id AND p.para_id = c.para_id WHERE NOT inside
+  UNION ALL SELECT doc_id, 1, e, kind, NULL, style, text, NULL, CASE kind WHEN 'table' THEN n_rows END, CASE kind WHEN 'table' THEN n_cols END FROM fresh))"""
+
+
+def applied_elements(paras: str) -> str:
+    return f"WITH {_elements(paras)} SELECT doc_id, CAST(seq AS INT) AS seq, kind, para_id, style, text, tbl_index, CAST(rows AS INT) AS rows, CAST(cols AS INT) AS cols FROM elements"
+
+
+def apply_summary(paras: str) -> str:
+    return f"""WITH {_operations(paras)} SELECT doc_id, count(*) AS total, count(*) FILTER (NOT coalesce(type = 'equation' AND op_seq % 2 = 0, false)) AS succeeded, count(*) FILTER (type = 'equation' AND op_seq % 2 = 0) AS failed,
+ count(*) FILTER (type = 'equation' AND op_seq % 2 = 0) AS degraded FROM ops GROUP BY 1"""
+
+
+def check_errors(paras: str) -> str:
+    text = f"{trimmed('coalesce(text, chr(32))')} <> ''"
+    return f"""WITH {_elements(paras)}, d AS (SELECT doc_id, template_id FROM assigned),
+n_ops AS (SELECT doc_id, count(*) AS n, count(*) FILTER (command = 'add' AND type = 'p') AS p, count(*) FILTER (type = 'p' AND coalesce(style, '') = '') AS bare, count(*) FILTER (type = 'r' AND coalesce(text, '') = '') AS blank FROM op2 GROUP BY 1),
+want AS (SELECT l.doc_id, count(*) AS h, sum(s.paragraph_count) AS b, count(*) FILTER (presentation = 'major_section') AS w1, count(*) FILTER (presentation = 'minor_section') AS w2, count(*) FILTER (presentation = 'sub_section') AS w3 FROM live l JOIN secs s USING (doc_id, sec_no) GROUP BY 1),
+bs AS (SELECT template_id, style AS body_style FROM (SELECT template_id, coalesce(style, 'Normal') AS style, row_number() OVER (PARTITION BY template_id ORDER BY count(*) DESC, min(seq)) AS r FROM cohort GROUP BY 1, 2) WHERE r = 1),
+got AS (SELECT e.doc_id, count(*) FILTER (kind = 'para') AS paras_, count(*) FILTER (kind = 'para' AND {text} AND style = coalesce(body_style, 'Normal')) AS body, count(*) FILTER (kind = 'para' AND {text} AND style = 'Heading1') AS g1,
+  count(*) FILTER (kind = 'para' AND {text} AND style = 'Heading2') AS g2, count(*) FILTER (kind = 'para' AND {text} AND style = 'Heading3') AS g3, count(*) FILTER (kind = 'table') AS tables FROM elements e JOIN d USING (doc_id) LEFT JOIN bs USING (template_id) GROUP BY 1),
+jump AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, CAST(right(style, 1) AS INT) AS level, lag(CAST(right(style, 1) AS INT)) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM elements WHERE kind = 'para' AND regexp_matches(style, '^Heading[1-6]$')) WHERE level > prev + 1 GROUP BY 1),
+lost AS (SELECT c.doc_id, count(*) FILTER (c.kind = 'tbl') AS tables, count(*) FILTER (c.kind = 'p' AND e.para_id IS NULL) AS lost FROM classed c LEFT JOIN (SELECT DISTINCT doc_id, para_id FROM elements) e ON e.doc_id = c.doc_id AND e.para_id = c.para_id WHERE NOT inside GROUP BY 1),
+tally AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(p, 0) AS p, coalesce(bare, 0) AS bare, coalesce(blank, 0) AS blank, coalesce(h, 0) AS h, coalesce(b, 0) AS b, coalesce(w1, 0) AS w1, coalesce(w2, 0) AS w2, coalesce(w3, 0) AS w3, coalesce(paras_, 0) AS paras_,
+  coalesce(body, 0) AS body, coalesce(g1, 0) AS g1, coalesce(g2, 0) AS g2, coalesce(g3, 0) AS g3, coalesce(got.tables, 0) AS tables, (SELECT count(*) FROM jump WHERE jump.doc_id = d.doc_id) AS jumps, coalesce(lost.tables, 0) AS kept_tables, coalesce(lost.lost, 0) AS lost
+  FROM d LEFT JOIN n_ops USING (doc_id) LEFT JOIN want USING (doc_id) LEFT JOIN got USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, name, passed FROM tally, unnest(['nonempty', 'add_p_style', 'runs_nonempty', 'para_count', 'S1', 'S5', 'S7', 'S8', 'S9'], [n > 0, bare = 0, blank = 0, p = h + b, jumps = 0, paras_ > 0, b = 0 OR body >= 0.85 * b, g1 = w1 AND g2 = w2 AND g3 = w3, lost = 0 AND tables >= kept_tables]) AS u(name, passed)"""
+
+
+def readback_counts(paras: str) -> str:
+    folded = lambda x: f"{trimmed(f'regexp_replace(strip_accents(lower({x})), {_q(chr(92) + chr(115) + chr(43))}, {_q(chr(32))}, {_q(chr(103))})')}"
+    heading = "kind = 'para' AND coalesce(regexp_matches(style, '^Heading[1-9]$'), false)"
+    return f"""WITH {_elements(paras)}, first_ AS (SELECT doc_id, min(seq) AS h FROM elements WHERE {heading} GROUP BY 1),
+src AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS n FROM blk GROUP BY 1), has AS (SELECT DISTINCT doc_id FROM secs), titles AS (SELECT DISTINCT doc_id, {folded("title")} AS t FROM secs),
+out_ AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS n FROM elements GROUP BY 1)
+SELECT doc_id, 'front_matter_paragraphs' AS signal, count(*) FILTER (seq < h AND kind = 'para' AND coalesce(text, '') <> '') AS value FROM elements JOIN first_ USING (doc_id) GROUP BY 1
+UNION ALL SELECT doc_id, 'tables_in_output', n FROM out_ UNION ALL SELECT doc_id, 'table_count_mismatch', out_.n FROM out_ JOIN has USING (doc_id) LEFT JOIN src USING (doc_id) WHERE out_.n <> coalesce(src.n, 0)
+UNION ALL SELECT e.doc_id, 'headings_not_in_source', count(*) FROM elements e LEFT JOIN titles t ON t.doc_id = e.doc_id AND t.t = {folded("text")} WHERE {heading} AND coalesce(text, '') <> '' AND t.t IS NULL GROUP BY 1"""

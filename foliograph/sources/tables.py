@@ -26,22 +26,32 @@ def read_ir(spark: SparkSession, path: str, schema: str, strict: bool = True) ->
     return parsed.filter(~bad).select("r.*").drop(BAD), parsed.filter(bad).select(F.col("value").alias(BAD))
 
 
-def content_ir(docs: DataFrame, sections: DataFrame, block_rows: DataFrame) -> DataFrame:
-    """(doc_id, source_file, generated_at, section_count, sections array<struct>): the nested form, a row per document."""
+_BLOCK = ["kind", "text", "label", "lang", "lines", "formula", "mode", "ordered", "items", "ncols", "header", "rows", "heading_like", "runs"]
+_NODE = ["node_id", "parent_id", "depth", "title", "level", "word_count", "child_word_count", "first_paragraph"]
+
+
+def content_ir(docs: DataFrame, sections: DataFrame, block_rows: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source_file, generated_at, section_count, sections array<struct>, document_tree array<struct>): the nested form, a row per document.
+
+    A section's body_blocks are structs. document_tree lists the nodes in document order, which is depth first; without tree it is null. generated_at is the day of the run.
+    """
     order = ["block_no", "part_no"]
-    b = block_rows.groupBy("doc_id", "sec_no").agg(F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*[c for c in block_rows.columns if c not in ("doc_id", "sec_no", "raw", *order)])).alias("block")))).alias("body_blocks"))
+    b = block_rows.groupBy("doc_id", "sec_no").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*[c for c in _BLOCK if c in block_rows.columns]).alias("block")))).alias("body_blocks"))
     s = sections.join(b, ["doc_id", "sec_no"], "left")
     keep = ["sec_no", "tag", "type", "title", "level", "body_paragraphs", "paragraph_count", "verbatim", "source_anchor", "has_image", "has_math", "has_bold", "has_italic"]
-    blocks = F.coalesce(F.transform("body_blocks", lambda x: x["block"]), F.array().cast("array<string>"))
-    s = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*keep, blocks.alias("body_blocks")))).alias("sections"))
+    s = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*keep, F.transform("body_blocks", lambda x: x["block"]).alias("body_blocks")))).alias("sections"))
     named = F.col("source_file") if "source_file" in docs.columns else F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
     d = docs.select("doc_id", named.alias("source_file")).join(s, "doc_id", "left")
-    return d.select("doc_id", "source_file", F.lit("").alias("generated_at"), F.coalesce(F.size("sections"), F.lit(0)).alias("section_count"), "sections")
+    nodes = F.lit(None)
+    if tree is not None:
+        t = tree.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sec_no", *_NODE))).alias("nodes"))
+        d, nodes = d.join(t, "doc_id", "left"), F.transform("nodes", lambda n: F.struct(*[n[c].alias(c) for c in _NODE]))
+    return d.select("doc_id", "source_file", F.current_date().cast("string").alias("generated_at"), F.coalesce(F.size("sections"), F.lit(0)).alias("section_count"), "sections", nodes.alias("document_tree"))
 
 
-def write_content_ir(docs: DataFrame, sections: DataFrame, block_rows: DataFrame, path: str) -> None:
+def write_content_ir(docs: DataFrame, sections: DataFrame, block_rows: DataFrame, path: str, tree: DataFrame | None = None) -> None:
     """One JSON object per document."""
-    content_ir(docs, sections, block_rows).write.mode("overwrite").json(path)
+    content_ir(docs, sections, block_rows, tree).write.mode("overwrite").json(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, format: str = "parquet") -> None:

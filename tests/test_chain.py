@@ -151,7 +151,7 @@ def test_readback(spark):
     blobs = spark.createDataFrame([(1, "method || see the quick brown foxes run", ["method"], 0)], "doc_id long, blob string, headings array<string>, tables long")
     assert {r["seq"] for r in readback.foreign_paragraphs(e, blobs).collect()} == {4, 7}
     o = {r["signal"]: r for r in readback.observations(e, blobs).collect()}
-    assert o["front_matter_paragraphs"]["value"] == 1 and o["tables_in_output"]["note"] == "1 table(s): 2×3" and o["table_count_mismatch"]["value"] == 1 and o["headings_not_in_source"]["value"] == 1
+    assert o["front_matter_paragraphs"]["value"] == 1 and o["tables_in_output"]["note"] == "1 tables of 2×3" and o["table_count_mismatch"]["value"] == 1 and o["headings_not_in_source"]["value"] == 1
     view = [r["line"] for r in readback.render_view(e).orderBy("n").collect()]
     assert view[1] == "  2  [#1 Heading1·center] Méthod" and view[4] == "  5  [TABLE 2×3]" and view[6].endswith("…") and "TOC·Toc1" in view[6] and view[7] == "  8  [Normal·empty]"
     lines = spark.createDataFrame([(1, 1, "[/body/p[@paraId=A1]] Hello"), (1, 2, "[/body/tbl[1]] (2 rows, 3 cols)"), (1, 3, "[/body/p[@paraId=B2]] x")], "doc_id long, seq int, line string")
