@@ -222,6 +222,18 @@ def test_secrets(spark, sf):
         assert [tuple(s) for s in r["secret_spans"]] == named(sorted(base + more)), r["text"]
 
 
+def test_secrets_query(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    joined = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    got = secrets.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(CASES)
+    for r in got:
+        base = base_spans(CASES[r["doc_id"]])
+        more = [s for s in entropy_spans(CASES[r["doc_id"]]) if not any(a <= s[0] and b >= s[2] for a, _, b in base)]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest() and r["spans"] == joined(sorted(base + more))
+
+
 def test_redaction(spark, odd_docs):
     cases = spark.createDataFrame([(*c, 0) for c in enumerate(CASES)], "doc_id long, text string, n_chars long")
     for r in secrets.redact_secrets(cases).collect():
@@ -505,6 +517,23 @@ def test_quality(spark, sf, odd_docs, no_docs):
     assert quality.judge(no_docs, labels).count() == 0 and quality.judge(odd_docs, labels.limit(0)).count() == 12
 
 
+def test_quality_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    y = {r["doc_id"]: bool(r["quality"]) for r in labels.filter(held).collect()}
+    got = [r for r in quality.judge(docs, labels.filter(~held)).filter("not base_failed").collect() if r["doc_id"] in y]
+    assert len(got) > 50 and sum(r["kept"] == y[r["doc_id"]] for r in got) >= 0.9 * len(got)
+
+
+def test_quality_query(spark, sf):
+    got = quality.query(spark, sf)
+    assert got.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    want = collections.Counter((i, len(word.findall(t or ""))) for i, t in rows_of(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert collections.Counter((r["doc_id"], r["n_words"]) for r in got.collect()) == want
+
+
 def test_learned_rules():
     r = np.random.default_rng(0)
     x = {k: r.random(3000) for k in quality.FEATURES}
@@ -564,5 +593,21 @@ def test_chat(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def test_chat_query(spark, sf):
+    own = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        own[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    own[-7] = [(i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    got = {r["conv_id"]: r for r in chat.query(spark, sf).collect()}
+    assert set(got) == set(own)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for c, turns in own.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        want = (len(turns), sha("".join(f"{role}\n{t}\n" for _, role, t in turns)), len(loss), sha(loss))
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == want, c
+        assert got[c]["formatted_chars"] > sum(len(t) for _, _, t in turns)
+
+
 def test_registry_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
