@@ -10,8 +10,10 @@ import __spark_entry__ as entry
 from foliograph.plans import queries as own
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(own.ORACLE_SQL))
-def test_sql(spark, sf, name):
+def test_sql(spark, scale, name):
+    sf = f"/root/testdata/{scale}"
     con = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
