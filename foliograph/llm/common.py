@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: Copies of each small row when the rows of one join key may be a large part of all rows.
 SALTS = 16
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +41,22 @@ def table_path(spark: SparkSession, tag: str) -> str:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    with _shuffles_released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes an execution's shuffle files as soon as it ends. A table's writing is planned anew each time, so nothing reads them later."""
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
 class Scratch:
     """Tables that only an operator's own later tables are made from; `clear` deletes them once those are written."""
 
@@ -82,15 +94,6 @@ def one_of_each(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy(F.col("row.doc_id"), text, F.col("row.text").isNull()).agg(F.min_by("row", rest).alias("row"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: its cleaner removes those whose plans the driver's JVM has collected."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)  # Python's references to the JVM's objects are dropped by a thread of their own
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
