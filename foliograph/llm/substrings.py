@@ -33,6 +33,8 @@ PART = 8_000_000
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text that a task works on together, and of fragments that a bucket has on average.
 SLICE, BUCKET_BYTES = 2_000_000, 16_000_000
+#: Tasks that work on buckets, at most; beyond that a task takes several buckets, one after the other.
+MOST_TASKS = 50_000
 #: Texts of a slice: their numbers have 16 bits.
 SLICE_TEXTS = 60_000
 #: Suffixes sorted together; a bucket's anchors are taken in runs of about this many.
@@ -385,10 +387,17 @@ def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["doc_id", "kept", "n_removed", "n_spans"])
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows by bucket, sorted; a hash of the bucket would put several into one task and none into others. Buckets below 0 go with those that they were named after."""
+    number = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
+    tasks = min(buckets, MOST_TASKS)
+    return rows.repartitionById(tasks, (number % tasks).cast("int")).sortWithinPartitions("bucket")
+
+
 def _wanted(docs: DataFrame, buckets: int) -> DataFrame:
     """(d1, d2, hashes): the anchors of each text that another text has too; a text has fewer anchors than bytes."""
     rows = docs.mapInArrow(_anchor_rows(buckets), "bucket long, h binary, number binary, owners binary")
-    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "d1 long, d2 long, h long")
+    met = _dealt(rows, buckets).mapInArrow(_shared, "d1 long, d2 long, h long")
     return written(met.groupBy("d1", "d2").agg(F.collect_set("h").alias("hashes")), "wanted")
 
 
@@ -398,9 +407,9 @@ def _pieces(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     return written(texts.join(wanted, ["d1", "d2"]).select("doc_id", "packed", "hashes").mapInArrow(_fragments(buckets), _CUT_SCHEMA), "fragments")
 
 
-def _all_ranges(pieces: DataFrame) -> DataFrame:
+def _all_ranges(pieces: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, ranges); a document has fewer ranges than bytes."""
-    found = pieces.filter("kind = 0").select("bucket", "packed", "ints").repartition("bucket").sortWithinPartitions("bucket")
+    found = _dealt(pieces.filter("kind = 0").select("bucket", "packed", "ints"), buckets)
     ranges = found.mapInArrow(_ranges, "doc_id long, low long, high long").union(pieces.filter("kind = 2").select("doc_id", "low", "high"))
     return written(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
 
@@ -412,7 +421,7 @@ def shared_texts(docs: DataFrame, light: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id is not null")
     wanted = _wanted(docs, buckets)
     pieces = _pieces(docs, wanted, buckets)
-    ranges = _all_ranges(pieces)
+    ranges = _all_ranges(pieces, buckets)
     return pieces.filter("kind = 1").select("doc_id", "packed").join(ranges, "doc_id").mapInArrow(_kept_texts, "doc_id long, kept binary, n_removed long, n_spans long")
 
 
