@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import chat, embeddings, mixing, packing, paragraphs, quality, secrets, simhash, substrings, toxicity
+from foliograph.llm import chat, decontamination, embeddings, mixing, packing, paragraphs, quality, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.query,
         "op9_mixing": mixing.query,
         "op10_chat_format": chat.query,
+        "op13_decontamination": decontamination.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.sql()}
+    return {"op9_mixing": mixing.sql(), "op13_decontamination": decontamination.sql()}
