@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import chat, decontamination, embeddings, mixing, packing, paragraphs, quality, ranking, secrets, simhash, substrings, toxicity
+from foliograph.llm import chat, decontamination, embeddings, mixing, packing, paragraphs, quality, ranking, secrets, simhash, substrings, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.query,
         "op10_chat_format": chat.query,
         "op11_ranked_search": ranking.query,
+        "op12_conversation_trie": trie.query,
         "op13_decontamination": decontamination.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.sql(), "op11_ranked_search": ranking.sql(), "op13_decontamination": decontamination.sql()}
+    return {"op9_mixing": mixing.sql(), "op11_ranked_search": ranking.sql(), "op12_conversation_trie": trie.sql(), "op13_decontamination": decontamination.sql()}
