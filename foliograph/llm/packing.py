@@ -15,7 +15,9 @@ like any other; a document longer than a sequence is cut into full pieces and a
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -80,10 +82,8 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    """One encoder for a worker process: Spark reuses workers, and a later task finds the words of the earlier ones."""
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_held_encoders", {})
+    """One encoder for a worker process: Spark reuses workers, and a later task finds the words of the earlier ones. Functions shipped with a job have new globals in each task, so a module of its own holds it."""
+    held = sys.modules.setdefault("foliograph_encoders", ModuleType("foliograph_encoders")).__dict__
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
@@ -127,28 +127,47 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
-def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and how often the linear program uses each. The start has one pattern per class; each round brings in the pattern of the best price."""
-    m = len(size)
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by row elimination with the largest pivots. Plain array steps: threaded linear algebra may wait for ever in a driver that Spark's JVM shares the cores with."""
+    n = len(matrix)
+    both = np.concatenate([matrix.astype(float), np.eye(n)], axis=1)
+    for i in range(n):
+        pivot = i + int(np.argmax(np.abs(both[i:, i])))
+        if pivot != i:
+            both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        factors = both[:, i].copy()
+        factors[i] = 0
+        rows = np.nonzero(factors)[0]
+        both[rows] -= factors[rows, None] * both[i]
+    return both[:, n:]
+
+
+def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000, refresh: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (columns) and how often the linear program uses each. The start has one pattern per class; each round brings in the pattern of the best price.
+
+    It stops when no pattern is worth more than a sequence, which is the optimum, or after `rounds` rounds; then the patterns hold every item too, in more sequences.
+    """
+    times = lambda v: (inverse * v).sum(axis=1)
     basis = np.diag(capacity // size).astype(float)
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    x = times(demand)
     for round_ in range(rounds):
         worth, column = knapsack(inverse.sum(axis=0), size, capacity)
         if worth <= 1 + 1e-7:
             break
-        u = inverse @ column
+        u = times(column)
         ok = u > 1e-9
         ratio = np.where(ok, x / np.where(ok, u, 1), np.inf)
         out = int(np.argmin(ratio))
         basis[:, out] = column
-        if round_ % 50 == 49:
-            inverse = np.linalg.inv(basis)
+        if round_ % refresh == refresh - 1:
+            inverse = inverted(basis)
         else:
             row = inverse[out] / u[out]
-            inverse -= np.outer(u, row)
+            inverse -= u[:, None] * row
             inverse[out] = row
-        x = np.maximum(inverse @ demand, 0)
+        x = np.maximum(times(demand), 0)
     return basis.astype(np.int64), x
 
 
