@@ -11,7 +11,7 @@ Equal texts enter once, as the one with the smallest doc_id; the others lose eve
 share goes to its bucket once, so a passage of a large part of all documents isn't one task's work.
 
 Rules for odd rows: a null text counts as empty; texts below MATCH bytes keep all; rows with the same doc_id are the same document: no source of
-each other; a null doc_id is neither a source nor changed; an empty table gives an empty one; extra columns are not carried.
+each other, and each keeps what its own text has left; a null doc_id is neither a source nor changed; an empty table gives an empty one; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -213,15 +213,16 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["d1", "d2", "doc_id", "packed"])
 
 
-_CUT_SCHEMA = "kind int, bucket long, doc_id long, packed binary, ints binary, low long, high long"
-_CUT_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-_CUT_NAMES = ["kind", "bucket", "doc_id", "packed", "ints", "low", "high"]
+#: A text is told by its doc_id and the first long of its digest.
+_CUT_SCHEMA = "kind int, bucket long, doc_id long, d1 long, packed binary, ints binary, low long, high long"
+_CUT_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+_CUT_NAMES = ["kind", "bucket", "doc_id", "d1", "packed", "ints", "low", "high"]
 
 
 def _fragments(buckets: int):
-    """Rows (doc_id, packed, hashes) to three kinds of rows.
+    """Rows (doc_id, d1, packed, hashes) to three kinds of rows.
 
-    0: a bucket's fragments (compressed bytes; per fragment the hash, doc_id, place in the text, number of suffixes, place of the anchor); 1: the text of a document that has
+    0: a bucket's fragments (compressed bytes; per fragment the hash, doc_id, digest, place in the text, number of suffixes, place of the anchor); 1: the text of a document that has
     any; 2: a range that goes because the same fragment belongs to a smaller doc_id of this slice.
     """
 
@@ -230,7 +231,7 @@ def _fragments(buckets: int):
 
         press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
-        def flush(docs: list[int], packed: list[bytes], texts: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        def flush(docs: list[int], digests: list[int], packed: list[bytes], texts: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
             h, at, first, count, owner = _anchors(texts)
             wanted = np.zeros(len(h), bool)
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -238,8 +239,8 @@ def _fragments(buckets: int):
                 wanted[edges[i] : edges[i + 1]] = np.isin(h[edges[i] : edges[i + 1]].view(np.int64), want)
             h, at, first, count, owner = (x[wanted] for x in (h, at, first, count, owner))
             starts = np.cumsum([0, *[len(t) for t in texts]])[:-1]
-            doc = np.array(docs, np.int64)
-            rows: list[tuple] = [(1, None, docs[i], packed[i], None, None, None) for i in np.unique(owner)]
+            doc, text = np.array(docs, np.int64), np.array(digests, np.int64)
+            rows: list[tuple] = [(1, None, docs[i], digests[i], packed[i], None, None, None) for i in np.unique(owner)]
             joined = b"".join(texts)
             lowest: dict[bytes, int] = {}
             kept: list[int] = []
@@ -249,7 +250,7 @@ def _fragments(buckets: int):
                     kept.append(j)
                 else:
                     low = int(first[j] - starts[owner[j]])
-                    rows.append((2, None, int(doc[owner[j]]), None, None, low, low + len(strings[j])))
+                    rows.append((2, None, int(doc[owner[j]]), int(text[owner[j]]), None, None, low, low + len(strings[j])))
             keep = np.array(sorted(kept), np.int64)
             bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
             keep = keep[np.argsort(bucket, kind="stable")]
@@ -257,18 +258,18 @@ def _fragments(buckets: int):
             cuts = np.r_[0, np.nonzero(np.diff(bucket))[0] + 1, len(bucket)] if len(bucket) else np.zeros(1, int)
             for s, e in zip(cuts[:-1], cuts[1:]):
                 k = keep[s:e]
-                ints = np.stack([h[k].view(np.int64), doc[owner[k]], first[k] - starts[owner[k]], count[k], at[k] - first[k]]).astype(np.int64)
-                rows.append((0, int(bucket[s]), None, press.compress(b"".join([strings[j] for j in k.tolist()])), press.compress(ints.tobytes()), None, None))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, _CUT_TYPES)], names=_CUT_NAMES)
+                ints = np.stack([h[k].view(np.int64), doc[owner[k]], text[owner[k]], first[k] - starts[owner[k]], count[k], at[k] - first[k]]).astype(np.int64)
+                rows.append((0, int(bucket[s]), None, None, press.compress(b"".join([strings[j] for j in k.tolist()])), press.compress(ints.tobytes()), None, None))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, _CUT_TYPES)], names=_CUT_NAMES)
 
         for b in batches:
-            held, size = ([], [], [], []), 0
-            for doc, packed, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            held, size = ([], [], [], [], []), 0
+            for doc, d1, packed, hashes in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 text = unpress.decompress(packed)
                 if size and size + len(text) > SLICE:
                     yield flush(*held)
-                    held, size = ([], [], [], []), 0
-                for x, y in zip(held, (doc, packed, text, hashes.values.to_numpy())):
+                    held, size = ([], [], [], [], []), 0
+                for x, y in zip(held, (doc, d1, packed, text, hashes.values.to_numpy())):
                     x.append(y)
                 size += len(text)
             if held[0]:
@@ -325,14 +326,14 @@ def _repeated(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, count: np.n
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of fragments to ranges (doc_id, low, high) of bytes that go."""
+    """Buckets of fragments to ranges (doc_id, d1, low, high) of bytes that go."""
     import zstandard
 
     unpress = zstandard.ZstdDecompressor()
     for _, rows in _buckets_of(batches):
-        ints = [np.frombuffer(unpress.decompress(i), np.int64).reshape(5, -1) for _, i in rows]
+        ints = [np.frombuffer(unpress.decompress(i), np.int64).reshape(6, -1) for _, i in rows]
         data = np.frombuffer(b"".join(unpress.decompress(p) for p, _ in rows), np.uint8)
-        h, doc, place, count, anchor = np.concatenate(ints, axis=1) if ints else np.zeros((5, 0), np.int64)
+        h, doc, text, place, count, anchor = np.concatenate(ints, axis=1) if ints else np.zeros((6, 0), np.int64)
         starts = np.cumsum(count + MATCH - 1) - (count + MATCH - 1)
         order = np.argsort(h, kind="stable")
         edges = np.r_[0, np.nonzero(np.diff(h[order]))[0] + 1]
@@ -356,7 +357,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = fragment[first]
             low = place[pick][f] + first - base[f]
             high = place[pick][f] + last - base[f] + MATCH
-            yield pa.RecordBatch.from_arrays([pa.array(doc[pick][f]), pa.array(low), pa.array(high)], names=["doc_id", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[pick][f]), pa.array(text[pick][f]), pa.array(low), pa.array(high)], names=["doc_id", "d1", "low", "high"])
 
 
 def cut_ranges(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -381,10 +382,10 @@ def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpress = zstandard.ZstdDecompressor()
     for b in batches:
         rows = []
-        for doc, packed, ranges in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for doc, d1, packed, ranges in zip(*(b.column(i).to_pylist() for i in range(4))):
             kept, gone, runs = cut_ranges(unpress.decompress(packed), [(r["low"], r["high"]) for r in ranges])
-            rows.append((doc, kept, gone, runs))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["doc_id", "kept", "n_removed", "n_spans"])
+            rows.append((doc, d1, kept, gone, runs))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["doc_id", "d1", "kept", "n_removed", "n_spans"])
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
@@ -404,25 +405,25 @@ def _wanted(docs: DataFrame, buckets: int) -> DataFrame:
 def _pieces(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     texts = docs.mapInArrow(_packed_texts, "d1 long, d2 long, doc_id long, packed binary")
     texts = texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.any_value("packed").alias("packed"))
-    return written(texts.join(wanted, ["d1", "d2"]).select("doc_id", "packed", "hashes").mapInArrow(_fragments(buckets), _CUT_SCHEMA), "fragments")
+    return written(texts.join(wanted, ["d1", "d2"]).select("doc_id", "d1", "packed", "hashes").mapInArrow(_fragments(buckets), _CUT_SCHEMA), "fragments")
 
 
 def _all_ranges(pieces: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, ranges); a document has fewer ranges than bytes."""
+    """(doc_id, d1, ranges); a document has fewer ranges than bytes."""
     found = _dealt(pieces.filter("kind = 0").select("bucket", "packed", "ints"), buckets)
-    ranges = found.mapInArrow(_ranges, "doc_id long, low long, high long").union(pieces.filter("kind = 2").select("doc_id", "low", "high"))
-    return written(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
+    ranges = found.mapInArrow(_ranges, "doc_id long, d1 long, low long, high long").union(pieces.filter("kind = 2").select("doc_id", "d1", "low", "high"))
+    return written(ranges.groupBy("doc_id", "d1").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
 
 
 def shared_texts(docs: DataFrame, light: DataFrame) -> DataFrame:
-    """(doc_id, kept binary, n_removed, n_spans) of the documents, one per different text, that lose bytes. light: see `remove_repeats`."""
+    """(doc_id, d1, kept binary, n_removed, n_spans) of the documents, one per different text, that lose bytes. light: see `remove_repeats`."""
     total = light.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     docs = docs.filter("doc_id is not null")
     wanted = _wanted(docs, buckets)
     pieces = _pieces(docs, wanted, buckets)
     ranges = _all_ranges(pieces, buckets)
-    return pieces.filter("kind = 1").select("doc_id", "packed").join(ranges, "doc_id").mapInArrow(_kept_texts, "doc_id long, kept binary, n_removed long, n_spans long")
+    return pieces.filter("kind = 1").select("doc_id", "d1", "packed").join(ranges, ["doc_id", "d1"]).mapInArrow(_kept_texts, "doc_id long, d1 long, kept binary, n_removed long, n_spans long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -431,10 +432,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     light = written(docs.mapInArrow(_light, "doc_id long, d1 long, d2 long, sha string, n_bytes long"), "light")
     first = written(light.groupBy(F.col("d1").alias("f1"), F.col("d2").alias("f2")).agg(F.min("doc_id").alias("first_id")), "firsts")
     # Both sides are tables, so adaptive execution can split the partition of a text with very many copies.
-    both = written(light.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).drop("d1", "d2", "f1", "f2"), "copies")
+    both = written(light.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).drop("d2", "f1", "f2"), "copies")
     copy = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= MATCH), F.lit(False))
-    cut = shared_texts(docs, light).select(F.col("doc_id").alias("cut_id"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
-    lead = both.filter(~copy & F.col("doc_id").isNotNull()).join(cut, F.col("doc_id") == F.col("cut_id"), "left")
+    cut = shared_texts(docs, light).select(F.col("doc_id").alias("cut_id"), F.col("d1").alias("cut_text"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
+    lead = both.filter(~copy & F.col("doc_id").isNotNull()).join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("d1") == F.col("cut_text")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     lead = lead.select("doc_id", "n_bytes", zero(F.col("n_removed")).alias("n_removed"), zero(F.col("n_spans")).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
     gone = both.filter(copy).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
