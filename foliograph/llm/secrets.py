@@ -94,16 +94,28 @@ def _hot_range(word: Column, least: Column) -> Column:
     return F.aggregate(moves, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _allowed(word: Column) -> Column:
+    """Whether the allow-list names what a candidate holds: of its parts around `=` all those of WINDOW or more characters, or, if none is that long, the last one. A name before the `=` allows nothing."""
+    parts = F.filter(F.split(word, "=+"), lambda p: p != "")
+    long = F.filter(parts, lambda p: F.length(p) >= WINDOW)
+    judged = F.when(F.size(long) > 0, long).otherwise(F.slice(parts, -1, 1))
+
+    def named(part: Column) -> Column:
+        found = F.lit(False)
+        for pattern in ALLOWED:
+            found = found | part.rlike(pattern)
+        return found
+
+    return (F.size(parts) > 0) & F.forall(judged, named)
+
+
 def _entropy_spans(spans: Column, words: Column) -> Column:
     def judge(span: Column, i: Column) -> Column:
         word = F.get(words, i)
         is_hex = word.rlike("^[0-9a-f]+$") | word.rlike("^[0-9A-F]+$")
         least = F.when(is_hex, LEAST_BITS["entropy_hex"]).otherwise(LEAST_BITS["entropy_base64"])
         mixed = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | word.rlike(pattern)
-        hot = F.when(mixed & ~allowed, _hot_range(word, least))
+        hot = F.when(mixed & ~_allowed(word), _hot_range(word, least))
         return F.transform(
             F.array(hot),
             lambda h: F.when(

@@ -185,6 +185,7 @@ CASES = [
     "ÀÉ 0123456789abcdef01234567 deadbeef",
     'secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" token==abcdef',
     "key Zx9+Qw7/Lk3=Pt5Vb8Nm2Rd6Yh1Gf4 and the-quick-brown-fox-jumps-2024 and 123e4567-e89b-12d3-a456-426614174000",
+    "example_cred=Zx9Qw7Lk3Pt5Vb8Nm2Rd6Yh1Gf4Zx9Qw7Lk3Pt5V cred=exampleZx9Qw7Lk3Pt5Vb8Nm2Rd6Yh1 sample_id=Zx9Qw7Lk3Pt5Vb8N= id=123e4567-e89b-12d3-a456-426614174000",
     "", None, "passwd:x", "😀 password=ß secret=abcdefé",
 ]
 
@@ -201,7 +202,9 @@ def entropy_spans(t):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", t or ""):
         w = m[0]
-        if not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)) or any(re.search(p, w) for p in secrets.ALLOWED):
+        parts = [p for p in w.split("=") if p]
+        parts = [p for p in parts if len(p) >= 20] or parts[-1:]
+        if not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)) or parts and all(any(re.search(a, p) for a in secrets.ALLOWED) for p in parts):
             continue
         is_hex = re.fullmatch("[0-9a-f]+|[0-9A-F]+", w)
         bits = lambda s: -sum(c / 20 * np.log2(c / 20) for c in collections.Counter(s).values())
@@ -234,6 +237,13 @@ def test_secrets_query(spark, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest() and r["spans"] == joined(sorted(base + more))
 
 
+def test_an_allowed_name_hides_no_value(spark):
+    value = "Zx9Qw7Lk3Pt5Vb8Nm2Rd6Yh1Gf4Zx9Qw7Lk3Pt5V"
+    docs = spark.createDataFrame([(1, f"example_cred={value} and cred={value}"), (2, f"cred=example{value}")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert value not in out[1] and out[1].count("[SECRET]") == 2 and out[2] == f"cred=example{value}"
+
+
 def test_redaction(spark, odd_docs):
     cases = spark.createDataFrame([(*c, 0) for c in enumerate(CASES)], "doc_id long, text string, n_chars long")
     for r in secrets.redact_secrets(cases).collect():
@@ -289,6 +299,29 @@ def test_substrings_of_rulers_differ_by_the_place_of_a_blemish(spark):
     assert [i for i, w in want.items() if w[1]] == [len(rulers), len(rulers) + 1]
 
 
+@pytest.mark.parametrize("size", [2_000_000, 200])
+def test_substrings_of_repeated_doc_ids(spark, monkeypatch, size):
+    """Each row keeps what its own text has left; texts of one doc_id are no source of each other."""
+    monkeypatch.setattr(substrings, "SLICE", size)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 500)
+    a, b = prose(31, 16), prose(32, 17)
+    docs = [(1, a), (1, b), (2, f"xx {a}"), (2, "short text 2"), (2, f"yy {b} zz"), (2, f"yy {b} zz"), (3, b), (3, f"{a} {prose(33, 12)}"), (3, f"{prose(33, 12)} end"), (4, prose(33, 12)), (1, f"{b} {a}")]
+    data, want = [(i, t.encode()) for i, t in docs], []
+    least = {}
+    for i, t in data:
+        for p in range(len(t) - 49):
+            least[t[p : p + 50]] = min(i, least.get(t[p : p + 50], i))
+    for i, t in data:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if least[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        want.append((i, len(t), sum(gone), sum(bool(g) and not (p and gone[p - 1]) for p, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(want)
+
+
 def test_substrings_of_nothing(no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
 
@@ -493,6 +526,19 @@ def test_patterns_hold_every_item():
         assert sum(n for _, n in plan) <= x.sum() + len(size)
 
 
+def test_patterns_of_many_classes_beside_a_session(spark):
+    """A histogram of the size that sf0.1 has, while a JVM runs: the optimum within the rounds, and sequences close to what the lengths need."""
+    assert spark.range(1000).count() == 1000
+    r = np.random.default_rng(7)
+    demand = np.bincount(np.clip(r.lognormal(3.6, 1.1, 10_000).astype(int), 1, 251), minlength=252)[1:] + 1
+    size = np.arange(1, 252)
+    plan = packing.plan_patterns(size, demand, 256)
+    assert (sum(p * n for p, n in plan) == demand).all() and all((p * size).sum() <= 256 for p, _ in plan)
+    assert sum(n for _, n in plan) <= 1.02 * (size * demand).sum() / 256 + 1
+    m = r.integers(0, 4, (60, 60)) + np.diag(np.r_[np.zeros(5), np.ones(55)])
+    assert np.allclose(packing.inverted(m) @ m, np.eye(60))
+
+
 # ---- 8 quality
 
 
