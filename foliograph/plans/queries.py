@@ -42,8 +42,8 @@ _SECTIONS_SQL = S.sections()
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    numbered = content.section_lines(content.corpus_lines(X.md_corpus(spark, sf_dir)))
-    return numbered, content.section_tags(content.section_heads(numbered))
+    docs = X.md_corpus(spark, sf_dir)
+    return content.document_lines(docs), content.section_tags(content.section_heads(content.document_headings(docs)))
 
 
 @query("outline", f"WITH {_SECTIONS_SQL} SELECT doc_id, CAST(sec_no AS BIGINT) AS sec_no, CAST(level AS INT) AS level, tag, 'heading' || level AS type, CAST(line_no AS BIGINT) AS line_no FROM tagged")
@@ -72,7 +72,7 @@ def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("content_blocks", S.content_blocks())
 def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed blocks of every section, of the corpus with real fence bodies."""
-    b = content.blocks(content.section_lines(content.corpus_lines(X.md_corpus(spark, sf_dir, "plain"))))
+    b = content.document_blocks(X.md_corpus(spark, sf_dir, "plain"))
     return b.select("doc_id", "sec_no", "block_no", "part_no", "kind", "text", "label", "lang", "formula", "ordered", "ncols", "header", "heading_like", F.size("runs").alias("n_runs"))
 
 
@@ -290,10 +290,8 @@ class Chain:
 @once
 def chain(spark: SparkSession, sf_dir: str) -> Chain:
     md = written(X.md_corpus(spark, sf_dir), "md")
-    numbered = content.section_lines(content.corpus_lines(md))
-    blocks = written(content.blocks(numbered), "blocks")
-    sections = content.section_tags(content.section_heads(numbered)).join(content.section_stats(blocks), ["doc_id", "sec_no"], "left").fillna(0, ["paragraph_count", "word_count"]).fillna("", ["first_paragraph"])
-    sections = written(sections.withColumn("body_paragraphs", F.coalesce("body_paragraphs", F.array().cast("array<string>"))), "sections")
+    blocks = written(content.document_blocks(md), "blocks")
+    sections = written(content.sections(md, block_rows=blocks), "sections")
     paras = written(_paras(spark, sf_dir), "paras")
     return Chain(written(X.assignments(spark, sf_dir, md), "assigned"), sections, blocks, paras, written(_prototypes(spark, sf_dir, paras), "prototypes"), profiles.resolve_profiles(X.profiles(spark))[0], content.document_tree(sections))
 

@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
@@ -122,25 +124,62 @@ def fold(lines):
     return out
 
 
-def test_blocks_like_the_fold(spark):
-    r = random.Random(4)
-    pool = ["", " ", "word", "more words", "> quote", "- item", "3. item", "| a |", "|---|", "```", "~~~ sql", "$$", "$$ x $$", "y $$", "---", "| b | c |", "a | b", "```x y"]
-    docs = [[r.choice(pool) for _ in range(r.randrange(1, 14))] for _ in range(150)]
-    b = content.blocks(content.section_lines(content.corpus_lines(table(spark, *["# T\n" + "\n".join(d) + "\nlast" for d in docs]))))
+def flat_blocks(b):
+    """Kinds and payloads of the blocks of each document."""
     got = {}
-    for x in b.orderBy("block_no", "part_no").collect():
+    for x in b.orderBy("sec_no", "block_no", "part_no").collect():
         kind = "text" if x["kind"] in ("paragraph", "callout") else x["kind"]
-        flat = {"text": x["text"], "code": tuple(x["lines"] or ()), "equation": x["formula"], "list": tuple("".join(c["text"] for c in i) for i in x["items"] or ()), "table": len(x["rows"] or ())}
+        flat = {"text": (x["raw"] or "").replace("\n", " "), "code": tuple(x["lines"] or ()), "equation": x["formula"], "list": tuple("".join(c["text"] for c in i) for i in x["items"] or ()), "table": len(x["rows"] or ())}
         got.setdefault(x["doc_id"], []).append((kind, flat[kind]))
+    return got
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_blocks_like_the_fold(spark, monkeypatch, small):
+    """Both ways, by lines and inside the document's row; small: blocks of lines of 8 and groups of 2."""
+    if small:
+        monkeypatch.setattr(content, "BLOCK", 8)
+        monkeypatch.setattr(content, "FAN", 2)
+        monkeypatch.setattr("foliograph.operators.scans.BLOCK", 8)
+    r = random.Random(4)
+    pool = ["", " ", "word", "more words", "> quote", "- item", "3. item", "| a |", "|---|", "```", "~~~ sql", "$$", "$$ x $$", "y $$", "---", "| b | c |", "a | b", "```x y"]
+    docs = [[r.choice(pool) for _ in range(r.randrange(1, 60 if n % 5 == 0 else 14))] for n in range(150)]
+    t = table(spark, *["# T\n" + "\n".join(d) + "\nlast" for d in docs])
+    by_lines, by_rows = flat_blocks(content.blocks(content.section_lines(content.corpus_lines(t)))), flat_blocks(content.document_blocks(t))
     for n, d in enumerate(docs):
-        assert got.get(n, []) == fold(d + ["last"]), d
+        assert by_lines.get(n, []) == fold(d + ["last"]) == by_rows.get(n, []), d
+
+
+def test_the_two_ways_agree(spark):
+    """All columns of the blocks, and the numbered lines, of documents with several sections."""
+    docs = table(spark, QUIRKS, "", None, "no heading", QUIRKS + QUIRKS, "# only", "\r\n# a\r\rb\r\n")
+    lines = content.section_lines(content.corpus_lines(docs))
+    rows = lambda df, cols: sorted(map(repr, df.select(*cols).collect()))
+    assert rows(lines, lines.columns) == rows(content.document_lines(docs), lines.columns)
+    assert rows(lines.filter("is_heading"), lines.columns) == rows(content.document_headings(docs), lines.columns)
+    b = content.blocks(lines)
+    assert rows(b, b.columns) == rows(content.document_blocks(docs), b.columns)
+
+
+def test_one_long_section(spark):
+    """A section of 200,000 lines, by lines and inside its row: as many blocks as there must be, in seconds; half of it is one fence that opens in one block of lines and ends in another."""
+    part = ["text", "", "- a", "- b", "---", "| a |", "|---|", "$$ x", "y $$", "> q"]
+    lines = part * 10_000 + ["```"] + ["x = 1"] * 99_998 + ["```"]
+    docs = table(spark, "# T\n" + "\n".join(lines))
+    began = time.time()
+    for b in (content.document_blocks(docs), content.blocks(content.section_lines(content.corpus_lines(docs)))):
+        n = {r["kind"]: (r["n"], r["lines"]) for r in b.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("lines")).alias("lines")).collect()}
+        assert {k: v[0] for k, v in n.items()} == {"paragraph": 10_001, "list": 10_000, "table": 10_000, "equation": 10_000, "code": 1} and n["code"][1] == 99_998
+    assert time.time() - began < 120
 
 
 def test_registered_block(spark):
     registry.register_block("figure", lambda line: line.startswith("!!"), count=2)
     try:
-        rows = content.blocks(content.section_lines(content.corpus_lines(table(spark, "# A\n!! one\n!! two\nb")))).orderBy("block_no").collect()
-        assert [r["kind"] for r in rows] == ["figure", "paragraph"]
+        docs = table(spark, "# A\n!! one\n!! two $$\nb\n$$\n!! three\n!! $$")
+        for b in (content.blocks(content.section_lines(content.corpus_lines(docs))), content.document_blocks(docs)):
+            rows = b.orderBy("block_no").collect()
+            assert [(r["kind"], r["text"] or r["formula"]) for r in rows] == [("figure", "!! one\n!! two $$"), ("paragraph", "b"), ("equation", "!! three\n!!")]
         assert content.section_stats(content.blocks(content.section_lines(content.corpus_lines(table(spark, "# A\n!! one"))))).first()["paragraph_count"] == 2
     finally:
         registry.unregister_block("figure")
