@@ -452,7 +452,7 @@ def readback_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("readback_counts", S.readback_counts(_PARAS_SQL))
 def readback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counted signals of the readback."""
-    return readback_observations(spark, sf_dir).filter("signal <> 'foreign_text_paragraphs'").select("doc_id", "signal", "value")
+    return readback_observations(spark, sf_dir).select("doc_id", "signal", "value")
 
 
 @query("readback_view")

@@ -414,7 +414,15 @@ def readback_counts(paras: str) -> str:
     heading = "kind = 'para' AND coalesce(regexp_matches(style, '^Heading[1-9]$'), false)"
     return f"""WITH {_elements(paras)}, first_ AS (SELECT doc_id, min(seq) AS h FROM elements WHERE {heading} GROUP BY 1),
 src AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS n FROM blk GROUP BY 1), has AS (SELECT DISTINCT doc_id FROM secs), titles AS (SELECT DISTINCT doc_id, {folded("title")} AS t FROM secs),
-out_ AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS n FROM elements GROUP BY 1)
+out_ AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS n FROM elements GROUP BY 1),
+source_ AS (SELECT DISTINCT doc_id, {folded("t")} AS t FROM (SELECT doc_id, title AS t FROM secs UNION ALL SELECT doc_id, coalesce(text, formula) FROM blk WHERE coalesce(text, formula) <> ''
+  UNION ALL SELECT p.doc_id, run.t FROM piece p JOIN blk b USING (doc_id, sec_no, block_no) JOIN run ON run.txt = p.txt WHERE b.kind = 'table'
+  UNION ALL SELECT doc_id, t FROM (SELECT p.doc_id, p.sec_no, p.block_no, p.d, string_agg(run.t, ' ' ORDER BY run.n) AS t FROM piece p JOIN blk b USING (doc_id, sec_no, block_no) JOIN run ON run.txt = p.txt WHERE b.kind = 'list' GROUP BY 1, 2, 3, 4))),
+said AS (SELECT doc_id, seq, regexp_replace({folded("text")}, '^[\\s•·*▪◦‣\\-–—]+', '') AS t FROM elements JOIN has USING (doc_id) WHERE kind = 'para' AND length(text) >= 12 AND NOT starts_with(text, '[')),
+phrase_ AS (SELECT doc_id, seq, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x FROM
+  (SELECT doc_id, seq, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM said WHERE t <> '')),
+known AS (SELECT DISTINCT p.doc_id, p.seq FROM phrase_ p JOIN source_ s ON s.doc_id = p.doc_id AND contains(s.t, p.x))
 SELECT doc_id, 'front_matter_paragraphs' AS signal, count(*) FILTER (seq < h AND kind = 'para' AND coalesce(text, '') <> '') AS value FROM elements JOIN first_ USING (doc_id) GROUP BY 1
+UNION ALL SELECT doc_id, 'foreign_text_paragraphs', count(*) FROM (SELECT DISTINCT doc_id, seq FROM phrase_) p ANTI JOIN known USING (doc_id, seq) GROUP BY 1
 UNION ALL SELECT doc_id, 'tables_in_output', n FROM out_ UNION ALL SELECT doc_id, 'table_count_mismatch', out_.n FROM out_ JOIN has USING (doc_id) LEFT JOIN src USING (doc_id) WHERE out_.n <> coalesce(src.n, 0)
 UNION ALL SELECT e.doc_id, 'headings_not_in_source', count(*) FROM elements e LEFT JOIN titles t ON t.doc_id = e.doc_id AND t.t = {folded("text")} WHERE {heading} AND coalesce(text, '') <> '' AND t.t IS NULL GROUP BY 1"""

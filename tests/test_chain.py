@@ -1,5 +1,7 @@
 """Templates, slots, roles, profiles, plans, checks and readback."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,29 @@ def test_stream(spark, tmp_path):
         upsert_sections(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     latest = latest_sections(spark.read.parquet(str(tmp_path / "out")))
     assert sorted((r["doc_id"], r["tag"]) for r in latest.collect()) == [(1, "h1_1"), (1, "h2_1_1"), (10, "h1_1"), (11, "h1_1")]
+
+
+def test_foreign_paragraphs_like_a_search(spark):
+    """A paragraph is the source's own if its text, or any four words in a row, occur in the source at any character."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randrange(1, 9)))
+    blobs, elements = [], []
+    for doc in range(12):
+        source = [" ".join(word() for _ in range(r.randrange(1, 30))) for _ in range(6)]
+        blobs.append((doc, " || ".join(source)))
+        for seq in range(40):
+            t = r.choice(source)
+            at = r.randrange(len(t))
+            cut = t[at : at + r.randrange(8, 40)] if r.random() < 0.6 else " ".join(word() for _ in range(r.randrange(1, 6)))
+            elements.append((doc, seq, "para", r.choice(["", "• ", "- "]) + cut + " " * 12))
+    elements += [(0, 100, "para", "[skipped text of a mark"), (0, 101, "table", "a table of no text here"), (0, 102, "para", "short"), (0, 103, "para", "•  •  ·  ·  •  • "), (99, 1, "para", "a document without a source")]
+    said = spark.createDataFrame(elements, "doc_id long, seq int, kind string, text string")
+    got = {(x["doc_id"], x["seq"]) for x in readback.foreign_paragraphs(said, spark.createDataFrame(blobs, "doc_id long, blob string")).collect()}
+    blob, want = dict(blobs), set()
+    for doc, seq, kind, text in elements:
+        if kind == "para" and len(text) >= 12 and not text.startswith("[") and doc in blob:
+            w = text.strip().lstrip("•·- ").split()
+            pieces = [" ".join(w)] if len(w) < 4 else [" ".join(w[i : i + 4]) for i in range(len(w) - 3)]
+            if w and not any(x in blob[doc] for x in pieces):
+                want.add((doc, seq))
+    assert got == want and len(want) > 20
