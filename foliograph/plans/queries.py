@@ -402,6 +402,11 @@ def _built(spark: SparkSession, sf_dir: str):
     return c, logical, ops, children, written(elements, "elements")
 
 
+def build_shared(spark: SparkSession, sf_dir: str) -> None:
+    """Builds the tables that the chain's queries share, once for a session and folder."""
+    _built(spark, sf_dir)
+
+
 @query("applied_plan")
 def applied_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the built documents; every second equation is taken as failed."""
