@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the columns of `documents`:
 rejected documents are gone, secrets are masked in the text, and a document that the mixture repeats is there as often.
+
+Odd rows: null and empty texts go through every stage as texts without words; rows without doc_id stay in the first three; rows that repeat a doc_id and its text become one in the near-copies stage; empty tables give empty ones;
+extra columns come through whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
-#: The learned grammar and the patterns' packing have no SQL form; tests compare the stages with brute force.
+#: The learned grammar and the patterns' packing have no SQL form. Tests run the stages on small and odd tables and look for clean documents, edited copies and columns; the operators have brute-force tests of their own.
 ORACLE_SQL = None
 
 
