@@ -1,4 +1,4 @@
-"""Queries of the ten operators and the SQL of those that SQL can express."""
+"""Queries of the thirteen operators and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 

@@ -656,4 +656,4 @@ def test_chat_query(spark, sf):
 
 
 def test_registry_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 14))
