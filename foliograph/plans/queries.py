@@ -131,7 +131,7 @@ q AS (SELECT template_id, seq, kind, lpad(upper(to_hex(p_partkey)), 8, '0') AS p
    kind = 3 AS in_table, CASE WHEN p_size % 3 = 0 THEN '13pt' WHEN p_size % 3 = 1 THEN '12pt' ELSE '11pt' END AS eff_size,
    CASE WHEN p_brand < 'Brand#3' THEN 'Times New Roman' ELSE 'Arial' END AS eff_font,
    CASE WHEN p_type LIKE '%STEEL%' THEN 'both' WHEN p_type LIKE '%COPPER%' THEN 'center' END AS align,
-   CASE WHEN p_size % 3 = 0 THEN '1.5' END AS line_spacing FROM k),
+   CASE WHEN p_size % 3 = 0 THEN '1.5' END AS line_spacing, CASE WHEN p_size % 2 = 1 THEN '1cm' END AS ind_first_line FROM k),
 paras AS (SELECT *, text <> '' AS has_text, coalesce(style IN ('Heading1', 'Heading2', 'Heading3'), false) AS is_heading FROM q),
 cohort AS (SELECT * FROM (SELECT *, min(CASE WHEN is_heading THEN seq END) OVER (PARTITION BY template_id) AS first_heading FROM paras)
    WHERE (first_heading IS NULL OR seq >= first_heading) AND has_text AND NOT is_heading AND NOT in_table)"""
@@ -369,7 +369,7 @@ def _planned(spark: SparkSession, sf_dir: str) -> tuple[Chain, DataFrame, DataFr
     return c, logical, written(plan.plan(c.docs, logical, c.sections, c.blocks, c.paras, c.prototypes), "plan")
 
 
-@query("rebuild_plan")
+@query("rebuild_plan", S.rebuild_plan(_PARAS_SQL))
 def rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All operations of every document, in order."""
     ops = _planned(spark, sf_dir)[2]

@@ -335,35 +335,98 @@ def _formula(x: str) -> str:
     return x
 
 
+def _pairs(**values: str) -> str:
+    """A list of (key, value) structs; a double underscore in a name stands for a dot. Null values count as absent later."""
+    return "[" + ", ".join(f"{{'key': '{k.replace('__', '.')}', 'value': {v}}}" for k, v in values.items()) + "]"
+
+
+_NO_PAIRS = "CAST([] AS STRUCT(key VARCHAR, value VARCHAR)[])"
+
+
+def _over(under: str, over: str) -> str:
+    """The pairs of both lists in the order of their keys; those of `over` win."""
+    return f"list_sort(list_concat(list_filter({under}, lambda u: u.value IS NOT NULL AND NOT list_contains(list_transform(list_filter({over}, lambda o: o.value IS NOT NULL), lambda o: o.key), u.key)), list_filter({over}, lambda o: o.value IS NOT NULL)))"
+
+
 def _operations(paras: str) -> str:
-    """CTEs up to ops (doc_id, op_seq, command, type, parent, path, before_, text, style, display): the whole plan in order."""
+    """CTEs up to ops (doc_id, op_seq, command, type, parent, path, before_, text, style, display, base, more): the whole plan in order.
+
+    base names the properties that an operation starts from (body, run, head), more has those on top of them; a heading's paragraph carries the title as text.
+    """
     cells = f"string_split(regexp_replace(regexp_replace({trimmed('line')}, '^\\|', ''), '\\|$', ''), '|')"
     item = r"CASE WHEN regexp_matches(line, '^\s*\d+[.)]\s+') THEN regexp_extract(line, '^\s*\d+[.)]\s+(.*)$', 1) ELSE regexp_extract(line, '^\s*[-*+]\s+(.*)$', 1) END"
+    ordered = _pairs(listStyle=r"CASE WHEN regexp_matches(head, '^\s*\d+[.)]\s+') THEN 'ordered' ELSE 'bullet' END")
+    inside = "{'key': 'leftIndent', 'value': CASE kind WHEN 'callout' THEN '360' END}"
+    marks = _pairs(
+        text="coalesce(t, p.txt)", bold="CASE WHEN look IN ('both', 'bold') OR (look = '' AND code IN ('b', 'bi')) THEN 'true' END", italic="CASE WHEN look = 'both' OR (look <> 'code' AND code IN ('i', 'bi')) THEN 'true' END",
+        vertAlign="CASE WHEN look <> 'code' AND code = 'sup' THEN 'superscript' WHEN look <> 'code' AND code = 'sub' THEN 'subscript' END", font__latin="CASE look WHEN 'code' THEN 'Courier New' END",
+    )
+    widths = _pairs(colWidths="array_to_string(list_transform(range(greatest(1, ncols)), lambda i: CAST(greatest(1200, 9000 // greatest(1, ncols)) AS VARCHAR)), ',')")
+    none = f"'' AS base, {_NO_PAIRS} AS more"
     return f"""{routed(False)}, {LOGICAL}, {paras}, {slots("l.intent NOT IN ('preserve', 'remove')")},
 live AS (SELECT l.doc_id, l.sec_no, l.presentation, s.title, coalesce(b.body_style, 'Normal') AS body_style FROM logical l JOIN secs s USING (doc_id, sec_no) JOIN assigned a ON a.doc_id = l.doc_id LEFT JOIN
   (SELECT template_id, style AS body_style FROM (SELECT template_id, coalesce(style, 'Normal') AS style, row_number() OVER (PARTITION BY template_id ORDER BY count(*) DESC, min(seq)) AS r FROM cohort GROUP BY 1, 2) WHERE r = 1) b USING (template_id)
   WHERE l.intent NOT IN ('preserve', 'remove')),
-placed AS (SELECT i.*, row_number() OVER (PARTITION BY doc_id, sec_no, block_no ORDER BY line_no) - 1 AS at_ FROM i5 i WHERE kind IN ('list', 'table') OR (kind = 'code' AND mode = 'b')),
-piece AS (SELECT doc_id, sec_no, block_no, part_no, 0 AS d, 0 AS c, '{_LAST}' AS parent, txt, heading_like AND NOT raw LIKE '####%' AS one, true AS own FROM blk WHERE txt IS NOT NULL
-  UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, 0, '{_LAST}', {trimmed(item)}, false, true FROM placed WHERE kind = 'list' UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, 0, '{_LAST}', CASE line WHEN '' THEN ' ' ELSE line END, true, true FROM placed WHERE kind = 'code'
-  UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, c - 1, '/body/tbl[last()]/tr[last()]/tc[' || c || ']/p[last()]', {trimmed("x")}, false, false FROM placed, unnest({cells}) WITH ORDINALITY AS u(x, c) WHERE kind = 'table'),
+placed AS (SELECT i.*, row_number() OVER w - 1 AS at_, first_value(line) OVER w AS head FROM i5 i WHERE kind IN ('list', 'table') OR (kind = 'code' AND mode = 'b') WINDOW w AS (PARTITION BY doc_id, sec_no, block_no ORDER BY line_no)),
+piece AS (SELECT doc_id, sec_no, block_no, part_no, 0 AS d, 0 AS c, '{_LAST}' AS parent, txt, heading_like AND NOT raw LIKE '####%' AS one, true AS own, CASE WHEN NOT heading_like THEN '' WHEN raw LIKE '####%' THEN 'bold' ELSE 'both' END AS look, [{inside}] AS more FROM blk WHERE txt IS NOT NULL
+  UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, 0, '{_LAST}', {trimmed(item)}, false, true, '', {ordered} FROM placed WHERE kind = 'list' UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, 0, '{_LAST}', CASE line WHEN '' THEN ' ' ELSE line END, true, true, 'code', {_NO_PAIRS} FROM placed WHERE kind = 'code'
+  UNION ALL SELECT doc_id, sec_no, block_no, 0, at_, c - 1, '/body/tbl[last()]/tr[last()]/tc[' || c || ']/p[last()]', {trimmed("x")}, false, false, '', {_NO_PAIRS} FROM placed, unnest({cells}) WITH ORDINALITY AS u(x, c) WHERE kind = 'table'),
 texts AS (SELECT DISTINCT txt FROM piece WHERE NOT one), {runs("texts")},
 raw_ops AS (
-  SELECT doc_id, 0 AS k0, pos AS k1, 0 AS k2, 0 AS k3, 0 AS k4, 0 AS k5, 'remove' AS command, NULL AS type, NULL AS parent, '/body/p[@paraId=' || para_id || ']' AS path, NULL AS before_, NULL AS text, NULL AS style, false AS display FROM classed WHERE inside AND kind = 'p'
-  UNION ALL SELECT doc_id, 1, -tbl_index, 0, 0, 0, 0, 'remove', NULL, NULL, '/body/tbl[' || tbl_index || ']', NULL, NULL, NULL, false FROM classed WHERE inside AND kind = 'tbl'
-  UNION ALL SELECT doc_id, 2, sec_no, -1, 0, 0, -1, 'add', 'p', '/body', NULL, NULL, NULL, CASE presentation WHEN 'minor_section' THEN 'Heading2' WHEN 'sub_section' THEN 'Heading3' ELSE 'Heading1' END, false FROM live
-  UNION ALL SELECT doc_id, 2, sec_no, -1, 0, 0, 0, 'add', 'r', '{_LAST}', NULL, NULL, title, NULL, false FROM live WHERE title <> ''
-  UNION ALL SELECT doc_id, 2, sec_no, block_no, part_no, d, -1, 'add', 'p', '/body', NULL, NULL, NULL, body_style, false FROM piece JOIN live USING (doc_id, sec_no) WHERE own
-  UNION ALL SELECT doc_id, 2, sec_no, block_no, part_no, d, c * 1000000 + coalesce(n, 0), 'add', CASE code WHEN 'm' THEN 'equation' ELSE 'r' END, p.parent, NULL, NULL, CASE code WHEN 'm' THEN {_formula("t")} ELSE coalesce(t, p.txt) END, NULL, false
+  SELECT doc_id, 0 AS k0, pos AS k1, 0 AS k2, 0 AS k3, 0 AS k4, 0 AS k5, 'remove' AS command, NULL AS type, NULL AS parent, '/body/p[@paraId=' || para_id || ']' AS path, NULL AS before_, NULL AS text, NULL AS style, false AS display, {none} FROM classed WHERE inside AND kind = 'p'
+  UNION ALL SELECT doc_id, 1, -tbl_index, 0, 0, 0, 0, 'remove', NULL, NULL, '/body/tbl[' || tbl_index || ']', NULL, NULL, NULL, false, {none} FROM classed WHERE inside AND kind = 'tbl'
+  UNION ALL SELECT doc_id, 2, sec_no, -1, 0, 0, -1, 'add', 'p', '/body', NULL, NULL, title, CASE presentation WHEN 'minor_section' THEN 'Heading2' WHEN 'sub_section' THEN 'Heading3' ELSE 'Heading1' END, false, 'head', {_NO_PAIRS} FROM live
+  UNION ALL SELECT doc_id, 2, sec_no, -1, 0, 0, 0, 'add', 'r', '{_LAST}', NULL, NULL, title, NULL, false, '', {_pairs(text="title")} FROM live WHERE title <> ''
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, part_no, d, -1, 'add', 'p', '/body', NULL, NULL, NULL, body_style, false, 'body', more FROM piece JOIN live USING (doc_id, sec_no) WHERE own
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, part_no, d, c * 1000000 + coalesce(n, 0), 'add', CASE code WHEN 'm' THEN 'equation' ELSE 'r' END, p.parent, NULL, NULL, CASE code WHEN 'm' THEN {_formula("t")} ELSE coalesce(t, p.txt) END, NULL, false,
+    CASE code WHEN 'm' THEN '' ELSE 'run' END, CASE code WHEN 'm' THEN {_pairs(formula=_formula("t"), mode="'inline'")} ELSE {marks} END
     FROM piece p JOIN live USING (doc_id, sec_no) LEFT JOIN run ON run.txt = p.txt AND NOT p.one WHERE coalesce(t, p.txt) <> ''
-  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, -1, 0, 'add', 'table', '/body', NULL, NULL, CAST(ncols AS VARCHAR), NULL, false FROM blk JOIN live USING (doc_id, sec_no) WHERE kind = 'table'
-  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, at_, -1, 'add', 'row', '/body/tbl[last()]', NULL, NULL, NULL, NULL, false FROM placed JOIN live USING (doc_id, sec_no) WHERE kind = 'table' AND at_ > 0
-  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, 0, 0, 'add', 'equation', '/body', NULL, NULL, {_formula("formula")}, NULL, true FROM blk JOIN live USING (doc_id, sec_no) WHERE kind = 'equation'
-  UNION ALL SELECT doc_id, 3, pos, 0, 0, 0, 0, 'move', NULL, NULL, CASE kind WHEN 'p' THEN '/body/p[@paraId=' || para_id || ']' ELSE '/body/tbl[' || (1 + (SELECT count(*) FROM classed f WHERE f.doc_id = c.doc_id AND f.kind = 'tbl' AND NOT f.inside AND NOT f.after_)) || ']' END, '/body/sectPr', NULL, NULL, false
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, -1, 0, 'add', 'table', '/body', NULL, NULL, CAST(ncols AS VARCHAR), NULL, false, '', {widths} FROM blk JOIN live USING (doc_id, sec_no) WHERE kind = 'table'
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, at_, -1, 'add', 'row', '/body/tbl[last()]', NULL, NULL, NULL, NULL, false, {none} FROM placed JOIN live USING (doc_id, sec_no) WHERE kind = 'table' AND at_ > 0
+  UNION ALL SELECT doc_id, 2, sec_no, block_no, 0, 0, 0, 'add', 'equation', '/body', NULL, NULL, {_formula("formula")}, NULL, true, '', {_pairs(formula=_formula("formula"), mode="'display'")} FROM blk JOIN live USING (doc_id, sec_no) WHERE kind = 'equation'
+  UNION ALL SELECT doc_id, 3, pos, 0, 0, 0, 0, 'move', NULL, NULL, CASE kind WHEN 'p' THEN '/body/p[@paraId=' || para_id || ']' ELSE '/body/tbl[' || (1 + (SELECT count(*) FROM classed f WHERE f.doc_id = c.doc_id AND f.kind = 'tbl' AND NOT f.inside AND NOT f.after_)) || ']' END, '/body/sectPr', NULL, NULL, false, {none}
     FROM classed c WHERE after_),
 ops AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k0, k1, k2, k3, k4, k5) AS op_seq FROM raw_ops)"""
 
 
+def _top(source: str, keys: str, value: str) -> str:
+    """The most frequent value of each key, the first seen of equals."""
+    return f"(SELECT {keys}, {value} FROM (SELECT {keys}, {value}, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, min(seq)) AS r FROM {source} GROUP BY {keys}, {value}) WHERE r = 1)"
+
+
+def _properties() -> str:
+    """CTEs after _operations: best (prototypes), fmt (each template's body and run pairs), headp (each title's) and whole (ops with props, sorted pairs)."""
+    own = _pairs(style="style_name", size="eff_size", font__ascii="eff_font", font__hAnsi="eff_font", firstLineIndent="ind_first_line", align="align", lineSpacing="line_spacing", lineRule="CASE WHEN line_spacing IS NOT NULL THEN 'auto' END")
+    body = _pairs(style="body_style", size="eff_size", font__ascii="eff_font", font__hAnsi="eff_font", align="align", lineSpacing="line_spacing", lineRule="CASE WHEN line_spacing IS NOT NULL THEN 'auto' END")
+    styled = lambda x, style: _over(x, _pairs(style=style))
+    same = "list_max(list_filter(range(1, least(length(t.n), length(c.cn)) + 1), lambda k: left(t.n, k) = left(c.cn, k)))"
+    return f"""
+fm AS (SELECT c.* FROM cohort c JOIN {_top("(SELECT *, row(eff_font, eff_size) AS pair FROM cohort)", "template_id", "pair")} p ON p.template_id = c.template_id AND p.pair = row(c.eff_font, c.eff_size)),
+fmt AS (SELECT f.template_id, any_value(body_style) AS body_style, any_value(l.line_spacing) AS spacing, any_value({body}) AS body, any_value({_pairs(size="eff_size", font__latin="eff_font")}) AS run
+  FROM (SELECT DISTINCT template_id, eff_font, eff_size FROM fm) f LEFT JOIN {_top("(SELECT * FROM fm WHERE align IS NOT NULL)", "template_id", "align")} a USING (template_id) LEFT JOIN {_top("(SELECT * FROM fm WHERE line_spacing IS NOT NULL)", "template_id", "line_spacing")} l USING (template_id)
+  LEFT JOIN {_top("(SELECT template_id, seq, coalesce(style, 'Normal') AS body_style FROM cohort)", "template_id", "body_style")} s USING (template_id) GROUP BY 1),
+region AS (SELECT *, coalesce(style, 'Normal') AS style_name, eff_size <> '11pt' AS sized, min(CASE WHEN is_heading THEN seq END) OVER w AS lo, max(CASE WHEN is_heading OR has_text THEN seq END) OVER w AS hi FROM paras WINDOW w AS (PARTITION BY template_id)),
+proto AS (SELECT *, coalesce(seq BETWEEN lo AND hi, false) AS inside FROM region),
+best AS (SELECT *, {own} AS pairs FROM proto QUALIFY row_number() OVER (PARTITION BY template_id, style_name ORDER BY inside DESC, has_text DESC, sized DESC, seq) = 1),
+cand AS (SELECT *, {own} AS pairs, {norm_title("text")} AS cn FROM (SELECT *, bool_or(inside) OVER (PARTITION BY template_id, style_name) AS any_inside FROM proto) WHERE inside OR NOT any_inside),
+common AS (SELECT c.template_id, c.style_name, c.pairs FROM cand c JOIN {_top("(SELECT template_id, style_name, seq, coalesce(align, '') AS modal FROM cand)", "template_id, style_name", "modal")} m ON m.template_id = c.template_id AND m.style_name = c.style_name AND m.modal = coalesce(c.align, '')
+  QUALIFY row_number() OVER (PARTITION BY c.template_id, c.style_name ORDER BY c.has_text DESC, c.sized DESC, c.seq) = 1),
+asked AS (SELECT DISTINCT a.template_id, o.style AS style_name, o.text AS title, {norm_title("o.text")} AS n FROM ops o JOIN assigned a USING (doc_id) WHERE o.base = 'head'),
+alike AS (SELECT t.template_id, t.style_name, t.title, c.pairs, c.seq, CASE WHEN t.n = c.cn THEN 1000000 ELSE {same} END AS lcp, least(length(t.n), length(c.cn)) AS shorter FROM asked t JOIN cand c ON c.template_id = t.template_id AND c.style_name = t.style_name
+  WHERE length(t.n) >= 3 AND (t.n = c.cn OR (length(t.n) >= 10 AND length(c.cn) >= 10 AND left(t.n, 10) = left(c.cn, 10)))),
+closest AS (SELECT * FROM alike WHERE lcp >= 0.5 * shorter QUALIFY row_number() OVER (PARTITION BY template_id, style_name, title ORDER BY lcp DESC, seq) = 1),
+headp AS (SELECT q.template_id, q.style_name, q.title, CASE WHEN coalesce(m.pairs, r.pairs) IS NOT NULL THEN {styled("coalesce(m.pairs, r.pairs)", "q.style_name")} WHEN b.pairs IS NOT NULL THEN b.pairs
+   WHEN q.style_name = 'Heading3' AND b2.pairs IS NOT NULL THEN {styled("b2.pairs", "q.style_name")} ELSE {_pairs(style="q.style_name")} END AS pairs FROM asked q LEFT JOIN closest m USING (template_id, style_name, title)
+   LEFT JOIN common r ON r.template_id = q.template_id AND r.style_name = q.style_name LEFT JOIN best b ON b.template_id = q.template_id AND b.style_name = q.style_name LEFT JOIN best b2 ON b2.template_id = q.template_id AND b2.style_name = 'Heading2'),
+under AS (SELECT o.*, CASE o.base WHEN 'body' THEN f.body WHEN 'run' THEN f.run WHEN 'head' THEN h.pairs ELSE {_NO_PAIRS} END AS pairs FROM ops o JOIN assigned a USING (doc_id) LEFT JOIN fmt f USING (template_id) LEFT JOIN headp h ON o.base = 'head' AND h.template_id = a.template_id AND h.style_name = o.style AND h.title = o.text),
+whole AS (SELECT * EXCLUDE (pairs), {_over("pairs", "more")} AS props FROM under)"""
+
+
+def rebuild_plan(paras: str) -> str:
+    return f"""WITH {_operations(paras)}, {_properties()}
+SELECT doc_id, CAST(op_seq AS INT) AS op_seq, command, type, parent, path, before_ AS "before", CAST(to_json(props) AS VARCHAR) AS props FROM whole"""
+
+
 def plan_operations(paras: str) -> str:
     return f"""WITH {_operations(paras)}
 SELECT doc_id, CAST(op_seq AS INT) AS op_seq, command, type, parent, path, before_ AS "before", CASE WHEN type IN ('r', 'equation') THEN text END AS text, style FROM ops"""
