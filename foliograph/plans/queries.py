@@ -308,14 +308,14 @@ def router_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir, lazy=True).select("doc_id", "node_id", "semantic_role", "confidence", "evidence")
 
 
-@query("role_review")
+@query("role_review", S.role_review())
 def role_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warnings after answers for unsure nodes are merged, and the budget of each document."""
+    """Warnings (joined by ' | ') after answers for unsure nodes are merged, and the budget of each document."""
     c = chain(spark, sf_dir)
     merged, warnings = roles.merge_answers(_routed(spark, sf_dir), X.stage2_answers(spark, sf_dir), c.profiles)
     merged = written(merged, "merged")
     all_ = warnings.select("doc_id", "warning").union(roles.quality_gate(merged, c.profiles, c.docs))
-    return roles.evidence_budget(merged).join(all_.groupBy("doc_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings")), "doc_id", "left")
+    return roles.evidence_budget(merged).join(all_.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("warning")), " | ").alias("warnings")), "doc_id", "left")
 
 
 @query("logical_placement", S.logical_placement())
@@ -342,11 +342,11 @@ def logical_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "profile_id", "strategy", "front_matter_strategy", "outline_shift", "emitted", "preserved", degraded.alias("degraded"))
 
 
-@query("synthesized_profiles")
+@query("synthesized_profiles", S.synthesized_profiles(_PARAS_SQL))
 def synthesized_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chain(spark, sf_dir)
     p = profiles.synthesize_profile(c.sections, c.blocks, c.docs, c.paras)
-    return p.select("doc_id", "template_id", "id", "extends", "front_matter_strategy", F.to_json("keyword_rules").alias("keyword_rules"), "role_vocabulary", F.array_sort(F.map_keys("capabilities")).alias("capabilities"))
+    return p.select("doc_id", "template_id", "id", "extends", "front_matter_strategy", F.to_json("keyword_rules").alias("keyword_rules"), F.array_join("role_vocabulary", ",").alias("role_vocabulary"), F.array_join(F.array_sort(F.map_keys("capabilities")), ",").alias("capabilities"))
 
 
 @query("capability_report", S.capability_report())
@@ -407,7 +407,7 @@ def build_shared(spark: SparkSession, sf_dir: str) -> None:
     _built(spark, sf_dir)
 
 
-@query("applied_plan")
+@query("applied_plan", S.applied_plan(_PARAS_SQL))
 def applied_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the built documents; every second equation is taken as failed."""
     return _built(spark, sf_dir)[-1]
@@ -427,27 +427,31 @@ def apply_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.apply_summary(ops, failed, plan.degrade_equations(ops, failed)[1])
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, logical, ops, children, elements = _built(spark, sf_dir)
+    classified = slots.classify_elements(slots.body_children(c.paras), c.docs, slots.content_titles(c.sections, slots.emitted_nodes(logical)))
+    return checks.run_checks(c.docs, ops, elements, c.paras, c.sections, logical, template.best_prototype(c.prototypes), template.body_format(c.paras), template.body_style(c.paras), written(classified, "classified"))
+
+
 @query("check_errors", S.check_errors(_PARAS_SQL))
 def check_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which structural checks each built document passes."""
     names = ["nonempty", "add_p_style", "runs_nonempty", "para_count", "S1", "S5", "S7", "S8", "S9"]
-    return rule_checks(spark, sf_dir).filter(F.col("name").isin(names)).select("doc_id", "name", "passed")
+    return _checked(spark, sf_dir).filter(F.col("name").isin(names)).select("doc_id", "name", "passed")
 
 
-@query("rule_checks")
+@query("rule_checks", S.rule_checks(_PARAS_SQL))
 def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks over the built documents."""
-    c, logical, ops, children, elements = _built(spark, sf_dir)
-    classified = slots.classify_elements(slots.body_children(c.paras), c.docs, slots.content_titles(c.sections, slots.emitted_nodes(logical)))
-    return checks.run_checks(c.docs, ops, elements, c.paras, c.sections, logical, template.best_prototype(c.prototypes), template.body_format(c.paras), template.body_style(c.paras), written(classified, "classified"))
+    """All checks over the built documents, details joined by ' | '."""
+    return _checked(spark, sf_dir).withColumn("details", F.array_join("details", " | "))
 
 
-@query("check_verdicts")
+@query("check_verdicts", S.check_verdicts(_PARAS_SQL))
 def check_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.check_verdict(rule_checks(spark, sf_dir))
+    return checks.check_verdict(_checked(spark, sf_dir))
 
 
-@query("readback_observations")
+@query("readback_observations", S.readback_observations(_PARAS_SQL))
 def readback_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the built documents differ from their sources."""
     c, *_, elements = _built(spark, sf_dir)
@@ -460,7 +464,7 @@ def readback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readback_observations(spark, sf_dir).select("doc_id", "signal", "value")
 
 
-@query("readback_view")
+@query("readback_view", S.readback_view(_PARAS_SQL))
 def readback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readback.render_view(_built(spark, sf_dir)[-1])
 

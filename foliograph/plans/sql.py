@@ -432,19 +432,28 @@ def plan_operations(paras: str) -> str:
 SELECT doc_id, CAST(op_seq AS INT) AS op_seq, command, type, parent, path, before_ AS "before", CASE WHEN type IN ('r', 'equation') THEN text END AS text, style FROM ops"""
 
 
-def _elements(paras: str) -> str:
-    """CTEs after _operations: op2 (every second equation as text) and elements (doc_id, seq, kind, para_id, style, text, tbl_index, rows, cols)."""
-    return f"""{_operations(paras)},
-bad AS (SELECT *, type = 'equation' AND op_seq % 2 = 0 AS failed, last_value(CASE WHEN type = 'p' THEN style END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY op_seq) AS last_style FROM ops),
-op2 AS (SELECT doc_id, op_seq, 0 AS sub, command, type, parent, text, style FROM bad WHERE NOT failed UNION ALL SELECT doc_id, op_seq, 0, 'add', 'p', '/body', NULL, coalesce(last_style, 'Normal') FROM bad WHERE failed AND display
-  UNION ALL SELECT doc_id, op_seq, 1, 'add', 'r', CASE WHEN display THEN '{_LAST}' ELSE parent END, '$' || text || '$', NULL FROM bad WHERE failed),
+def _elements(paras: str, full: bool = False) -> str:
+    """CTEs after _operations: op2 (every second equation as text) and elements (doc_id, seq, kind, para_id, style, text, tbl_index, rows, cols); full: also align, size, font, ind_first_line, line_rule."""
+    source = "whole" if full else f"(SELECT *, {_NO_PAIRS} AS props FROM ops)"
+    value = lambda k, ps="props": f"list_filter({ps}, lambda x: x.key = '{k}')[1].value"
+    first = lambda k: f"first({value(k)} ORDER BY op_seq, sub)"
+    run = lambda k: f"max(CASE WHEN type = 'r' AND parent = '{_LAST}' THEN {value(k)} END)"
+    return f"""{_operations(paras)}{"," + _properties() if full else ""},
+bad AS (SELECT *, type = 'equation' AND op_seq % 2 = 0 AS failed, last_value(CASE WHEN type = 'p' THEN style END IGNORE NULLS) OVER w AS last_style, last_value(CASE WHEN type = 'p' THEN props END IGNORE NULLS) OVER w AS last_props FROM {source} WINDOW w AS (PARTITION BY doc_id ORDER BY op_seq)),
+op2 AS (SELECT doc_id, op_seq, 0 AS sub, command, type, parent, text, style, props FROM bad WHERE NOT failed OR failed IS NULL UNION ALL SELECT doc_id, op_seq, 0, 'add', 'p', '/body', NULL, coalesce(last_style, 'Normal'), coalesce(last_props, {_pairs(style="'Normal'")}) FROM bad WHERE failed AND display
+  UNION ALL SELECT doc_id, op_seq, 1, 'add', 'r', CASE WHEN display THEN '{_LAST}' ELSE parent END, '$' || text || '$', NULL, {_pairs(italic="'true'", text="'$' || text || '$'")} FROM bad WHERE failed),
 begun AS (SELECT *, sum(CASE WHEN type IN ('p', 'table') OR (type = 'equation' AND parent = '/body') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY op_seq, sub) AS e FROM op2 WHERE command = 'add'),
 fresh AS (SELECT doc_id, e, first(CASE type WHEN 'p' THEN 'para' ELSE type END ORDER BY op_seq, sub) AS kind, first(style ORDER BY op_seq, sub) AS style, coalesce(string_agg(CASE WHEN type = 'r' AND parent = '{_LAST}' THEN text END, '' ORDER BY op_seq, sub), '') AS text,
-  1 + count(*) FILTER (type = 'row') AS n_rows, greatest(1, CAST(max(CASE WHEN type = 'table' THEN text END) AS INT)) AS n_cols FROM begun GROUP BY 1, 2),
+  1 + count(*) FILTER (type = 'row') AS n_rows, greatest(1, CAST(max(CASE WHEN type = 'table' THEN text END) AS INT)) AS n_cols, {first("align")} AS align, coalesce({first("size")}, {run("size")}) AS size, coalesce({first("font.ascii")}, {run("font.latin")}) AS font,
+  {first("firstLineIndent")} AS ind_first_line, {first("lineRule")} AS line_rule FROM begun GROUP BY 1, 2),
 elements AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS seq FROM (
-  SELECT c.doc_id, CASE WHEN after_ THEN 2 ELSE 0 END AS a, c.pos AS b, CASE c.kind WHEN 'p' THEN 'para' ELSE 'table' END AS kind, c.para_id, p.style, CASE WHEN c.kind = 'p' THEN p.text END AS text, c.tbl_index, CAST(NULL AS INT) AS rows, CAST(NULL AS INT) AS cols
-    FROM classed c LEFT JOIN paras p ON p.template_id = c.template_id AND p.para_id = c.para_id WHERE NOT inside
-  UNION ALL SELECT doc_id, 1, e, kind, NULL, style, text, NULL, CASE kind WHEN 'table' THEN n_rows END, CASE kind WHEN 'table' THEN n_cols END FROM fresh))"""
+  SELECT c.doc_id, CASE WHEN after_ THEN 2 ELSE 0 END AS a, c.pos AS b, CASE c.kind WHEN 'p' THEN 'para' ELSE 'table' END AS kind, c.para_id, p.style, CASE WHEN c.kind = 'p' THEN p.text END AS text, c.tbl_index, CAST(NULL AS INT) AS rows, CAST(NULL AS INT) AS cols,
+    p.align, p.eff_size AS size, p.eff_font AS font, CAST(NULL AS VARCHAR) AS ind_first_line, CASE WHEN p.line_spacing IS NOT NULL THEN 'auto' END AS line_rule FROM classed c LEFT JOIN paras p ON p.template_id = c.template_id AND p.para_id = c.para_id WHERE NOT inside
+  UNION ALL SELECT doc_id, 1, e, kind, NULL, style, text, NULL, CASE kind WHEN 'table' THEN n_rows END, CASE kind WHEN 'table' THEN n_cols END, align, size, font, ind_first_line, line_rule FROM fresh))"""
+
+
+def applied_plan(paras: str) -> str:
+    return f"""WITH {_elements(paras, full=True)} SELECT doc_id, kind, para_id, style, align, text, size, font, ind_first_line, line_rule, CAST(tbl_index AS INT) AS tbl_index, CAST(rows AS INT) AS rows, CAST(cols AS INT) AS cols, CAST(seq AS INT) AS seq FROM elements"""
 
 
 def applied_elements(paras: str) -> str:
@@ -472,10 +481,117 @@ tally AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(p, 0) AS p, coalesce(ba
 SELECT doc_id, unnest(['nonempty', 'add_p_style', 'runs_nonempty', 'para_count', 'S1', 'S5', 'S7', 'S8', 'S9']) AS name, unnest([n > 0, bare = 0, blank = 0, p = h + b, jumps = 0, paras_ > 0, b = 0 OR body >= 0.85 * b, g1 = w1 AND g2 = w2 AND g3 = w3, lost = 0 AND tables >= kept_tables]) AS passed FROM tally"""
 
 
-def readback_counts(paras: str) -> str:
+def _rule_checks(paras: str) -> str:
+    """CTEs up to verdicts (doc_id, name, passed, severity, message, details): all checks of the built documents, details joined by ' | '."""
+    text = f"{trimmed('coalesce(text, chr(32))')} <> ''"
+    listed = lambda value, order, most: f"array_to_string(list_transform(list_sort(list_transform(list_distinct(list({value} ORDER BY {order}) FILTER ({value} IS NOT NULL)), lambda x: {{'o': list_position(list({value} ORDER BY {order}) FILTER ({value} IS NOT NULL), x), 'x': x}}))[1:{most}], lambda y: y.x), ' | ')"
+
+    def check(name: str, table: str, passed: str, severity: str, good: str, bad: str, details: str = "''") -> str:
+        return f"SELECT d.doc_id, '{name}' AS name, {passed} AS passed, '{severity}' AS severity, CASE WHEN {passed} THEN {good} ELSE {bad} END AS message, CASE WHEN {passed} THEN '' ELSE coalesce({details}, '') END AS details FROM d LEFT JOIN {table} USING (doc_id)"
+
+    none = "coalesce(n, 0) = 0"
+    rows = [
+        check("nonempty", "n_ops", "coalesce(n, 0) > 0", "error", "'the plan has ' || n || ' operations'", "'the plan has no operation'"),
+        check("remove_targets", "unknown", none, "error", "'everything removed is in the template'", "n || ' removed paragraphs are unknown to the template'", "listing"),
+        check("add_p_style", "bare", none, "error", "'each added paragraph has a style'", "n || ' added paragraphs have no style'", "listing"),
+        check("runs_nonempty", "blank", none, "error", "'each added run has a text'", "n || ' added runs have an empty text'", "listing"),
+        check("para_count", "counted", "a = h + b", "error", "a || ' paragraphs are added, as many as the content has'", "a || ' paragraphs are added, the content has ' || (h + b) || ': ' || h || ' headings and ' || b || ' in bodies'"),
+        check("S1", "jump", none, "warning", "'no heading skips a level'", "n || ' headings skip a level'", "listing"),
+        check("S3", "look", none, "warning", "'fonts and sizes agree in ' || coalesce(checked, 0) || ' paragraphs'", "n || ' kinds of font or size differ from the template'", "listing"),
+        check("S4", "indent", none, "warning", "coalesce('bodies begin their first line at ' || expected, 'the template has no first-line indent')", "n || ' body paragraphs have another first-line indent'", "listing"),
+        check("S5", "tail", "n IS NOT NULL", "error", "CASE WHEN n > 0 THEN n || ' empty paragraphs near the end' ELSE 'no empty paragraph near the end' END", "'no paragraph at all'"),
+        check("S6", "exact", none, "error", "CASE WHEN checked IS NULL THEN 'the template has no line spacing' ELSE checked || ' body paragraphs have free line height' END", "n || ' body paragraphs have an exact line height'", "listing"),
+        check("S7", "content", "(e = 0 OR got >= 0.85 * e)", "error", "'enough content: ' || got || ' body paragraphs of ' || e", "'content is missing: ' || got || ' body paragraphs of ' || e"),
+        check("S8", "heads8", none, "error", "'as many headings as planned'", "'more or fewer headings than planned'", "listing"),
+        check("S9", "kept", "(lost = 0 AND gt >= et)", "error", "'all ' || ep || ' fixed paragraphs and ' || et || ' fixed tables are there'", "'fixed parts of the template are gone'",
+              "array_to_string(list_filter([CASE WHEN lost > 0 THEN lost || ' fixed paragraphs are gone: ' || ids END, CASE WHEN gt < et THEN gt || ' of ' || et || ' fixed tables are left, ' || (et - gt) || ' are gone' END], lambda x: x IS NOT NULL), ' | ')"),
+    ]
+    return f"""{_elements(paras, full=True)}, d AS (SELECT doc_id, template_id FROM assigned),
+numbered_ops AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY op_seq, sub) - 1 AS at_ FROM op2),
+n_ops AS (SELECT doc_id, count(*) AS n, count(*) FILTER (command = 'add' AND type = 'p') AS p FROM op2 GROUP BY 1),
+gone AS (SELECT o.doc_id, op_seq, regexp_extract(path, '@paraId=([^\\]]+)\\]', 1) AS pid FROM ops o JOIN d USING (doc_id) WHERE command = 'remove' AND pid <> '' AND NOT EXISTS (SELECT 1 FROM paras p WHERE p.template_id = d.template_id AND p.para_id = regexp_extract(path, '@paraId=([^\\]]+)\\]', 1))),
+unknown AS (SELECT doc_id, count(*) AS n, {listed("pid", "op_seq", 8)} AS listing FROM gone GROUP BY 1),
+bare AS (SELECT doc_id, count(*) AS n, {listed("CAST(at_ AS VARCHAR)", "at_", 8)} AS listing FROM numbered_ops WHERE command = 'add' AND type = 'p' AND coalesce(style, '') = '' GROUP BY 1),
+blank AS (SELECT doc_id, count(*) AS n, {listed("CAST(at_ AS VARCHAR)", "at_", 8)} AS listing FROM numbered_ops WHERE command = 'add' AND type = 'r' AND coalesce(text, '') = '' GROUP BY 1),
+want AS (SELECT l.doc_id, count(*) AS h, CAST(sum(s.paragraph_count) AS BIGINT) AS b FROM live l JOIN secs s USING (doc_id, sec_no) GROUP BY 1),
+counted AS (SELECT d.doc_id, coalesce(p, 0) AS a, coalesce(h, 0) AS h, coalesce(b, 0) AS b FROM d LEFT JOIN n_ops USING (doc_id) LEFT JOIN want USING (doc_id)),
+levels AS (SELECT doc_id, seq, CAST(right(style, 1) AS INT) AS level, lag(CAST(right(style, 1) AS INT)) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM elements WHERE kind = 'para' AND regexp_matches(style, '^Heading[1-6]$')),
+jump AS (SELECT doc_id, count(*) AS n, string_agg('element ' || seq || ' goes from level ' || prev || ' to ' || level, ' | ' ORDER BY seq) AS listing FROM levels WHERE level > prev + 1 GROUP BY 1),
+fixed AS (SELECT DISTINCT doc_id, para_id FROM classed WHERE NOT inside AND kind = 'p' AND coalesce(para_id, '') <> ''),
+mine AS (SELECT e.*, d.template_id, f.body_style, f.spacing FROM elements e JOIN d USING (doc_id) LEFT JOIN fmt f USING (template_id) LEFT JOIN fixed x ON x.doc_id = e.doc_id AND x.para_id = e.para_id WHERE e.kind = 'para' AND {text} AND x.doc_id IS NULL),
+compared AS (SELECT m.doc_id, m.style, m.seq, list_filter([CASE WHEN nullif(m.font, '') <> nullif(b.eff_font, '') THEN 'style ' || m.style || ' has font ' || m.font || ' instead of ' || b.eff_font END, CASE WHEN nullif(m.size, '') <> nullif(b.eff_size, '') THEN 'style ' || m.style || ' has size ' || m.size || ' instead of ' || b.eff_size END],
+   lambda x: x IS NOT NULL) AS w FROM mine m JOIN best b ON b.template_id = m.template_id AND b.style_name = m.style WHERE m.style IN ('Heading1', 'Heading2', 'Heading3') OR m.style = m.body_style),
+wrong AS (SELECT doc_id, x, min((style, seq, k)) AS place FROM compared, unnest(w) WITH ORDINALITY AS u(x, k) GROUP BY 1, 2),
+look AS (SELECT c.doc_id, c.checked, w.n, w.listing FROM (SELECT doc_id, count(*) AS checked FROM compared GROUP BY 1) c LEFT JOIN (SELECT doc_id, count(*) AS n, array_to_string(list(x ORDER BY place)[1:6], ' | ') AS listing FROM wrong GROUP BY 1) w USING (doc_id)),
+lines4 AS (SELECT m.doc_id, m.seq, b.ind_first_line AS exp, CASE WHEN m.ind_first_line IS DISTINCT FROM b.ind_first_line THEN left(m.text, 30) || ': first line at ' || coalesce(m.ind_first_line, 'None') || ' instead of ' || b.ind_first_line END AS said
+   FROM mine m JOIN best b ON b.template_id = m.template_id AND b.style_name = m.body_style WHERE m.style = m.body_style AND coalesce(b.ind_first_line, '') NOT IN ('', '0', '0pt', '0cm')),
+first4 AS (SELECT doc_id, said, min(seq) AS seq FROM lines4 WHERE said IS NOT NULL GROUP BY 1, 2),
+indent AS (SELECT a.doc_id, a.n, a.expected, b.listing FROM (SELECT doc_id, count(said) AS n, max(exp) AS expected FROM lines4 GROUP BY 1) a LEFT JOIN (SELECT doc_id, array_to_string(list(said ORDER BY seq)[1:5], ' | ') AS listing FROM first4 GROUP BY 1) b USING (doc_id)),
+ends AS (SELECT e.*, f.body_style, row_number() OVER (PARTITION BY e.doc_id ORDER BY seq DESC) AS back FROM elements e JOIN d USING (doc_id) LEFT JOIN fmt f USING (template_id) WHERE e.kind = 'para'),
+tail AS (SELECT doc_id, count(*) FILTER (NOT ({text}) AND NOT coalesce(style IN ('Normal', 'TOC', 'No Spacing', 'Header', 'Footer') OR style = body_style, style IS NULL AND body_style IS NULL, false)) AS n FROM ends WHERE back <= 6 GROUP BY 1),
+exact AS (SELECT doc_id, count(*) AS checked, count(*) FILTER (line_rule = 'exact') AS n, {listed("CASE WHEN line_rule = 'exact' THEN left(text, 30) || ': exact line height, the template has auto' END", "seq", 5)} AS listing FROM mine WHERE style = coalesce(body_style, 'Normal') AND spacing IS NOT NULL GROUP BY 1),
+got7 AS (SELECT e.doc_id, count(*) AS got FROM elements e JOIN d USING (doc_id) LEFT JOIN fmt f USING (template_id) WHERE e.kind = 'para' AND {text} AND e.style = coalesce(f.body_style, 'Normal') GROUP BY 1),
+content AS (SELECT d.doc_id, coalesce(got, 0) AS got, coalesce(b, 0) AS e FROM d LEFT JOIN got7 USING (doc_id) LEFT JOIN want USING (doc_id)),
+planned8 AS (SELECT doc_id, CASE presentation WHEN 'major_section' THEN 'Heading1' WHEN 'minor_section' THEN 'Heading2' ELSE 'Heading3' END AS style, count(*) AS e FROM live GROUP BY 1, 2),
+built8 AS (SELECT doc_id, style, count(*) AS g FROM elements WHERE kind = 'para' AND style IN ('Heading1', 'Heading2', 'Heading3') AND {text} GROUP BY 1, 2),
+both8 AS (SELECT doc_id, style, coalesce(g, 0) AS g, coalesce(e, 0) AS e FROM planned8 FULL JOIN built8 USING (doc_id, style)),
+heads8 AS (SELECT doc_id, count(*) AS n, array_to_string(list(style || ': ' || g || ' headings instead of ' || e ORDER BY style)[1:3], ' | ') AS listing FROM both8 WHERE g <> e GROUP BY 1),
+kept AS (SELECT d.doc_id, coalesce(c.et, 0) AS et, coalesce(c.ep, 0) AS ep, coalesce(l.lost, 0) AS lost, l.ids, coalesce(g.gt, 0) AS gt FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'tbl') AS et, count(*) FILTER (kind = 'p' AND coalesce(para_id, '') <> '') AS ep FROM classed WHERE NOT inside GROUP BY 1) c USING (doc_id)
+   LEFT JOIN (SELECT x.doc_id, count(*) AS lost, array_to_string(list(x.para_id ORDER BY x.para_id)[1:5], ', ') AS ids FROM fixed x WHERE NOT EXISTS (SELECT 1 FROM elements e WHERE e.doc_id = x.doc_id AND e.para_id = x.para_id) GROUP BY 1) l USING (doc_id)
+   LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'table') AS gt FROM elements GROUP BY 1) g USING (doc_id)),
+verdicts AS ({" UNION ALL ".join(rows)})"""
+
+
+def rule_checks(paras: str) -> str:
+    return f"WITH {_rule_checks(paras)} SELECT doc_id, name, passed, CASE WHEN passed THEN 'info' ELSE severity END AS severity, message, details FROM verdicts"
+
+
+def check_verdicts(paras: str) -> str:
+    return f"""WITH {_rule_checks(paras)} SELECT doc_id, count(*) FILTER (NOT passed AND severity = 'error') AS errors, count(*) FILTER (NOT passed AND severity = 'warning') AS warnings, count(*) FILTER (NOT passed AND severity = 'error') = 0 AS passed FROM verdicts GROUP BY 1"""
+
+
+def readback_view(paras: str) -> str:
+    heading = "coalesce(kind = 'para' AND regexp_matches(style, '^Heading[1-9]$'), false)"
+    return f"""WITH {_elements(paras, full=True)}, e AS (SELECT *, coalesce(style, 'Normal') AS st, CASE WHEN cols > 0 THEN rows || '×' || cols ELSE coalesce(CAST(rows AS VARCHAR), 'None') || ' rows' END AS dim FROM elements)
+SELECT doc_id, CAST(seq AS INT) AS n, CASE WHEN seq < 100 THEN lpad(CAST(seq AS VARCHAR), 3, ' ') ELSE CAST(seq AS VARCHAR) END || '  ' || CASE WHEN kind = 'table' THEN '[TABLE ' || dim || ']' WHEN coalesce(text, '') = '' THEN '[' || st || '·empty]'
+  ELSE '[' || CASE WHEN {heading} THEN '#' || right(st, 1) || ' ' || st WHEN starts_with(upper(st), 'TOC') THEN 'TOC·' || st ELSE st END || CASE WHEN coalesce(align, '') <> '' THEN '·' || align ELSE '' END || '] ' || left(text, 70) || CASE WHEN length(text) > 70 THEN '…' ELSE '' END END AS line FROM e"""
+
+
+def role_review() -> str:
+    known = ", ".join(_q(r) for r in [r for r, *_ in X.BASE_ROLES] + [r for r, base, *_ in profiles.SIGNALS if not base])
+    return f"""WITH {routed(False)}, answers AS (SELECT doc_id, 'h1_1' AS node_id, CASE WHEN quality = 1 THEN 'results' WHEN toxic = 1 THEN 'discussion' ELSE 'not_a_role' END AS said FROM labels),
+merged AS (SELECT r.doc_id, r.node_id, r.profile_id, coalesce(a.said, r.semantic_role) AS role, CASE WHEN a.said IS NULL THEN r.confidence ELSE 0.9::DOUBLE END AS confidence FROM routed r LEFT JOIN answers a USING (doc_id, node_id)),
+clamped AS (SELECT *, role NOT IN ({known}) AS strange FROM merged), final AS (SELECT * EXCLUDE (role, confidence), CASE WHEN strange THEN 'generic' ELSE role END AS role, CASE WHEN strange THEN 0.3::DOUBLE ELSE confidence END AS confidence FROM clamped),
+gate AS (SELECT doc_id, profile_id, count(*) AS n, count(*) FILTER (role = 'generic') AS d, avg(confidence) AS m FROM final GROUP BY 1, 2),
+said AS (SELECT doc_id, node_id || ': its role ' || role || ' is none of the profile''s, so it becomes generic' AS warning FROM clamped WHERE strange
+  UNION ALL SELECT doc_id, d || ' of ' || n || ' nodes have the default role generic; is ' || profile_id || ' the right profile?' FROM gate WHERE d / n > 0.6 UNION ALL SELECT doc_id, printf('the mean confidence is only %.2f', m) FROM gate WHERE m < 0.5)
+SELECT f.doc_id, 'router' AS model, count(*) FILTER (confidence >= 0.7) AS heading_only, count(*) FILTER (confidence < 0.7) AS needs_stage2, (SELECT string_agg(warning, ' | ' ORDER BY warning) FROM said WHERE said.doc_id = f.doc_id) AS warnings FROM final f GROUP BY f.doc_id"""
+
+
+def synthesized_profiles(paras: str) -> str:
+    signals = _values([(i, r, base, list_) for i, (r, base, list_, _, _) in enumerate((r, b, "|".join(t), s, c) for r, b, t, s, c in profiles.SIGNALS)])
+    keys = _values([(k, c) for k, (c, _) in profiles.FEATURES.items()])
+    mark = profiles.FRONT_MARK.replace("(?iu)", "(?i)")
+    begins = profiles.FRONT_MARK.replace("(?iu)", "(?i)^")
+    return rf"""WITH {sections()}, {BLOCKS}, {paras}, assigned AS (SELECT doc_id, doc_id % (SELECT max(template_id) + 1 FROM paras) AS template_id FROM md_corpus),
+sig AS (SELECT i, role, base, string_split(terms, '|') AS terms FROM {signals} AS v(i, role, base, terms)), titles AS (SELECT doc_id, upper(title) AS t FROM tagged),
+active AS (SELECT DISTINCT doc_id, i, role, base, sig.terms FROM titles, sig WHERE len(list_filter(sig.terms, lambda x: contains(t, x))) > 0),
+ruled AS (SELECT doc_id, CAST(to_json(list({{'role': role, 'any': terms}} ORDER BY i)) AS VARCHAR) AS keyword_rules, string_agg(role, ',' ORDER BY i) FILTER (NOT base) AS role_vocabulary FROM active GROUP BY 1),
+feats AS (SELECT doc_id, kind AS f FROM blk WHERE kind IN ('table', 'code', 'equation', 'list', 'callout') UNION SELECT doc_id, 'math' FROM secs WHERE has_math UNION SELECT doc_id, 'image' FROM secs WHERE has_image),
+used AS (SELECT doc_id, string_agg(DISTINCT c, ',' ORDER BY c) AS capabilities FROM feats JOIN {keys} AS k(f, c) USING (f) GROUP BY 1),
+opened AS (SELECT doc_id, sec_no FROM blk WHERE regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+') OR regexp_matches({trimmed("coalesce(text, '')")}, {_q(begins)}) GROUP BY 1, 2),
+front AS (SELECT s.doc_id, bool_or(level = 1 AND (regexp_matches(title, {_q(mark)}) OR (s.sec_no = lo AND o.doc_id IS NOT NULL))) AS content_front FROM (SELECT *, min(sec_no) OVER (PARTITION BY doc_id) AS lo FROM secs) s LEFT JOIN opened o USING (doc_id, sec_no) GROUP BY 1),
+led AS (SELECT template_id, coalesce(min(CASE WHEN has_text AND NOT is_heading THEN seq END) < min(CASE WHEN is_heading THEN seq END), min(CASE WHEN has_text AND NOT is_heading THEN seq END) IS NOT NULL AND min(CASE WHEN is_heading THEN seq END) IS NULL) AS template_front FROM paras GROUP BY 1)
+SELECT a.doc_id, a.template_id, 'doc-' || a.doc_id AS id, '_base' AS extends, CASE WHEN coalesce(content_front, false) AND coalesce(template_front, false) THEN 'replace' ELSE 'preserve' END AS front_matter_strategy, coalesce(keyword_rules, '[]') AS keyword_rules, role_vocabulary, capabilities
+FROM assigned a LEFT JOIN ruled USING (doc_id) LEFT JOIN used USING (doc_id) LEFT JOIN front USING (doc_id) LEFT JOIN led USING (template_id)"""
+
+
+def _observed(paras: str) -> str:
+    """CTEs up to observed (doc_id, signal, value, severity, note)."""
     folded = lambda x: f"{trimmed(f'regexp_replace(strip_accents(lower({x})), {_q(chr(92) + chr(115) + chr(43))}, {_q(chr(32))}, {_q(chr(103))})')}"
+    shown = lambda width: f"array_to_string(list('“' || left(text, {width}) || '”' ORDER BY seq)[1:5], ' | ')"
     heading = "kind = 'para' AND coalesce(regexp_matches(style, '^Heading[1-9]$'), false)"
-    return f"""WITH {_elements(paras)}, first_ AS (SELECT doc_id, min(seq) AS h FROM elements WHERE {heading} GROUP BY 1),
+    return f"""{_elements(paras)}, first_ AS (SELECT doc_id, min(seq) AS h FROM elements WHERE {heading} GROUP BY 1),
 src AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS n FROM blk GROUP BY 1), has AS (SELECT DISTINCT doc_id FROM secs), titles AS (SELECT DISTINCT doc_id, {folded("title")} AS t FROM secs),
 out_ AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS n FROM elements GROUP BY 1),
 source_ AS (SELECT DISTINCT doc_id, {folded("t")} AS t FROM (SELECT doc_id, title AS t FROM secs UNION ALL SELECT doc_id, coalesce(text, formula) FROM blk WHERE coalesce(text, formula) <> ''
@@ -485,7 +601,20 @@ said AS (SELECT doc_id, seq, regexp_replace({folded("text")}, '^[\\s•·*▪◦
 phrase_ AS (SELECT doc_id, seq, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x FROM
   (SELECT doc_id, seq, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM said WHERE t <> '')),
 known AS (SELECT DISTINCT p.doc_id, p.seq FROM phrase_ p JOIN source_ s ON s.doc_id = p.doc_id AND contains(s.t, p.x))
-SELECT doc_id, 'front_matter_paragraphs' AS signal, count(*) FILTER (seq < h AND kind = 'para' AND coalesce(text, '') <> '') AS value FROM elements JOIN first_ USING (doc_id) GROUP BY 1
-UNION ALL SELECT doc_id, 'foreign_text_paragraphs', count(*) FROM (SELECT DISTINCT doc_id, seq FROM phrase_) p ANTI JOIN known USING (doc_id, seq) GROUP BY 1
-UNION ALL SELECT doc_id, 'tables_in_output', n FROM out_ UNION ALL SELECT doc_id, 'table_count_mismatch', out_.n FROM out_ JOIN has USING (doc_id) LEFT JOIN src USING (doc_id) WHERE out_.n <> coalesce(src.n, 0)
-UNION ALL SELECT e.doc_id, 'headings_not_in_source', count(*) FROM elements e LEFT JOIN titles t ON t.doc_id = e.doc_id AND t.t = {folded("text")} WHERE {heading} AND coalesce(text, '') <> '' AND t.t IS NULL GROUP BY 1"""
+dims AS (SELECT doc_id, string_agg(CASE WHEN cols > 0 THEN rows || '×' || cols ELSE coalesce(CAST(rows AS VARCHAR), 'None') || ' rows' END, ', ' ORDER BY seq) AS dims FROM elements WHERE kind = 'table' GROUP BY 1),
+foreign_ AS (SELECT doc_id, count(*) AS n, {shown(48)} AS ex FROM (SELECT DISTINCT p.doc_id, p.seq FROM phrase_ p ANTI JOIN known USING (doc_id, seq)) JOIN elements USING (doc_id, seq) GROUP BY 1),
+extra_ AS (SELECT e.doc_id, count(*) AS n, {shown(40)} AS ex FROM elements e LEFT JOIN titles t ON t.doc_id = e.doc_id AND t.t = {folded("text")} WHERE {heading} AND coalesce(text, '') <> '' AND t.t IS NULL GROUP BY 1),
+front_ AS (SELECT doc_id, count(*) FILTER (seq < h AND kind = 'para' AND coalesce(text, '') <> '') AS n FROM elements JOIN first_ USING (doc_id) GROUP BY 1),
+observed AS (SELECT doc_id, 'front_matter_paragraphs' AS signal, n AS value, NULL AS severity, n || ' paragraphs with text come before any heading' AS note FROM front_
+UNION ALL SELECT doc_id, 'foreign_text_paragraphs', n, 'high', n || ' paragraphs aren''t from the source, such as ' || ex FROM foreign_
+UNION ALL SELECT doc_id, 'tables_in_output', n, NULL, CASE WHEN n > 0 THEN n || ' tables of ' || dims ELSE 'without tables' END FROM out_ LEFT JOIN dims USING (doc_id)
+UNION ALL SELECT doc_id, 'table_count_mismatch', out_.n, 'high', out_.n || ' tables were built, the source has ' || coalesce(src.n, 0) FROM out_ JOIN has USING (doc_id) LEFT JOIN src USING (doc_id) WHERE out_.n <> coalesce(src.n, 0)
+UNION ALL SELECT doc_id, 'headings_not_in_source', n, 'high', 'headings the source does not have: ' || ex FROM extra_)"""
+
+
+def readback_observations(paras: str) -> str:
+    return f"WITH {_observed(paras)} SELECT doc_id, signal, value, severity, note FROM observed"
+
+
+def readback_counts(paras: str) -> str:
+    return f"WITH {_observed(paras)} SELECT doc_id, signal, value FROM observed"
