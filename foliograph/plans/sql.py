@@ -562,9 +562,9 @@ def role_review() -> str:
     return f"""WITH {routed(False)}, answers AS (SELECT doc_id, 'h1_1' AS node_id, CASE WHEN quality = 1 THEN 'results' WHEN toxic = 1 THEN 'discussion' ELSE 'not_a_role' END AS said FROM labels),
 merged AS (SELECT r.doc_id, r.node_id, r.profile_id, coalesce(a.said, r.semantic_role) AS role, CASE WHEN a.said IS NULL THEN r.confidence ELSE 0.9::DOUBLE END AS confidence FROM routed r LEFT JOIN answers a USING (doc_id, node_id)),
 clamped AS (SELECT *, role NOT IN ({known}) AS strange FROM merged), final AS (SELECT * EXCLUDE (role, confidence), CASE WHEN strange THEN 'generic' ELSE role END AS role, CASE WHEN strange THEN 0.3::DOUBLE ELSE confidence END AS confidence FROM clamped),
-gate AS (SELECT doc_id, profile_id, count(*) AS n, count(*) FILTER (role = 'generic') AS d, avg(confidence) AS m FROM final GROUP BY 1, 2),
+gate AS (SELECT doc_id, profile_id, count(*) AS n, count(*) FILTER (role = 'generic') AS d, round(avg(confidence), 9) AS m FROM final GROUP BY 1, 2),
 said AS (SELECT doc_id, node_id || ': its role ' || role || ' is none of the profile''s, so it becomes generic' AS warning FROM clamped WHERE strange
-  UNION ALL SELECT doc_id, d || ' of ' || n || ' nodes have the default role generic; is ' || profile_id || ' the right profile?' FROM gate WHERE d / n > 0.6 UNION ALL SELECT doc_id, printf('the mean confidence is only %.2f', m) FROM gate WHERE m < 0.5)
+  UNION ALL SELECT doc_id, d || ' of ' || n || ' nodes have the default role generic; is ' || profile_id || ' the right profile?' FROM gate WHERE d / n > 0.6 UNION ALL SELECT doc_id, printf('the mean confidence is only %.2f', m + 0.000000001) FROM gate WHERE m < 0.5)
 SELECT f.doc_id, 'router' AS model, count(*) FILTER (confidence >= 0.7) AS heading_only, count(*) FILTER (confidence < 0.7) AS needs_stage2, (SELECT string_agg(warning, ' | ' ORDER BY warning) FROM said WHERE said.doc_id = f.doc_id) AS warnings FROM final f GROUP BY f.doc_id"""
 
 
@@ -600,7 +600,7 @@ source_ AS (SELECT DISTINCT doc_id, {folded("t")} AS t FROM (SELECT doc_id, titl
 said AS (SELECT doc_id, seq, regexp_replace({folded("text")}, '^[\\s•·*▪◦‣\\-–—]+', '') AS t FROM elements JOIN has USING (doc_id) WHERE kind = 'para' AND length(text) >= 12 AND NOT starts_with(text, '[')),
 phrase_ AS (SELECT doc_id, seq, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x FROM
   (SELECT doc_id, seq, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM said WHERE t <> '')),
-known AS (SELECT DISTINCT p.doc_id, p.seq FROM phrase_ p JOIN source_ s ON s.doc_id = p.doc_id AND contains(s.t, p.x))
+known AS (SELECT DISTINCT p.doc_id, p.seq FROM phrase_ p JOIN source_ s ON s.doc_id = p.doc_id AND contains(s.t, p.x)),
 dims AS (SELECT doc_id, string_agg(CASE WHEN cols > 0 THEN rows || '×' || cols ELSE coalesce(CAST(rows AS VARCHAR), 'None') || ' rows' END, ', ' ORDER BY seq) AS dims FROM elements WHERE kind = 'table' GROUP BY 1),
 foreign_ AS (SELECT doc_id, count(*) AS n, {shown(48)} AS ex FROM (SELECT DISTINCT p.doc_id, p.seq FROM phrase_ p ANTI JOIN known USING (doc_id, seq)) JOIN elements USING (doc_id, seq) GROUP BY 1),
 extra_ AS (SELECT e.doc_id, count(*) AS n, {shown(40)} AS ex FROM elements e LEFT JOIN titles t ON t.doc_id = e.doc_id AND t.t = {folded("text")} WHERE {heading} AND coalesce(text, '') <> '' AND t.t IS NULL GROUP BY 1),
