@@ -137,6 +137,52 @@ def test_registered_check(spark):
         registry.unregister_check("mine")
 
 
+def test_registered_feature(spark):
+    """A registered kind of block is a feature; a profile that denies its capability degrades it with the registered note, or with one made from its name."""
+    sections = spark.createDataFrame([(1, False, False), (2, True, False)], "doc_id long, has_math boolean, has_image boolean")
+    blocks = spark.createDataFrame([(1, "figure"), (1, "figure"), (1, "paragraph"), (2, "figure")], "doc_id long, kind string")
+    docs = spark.createDataFrame([(1, "no"), (2, "yes")], "doc_id long, profile_id string")
+    allowed = spark.createDataFrame([("no", {"drawing": False}), ("yes", {"drawing": True, "equation": False})], "id string, capabilities map<string,boolean>")
+    assert profiles.detect_features(sections, blocks).filter("feature = 'figure'").count() == 0
+    registry.register_feature("figure", "drawing", "figures are left out")
+    try:
+        found = profiles.detect_features(sections, blocks)
+        assert {tuple(r) for r in found.collect()} == {(1, "figure"), (2, "figure"), (2, "math")}
+        got = {(r["doc_id"], r["feature"]): (r["capability"], r["status"], r["note"]) for r in profiles.negotiate_capabilities(found, docs, allowed).collect()}
+        assert set(got) == {(1, "figure"), (2, "math")} and got[1, "figure"] == ("drawing", "degraded", "figures are left out")
+    finally:
+        registry.unregister_feature("figure")
+    assert "figure" not in registry.features()
+
+
+def test_documents_with_another_strategy(spark, built):
+    """Documents that can't be planned get no operations, the others exactly theirs; no strategy means clone."""
+    c, logical, *_ = built
+    strategy = F.when(F.col("doc_id") % 5 == 1, "merge").when(F.col("doc_id") % 5 == 2, F.lit(None)).otherwise("clone")
+    docs = c.docs.withColumn("strategy", strategy)
+    ok, rest = plan.strategy_filter(docs)
+    assert ok.count() + rest.count() == c.docs.count() and {r["strategy"] for r in rest.collect()} == {"merge"}
+    columns = ["doc_id", "op_seq", "command", "type", "parent", "path", "before", F.to_json(F.array_sort(F.map_entries("props"))).alias("props")]
+    some = plan.plan(docs, logical, c.sections, c.blocks, c.paras, c.prototypes).select(*columns)
+    all_ = plan.plan(c.docs, logical, c.sections, c.blocks, c.paras, c.prototypes).select(*columns).filter("doc_id % 5 <> 1")
+    assert some.count() > 0 and some.exceptAll(all_).count() == 0 and all_.exceptAll(some).count() == 0
+
+
+def test_unknown_nodes(spark):
+    logical = spark.createDataFrame([(1, "h1_1"), (1, "h1_9"), (2, "h1_1")], "doc_id long, node_id string")
+    sections = spark.createDataFrame([(1, "h1_1"), (2, "h2_1_1")], "doc_id long, tag string")
+    assert {tuple(r) for r in plan.unknown_nodes(logical, sections).collect()} == {(1, "h1_9"), (2, "h1_1")}
+
+
+def test_mean_confidence_of_exactly_one_half(spark):
+    """The order of a document's nodes doesn't decide: 0.3 four times and 0.9 twice are one half, whatever the order of summation."""
+    allowed = spark.createDataFrame([("p", "generic")], "id string, default_role string")
+    orders = [[0.3, 0.3, 0.3, 0.3, 0.9, 0.9], [0.9, 0.3, 0.3, 0.9, 0.3, 0.3], [0.9, 0.9, 0.3, 0.3, 0.3, 0.3], [0.3, 0.9, 0.3, 0.3, 0.9, 0.3]]
+    rows = [(d, "p", "results", c) for d, cs in enumerate(orders) for c in cs] + [(9, "p", "results", 0.3), (9, "p", "results", 0.69)]
+    nodes = spark.createDataFrame(rows, "doc_id long, profile_id string, semantic_role string, confidence double").coalesce(1)
+    assert [r["doc_id"] for r in roles.quality_gate(nodes, allowed).collect()] == [9]
+
+
 def test_degraded_equations(spark):
     op = "doc_id long, op_seq int, command string, type string, parent string, path string, before string, props map<string,string>"
     ops = spark.createDataFrame([(1, 1, "add", "p", "/body", None, None, {"style": "Q"}), (1, 2, "add", "equation", "/body/p[last()]", None, None, {"formula": "a", "mode": "inline"}), (1, 3, "add", "equation", "/body", None, None, {"formula": "b", "mode": "display"}), (1, 4, "add", "r", "/body/p[last()]", None, None, {"text": "t"})], op)
