@@ -128,6 +128,23 @@ def test_checks_that_fail(spark):
     assert verdict == {1: False, 2: False}
 
 
+def test_exact_line_height_and_lost_furniture(spark):
+    docs = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, template_id long")
+    elements = spark.createDataFrame(
+        [(1, 1, "para", "P1", "Normal", "cover", None), (1, 2, "para", None, "Normal", "abc", "exact"), (1, 3, "para", None, "Normal", "def", "auto"), (2, 1, "para", "P1", "Normal", "cover", "exact"), (2, 2, "para", "P2", "Normal", "end", None), (2, 3, "para", None, "Normal", "ghi", None), (2, 4, "table", None, None, None, None)],
+        "doc_id long, seq int, kind string, para_id string, style string, text string, line_rule string",
+    )
+    classified = spark.createDataFrame([(d, 1, *x) for d in (1, 2) for x in ((0, "p", "P1", "furniture"), (1, "p", "P2", "furniture"), (2, "tbl", None, "furniture_table"))], "doc_id long, template_id long, pos int, kind string, para_id string, role string")
+    formats = spark.createDataFrame([(1, {"lineSpacing": "1.5", "lineRule": "auto"})], "template_id long, body_format map<string,string>")
+    styles = spark.createDataFrame([(1, "Normal")], "template_id long, body_style string")
+    got = {r["doc_id"]: r for r in checks.line_spacing(docs, elements, formats, styles, slots.furniture_ids(classified)).collect()}
+    assert not got[1]["passed"] and got[1]["details"] == ["abc: exact line height, the template has auto"] and got[1]["severity"] == "error"
+    assert got[2]["passed"] and got[2]["message"] == "1 body paragraphs have free line height"
+    kept = {r["doc_id"]: r for r in checks.furniture_survived(docs, elements, classified).collect()}
+    assert kept[1]["details"] == ["1 fixed paragraphs are gone: P2", "0 of 1 fixed tables are left, 1 are gone"] and not kept[1]["passed"]
+    assert kept[2]["passed"] and kept[2]["message"] == "all 2 fixed paragraphs and 1 fixed tables are there"
+
+
 def test_registered_check(spark):
     docs = spark.createDataFrame([(1, 1)], "doc_id long, template_id long")
     registry.register_check("mine", lambda docs, **_: checks.skipped(docs, "mine"))
