@@ -145,6 +145,16 @@ def test_exact_line_height_and_lost_furniture(spark):
     assert kept[2]["passed"] and kept[2]["message"] == "all 2 fixed paragraphs and 1 fixed tables are there"
 
 
+def test_missing_content(spark):
+    """S7 fails below 85 % of the expected body paragraphs, and only there."""
+    docs = spark.createDataFrame([(d, 1) for d in (1, 2, 3)], "doc_id long, template_id long")
+    elements = spark.createDataFrame([(d, i, "para", "Normal", "x") for d, n in ((1, 16), (2, 17)) for i in range(n)], "doc_id long, seq int, kind string, style string, text string")
+    sections = spark.createDataFrame([(1, "h1_1", 20), (2, "h1_1", 20)], "doc_id long, tag string, paragraph_count int")
+    styles = spark.createDataFrame([(1, "Normal")], "template_id long, body_style string")
+    got = {r["doc_id"]: (r["passed"], r["message"]) for r in checks.completeness(docs, elements, sections, styles).collect()}
+    assert got == {1: (False, "content is missing: 16 body paragraphs of 20"), 2: (True, "enough content: 17 body paragraphs of 20"), 3: (True, "enough content: 0 body paragraphs of 0")}
+
+
 def test_registered_check(spark):
     docs = spark.createDataFrame([(1, 1)], "doc_id long, template_id long")
     registry.register_check("mine", lambda docs, **_: checks.skipped(docs, "mine"))
