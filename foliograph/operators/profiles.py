@@ -84,29 +84,36 @@ def merge_profile(base: Column, top: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in merged.items()])
 
 
-def resolve_profiles(profiles: DataFrame, most: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Profiles merged with all they extend, and errors (id, error) for cycles, missing parents and chains above `most`.
+def extension_paths(profiles: DataFrame) -> DataFrame:
+    """(id, path, next, state): each profile and all it extends, nearest first; state is whole, cycle (next is the first to come again) or missing (next is no profile). ids are unique.
 
-    One self-join for each level of layering, on the small table of profiles; the layers of a profile are then folded from the root down.
+    Pointer doubling: in a round each unfinished path takes on the path of the profile it stopped at, so paths grow twofold and a chain of n profiles takes log n rounds. Rounds end, as an unfinished path has no profile twice.
     """
-    columns = profiles.columns
-    row = F.struct(*columns)
-    parents = profiles.select(F.col("id").alias("_parent"), row.alias("_row"))
-    step = profiles.select("id", F.lit(0).alias("depth"), F.col("extends").alias("next"), F.array("id").alias("seen"), row.alias("row"))
-    layers, errors = step.select("id", "depth", "row"), None
-    for depth in range(1, most + 1):
-        up = step.filter("next is not null").join(parents, F.col("next") == F.col("_parent"), "left")
-        cycle = F.array_contains("seen", F.col("next"))
-        wrong = F.when(cycle, F.concat(F.lit("cycle: "), F.array_join("seen", " -> "), F.lit(" -> "), "next")).when(F.col("_parent").isNull(), F.concat(F.lit("missing parent: "), "next"))
-        bad = up.filter(wrong.isNotNull()).select("id", wrong.alias("error"))
-        errors = bad if errors is None else errors.union(bad)
-        step = up.filter(wrong.isNull()).select("id", F.lit(depth).alias("depth"), F.col("_row.extends").alias("next"), F.concat("seen", F.array("next")).alias("seen"), F.col("_row").alias("row"))
-        if step.isEmpty():
-            break
-        layers = layers.union(step.select("id", "depth", "row"))
-    else:
-        errors = errors.union(step.filter("next is not null").select("id", F.lit("chain too long").alias("error")))
-    stack = layers.join(errors.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("depth", "row"))).alias("m"), F.max("depth").alias("top"))
+    p = profiles.select("id", F.array("id").alias("path"), F.col("extends").alias("next"), F.when(F.col("extends").isNull(), "whole").otherwise("open").alias("state"))
+    while True:
+        on = p.select(F.col("id").alias("_i"), F.col("path").alias("_path"), F.col("next").alias("_next"), F.col("state").alias("_state"))
+        step = p.filter("state = 'open'").join(on, F.col("next") == F.col("_i"), "left")
+        step = step.select("id", "path", "next", F.col("_i").isNull().alias("lost"), "_next", "_state", F.concat("path", "_path").alias("both"))
+        again = F.array_position(F.transform("both", lambda x, i: F.array_position("both", x) < i + 1), True).cast("int")
+        step = step.withColumn("again", again)
+        cut = F.col("again") > 0
+        state = F.when(F.col("lost"), "missing").when(cut | F.array_contains("both", F.col("_next")), "cycle").when(F.col("_state") == "missing", "missing").when(F.col("_next").isNull(), "whole").otherwise("open")
+        step = step.select(
+            "id", F.when(F.col("lost"), F.col("path")).when(cut, F.slice("both", F.lit(1), F.greatest(F.col("again") - 1, F.lit(1)))).otherwise(F.col("both")).alias("path"),
+            F.when(F.col("lost"), F.col("next")).when(cut, F.get("both", F.col("again") - 1)).otherwise(F.col("_next")).alias("next"), state.alias("state"),
+        )
+        p = written(p.filter("state <> 'open'").union(step), "extension_paths")
+        if p.filter("state = 'open'").isEmpty():
+            return p
+
+
+def resolve_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles merged with all they extend, and errors (id, error) for cycles and missing parents; the layers of a profile are folded from the root down."""
+    paths = extension_paths(profiles)
+    errors = paths.filter("state <> 'whole'").select("id", F.when(F.col("state") == "cycle", F.concat(F.lit("cycle: "), F.array_join(F.concat("path", F.array("next")), " -> "))).otherwise(F.concat(F.lit("missing parent: "), "next")).alias("error"))
+    rows = profiles.select(F.col("id").alias("_layer"), F.struct(*profiles.columns).alias("row"))
+    layers = paths.filter("state = 'whole'").select("id", F.posexplode("path").alias("depth", "layer")).join(rows, F.col("layer") == F.col("_layer"))
+    stack = layers.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("depth", "row"))).alias("m"), F.max("depth").alias("top"))
     stack = stack.withColumn("s", F.transform(F.sequence(F.col("top"), F.lit(0), F.lit(-1)), lambda i: F.element_at("m", i)))
     # Every layer goes through the same merge, the root over nothing, so extra rules and overrides count at each level.
     none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in profiles.schema.fields])
@@ -130,10 +137,9 @@ def contract_violations(raw: DataFrame, schema: str, key: str, value: str, requi
 
 def detect_signals(tree: DataFrame) -> DataFrame:
     """(doc_id, priority, role): roles with a term in any title."""
-    blob = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_no", F.upper("title").alias("t")))), lambda x: x["t"]), " || ")
-    active = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains("blob", t)), F.struct(F.lit(i).alias("priority"), F.lit(role).alias("role"))) for i, (role, _, terms, _, _) in enumerate(SIGNALS)]))
-    docs = tree.groupBy("doc_id").agg(blob.alias("blob"))
-    return docs.select("doc_id", F.explode(active).alias("s")).select("doc_id", "s.*")
+    has = lambda terms: F.bool_or(F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.upper("title"), t)))
+    docs = tree.groupBy("doc_id").agg(F.array_compact(F.array(*[F.when(has(terms), F.struct(F.lit(i).alias("priority"), F.lit(role).alias("role"))) for i, (role, _, terms, _, _) in enumerate(SIGNALS)])).alias("active"))
+    return docs.select("doc_id", F.explode("active").alias("s")).select("doc_id", "s.*")
 
 
 def content_front_matter(sections: DataFrame, block_rows: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a table may hold that is sent to every executor.
+MOST_SMALL = 500_000
+
+
+def small(df: DataFrame, entries: Column | None = None) -> DataFrame:
+    """df, to be sent to every executor if it is counted to hold at most MOST_SMALL rows (or entries, where a row holds many); beyond that joins exchange both sides."""
+    n = df.agg(F.sum(F.lit(1) if entries is None else F.greatest(entries, F.lit(1)))).first()[0] or 0
+    return F.broadcast(df) if n <= MOST_SMALL else df
+
+
 def once(build):
     """build(spark, ...) is run once for each application and its arguments; the tables that it writes are shared by all queries of a session."""
     built: dict[tuple, object] = {}
