@@ -42,23 +42,6 @@ TRANSITIONS = {"H": "ttt", "F": "ctm", "M": "mct", "S": "tct", "D": "tct"}
 FAN = 256
 
 
-def _rows(low: int, high: int):
-    """Sections of a document in order, from `low` to `high` rows off."""
-    return Window.partitionBy("doc_id").orderBy("sec_no").rowsBetween(low, high)
-
-
-def _so_far():
-    return _rows(Window.unboundedPreceding, 0)
-
-
-def _before():
-    return _rows(Window.unboundedPreceding, -1)
-
-
-def _after():
-    return _rows(1, Window.unboundedFollowing)
-
-
 def _unified() -> Column:
     return F.regexp_replace("text", "\r\n?", "\n")
 
@@ -140,14 +123,18 @@ def section_type(level: Column) -> Column:
 
 
 def section_tags(heads: DataFrame) -> DataFrame:
-    """heads with tag: h1_i, h2_i_j, h3_i_j_k by running counts; -1 before any level 1, 0 without a level 2."""
-    n = lambda level, w: F.sum((F.col("level") == level).cast("int")).over(w)
-    h = heads.withColumn("_h1", n(1, _so_far()))
-    h = h.withColumn("_h2", n(2, Window.partitionBy("doc_id", "_h1").orderBy("sec_no").rowsBetween(Window.unboundedPreceding, 0)))
-    h = h.withColumn("_h3", n(3, Window.partitionBy("doc_id", "_h1", "_h2").orderBy("sec_no").rowsBetween(Window.unboundedPreceding, 0)))
-    one = F.when(F.col("_h1") == 0, -1).otherwise(F.col("_h1"))
-    tag = F.when(F.col("level") == 1, F.concat_ws("_", F.lit("h1"), one)).when(F.col("level") == 2, F.concat_ws("_", F.lit("h2"), one, "_h2"))
-    return h.withColumn("tag", tag.otherwise(F.concat_ws("_", F.lit("h3"), one, "_h2", "_h3"))).drop("_h1", "_h2", "_h3")
+    """heads with tag: h1_i, h2_i_j, h3_i_j_k by running counts; -1 before any level 1, 0 without a level 2.
+
+    Counts start anew below a heading: they are differences of counts over the document, with the count at the heading above.
+    """
+    level = F.col("level")
+    h = running(blocked(heads, "sec_no"), "sec_no", {f"_n{n}": (level == n).cast("int") for n in (1, 2, 3)})
+    # No count falls, so the count at the last heading above is the largest of those at headings above.
+    h = running(h, "sec_no", lasts={"_a2": F.when(level == 1, F.col("_n2")), "_a3": F.when(level < 3, F.col("_n3"))})
+    h2, h3 = (F.col(f"_n{n}") - F.coalesce(F.col(f"_a{n}"), F.lit(0)) for n in (2, 3))
+    one = F.when(F.col("_n1") == 0, -1).otherwise(F.col("_n1"))
+    tag = F.when(level == 1, F.concat_ws("_", F.lit("h1"), one)).when(level == 2, F.concat_ws("_", F.lit("h2"), one, h2))
+    return h.withColumn("tag", tag.otherwise(F.concat_ws("_", F.lit("h3"), one, h2, h3))).select(*heads.columns, "tag")
 
 
 def _line_class(line: Column) -> Column:
@@ -413,24 +400,21 @@ def sections(docs: DataFrame, on: str = "raw", block_rows: DataFrame | None = No
 def document_tree(section_rows: DataFrame) -> DataFrame:
     """sections with node_id, parent_id, depth, subtree_end (the next section outside, or null) and child_word_count.
 
-    The parent is the nearest section before with a lower level. A subtree is an interval of sec_no, so its words are a difference of running sums.
+    The parent is the nearest section before with a lower level. A subtree is an interval of sec_no, so its words are a difference of running sums. There are three levels, so what lies above and where a subtree ends are last values of
+    one scan forwards and one backwards, each in two levels: no task needs all sections of a document.
     """
     level = F.col("level")
     by_level = lambda f: F.when(level == 1, f(1)).when(level == 2, f(2)).otherwise(f(3))
-    s = section_rows.withColumn("_sum", F.sum("word_count").over(_so_far()))
-    total = F.sum("word_count").over(Window.partitionBy("doc_id"))
-    s = s.withColumns(
-        {
-            "parent_id": by_level(lambda n: F.last(F.when(level < n, F.col("tag")), True).over(_before())),
-            "_two": F.last(F.when(level < 3, level), True).over(_before()),
-            "subtree_end": by_level(lambda n: F.first(F.when(level <= n, F.col("sec_no")), True).over(_after())),
-            "_upto": F.coalesce(by_level(lambda n: F.first(F.when(level <= n, F.col("_sum") - F.col("word_count")), True).over(_after())), total),
-        }
-    )
-    one = F.max((level == 1).cast("int")).over(_before())
-    depth = F.when(F.col("parent_id").isNull(), 0).when((level == 3) & (F.col("_two") == 2) & (one == 1), 2).otherwise(1)
-    s = s.withColumn("depth", depth).withColumn("child_word_count", F.col("_upto") - F.col("_sum"))
-    return s.withColumn("node_id", F.col("tag")).drop("_sum", "_two", "_upto")
+    above = {f"_p{n}": F.when(level < n, F.struct("tag", "level")) for n in (2, 3)}
+    s = running(blocked(section_rows, "sec_no"), "sec_no", {"_sum": F.col("word_count")}, above, before=True)
+    below = {f"_e{n}": F.when(level <= n, F.struct("sec_no", "_sum")) for n in (1, 2, 3)}
+    s = running(s, "sec_no", {"_rest": F.col("word_count")}, below, before=True, backwards=True)
+    end = by_level(lambda n: F.col(f"_e{n}"))
+    parent = F.when(level == 2, F.col("_p2.tag")).when(level == 3, F.col("_p3.tag"))
+    depth = F.when(parent.isNull(), 0).when((level == 3) & (F.col("_p3.level") == 2) & F.col("_p2").isNotNull(), 2).otherwise(1)
+    words = F.coalesce(end["_sum"] - F.col("_sum") - F.col("word_count"), F.col("_rest"))
+    added = {"parent_id": parent, "subtree_end": end["sec_no"], "depth": depth, "child_word_count": words, "node_id": F.col("tag")}
+    return s.select(*section_rows.columns, *[c.alias(n) for n, c in added.items()])
 
 
 def tree_nodes(tree: DataFrame) -> DataFrame:

@@ -17,16 +17,17 @@ def blocked(df: DataFrame, position: str) -> DataFrame:
     return df.withColumn("block", F.floor(F.col(position) / BLOCK))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, segment: str | None = None, before: bool = False) -> DataFrame:
-    """df (doc_id, block, ...) with running sums and last values that aren't null, up to each row or (before) up to the one before it, of the document or of a `segment` of it.
+def running(df: DataFrame, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, segment: str | None = None, before: bool = False, backwards: bool = False) -> DataFrame:
+    """df (doc_id, block, ...) with running sums and last values that aren't null, up to each row or (before) up to the one before it, of the document or of a `segment` of it; backwards, from the document's end.
 
     `order` is unique in a document and ascends with the blocks; a segment's rows lie together, so only a block's first segment has rows in an earlier block.
     """
     sums, lasts = sums or {}, lasts or {}
     part = [segment] if segment else []
-    inside = Window.partitionBy("doc_id", "block", *part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    earlier = Window.partitionBy("doc_id", *part).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("doc_id", "block", *part).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(n) for n, c in lasts.items()])
+    way = (lambda c: F.col(c).desc()) if backwards else F.col
+    inside = Window.partitionBy("doc_id", "block", *part).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    earlier = Window.partitionBy("doc_id", *part).orderBy(way("block")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("doc_id", "block", *part).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[(F.min_by if backwards else F.max_by)(c, F.when(c.isNotNull(), F.col(order))).alias(n) for n, c in lasts.items()])
     totals = totals.select(
         F.col("doc_id").alias("_d"), F.col("block").alias("_b"), *[F.col(p).alias("_s") for p in part], F.count(F.lit(1)).over(earlier).alias("_n"),
         *[F.sum(n).over(earlier).alias(f"_{n}") for n in sums], *[F.last(n, True).over(earlier).alias(f"_{n}") for n in lasts],
