@@ -5,6 +5,7 @@ A query is a function (spark, sf_dir) -> DataFrame. Chains of stages keep the ta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from foliograph.operators import checks, content, placement, plan, profiles, rea
 from foliograph.plans import fixtures as X
 from foliograph.plans import sql as S
 from foliograph.sources import tables
-from foliograph.sources.scratch import once, written
+from foliograph.sources.scratch import once, shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,6 +89,17 @@ def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.doc_summary(_documents(spark, sf_dir), _heads(spark, sf_dir)[1])
 
 
+@query("published_sections", f"WITH {_SECTIONS_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_sections, CAST(count(*) FILTER (level = 1) AS BIGINT) AS n_top, min(tag) AS first_tag FROM tagged GROUP BY 1")
+def published_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and documents, published as one version and read again: counts of each document with sections."""
+    heads = _heads(spark, sf_dir)[1].select("doc_id", "sec_no", "level", "tag")
+    path = f"{shared_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    tables.publish_tables({"documents": _documents(spark, sf_dir).select("doc_id").distinct(), "sections": heads}, path)
+    back = tables.read_published(spark, path)
+    s = back["sections"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.count_if(F.col("level") == 1).alias("n_top"), F.min("tag").alias("first_tag"))
+    return back["documents"].join(s, "doc_id")
+
+
 @query("tree_nodes", S.tree_nodes())
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of every document's tree, depth first by sec_no."""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BAD = "_corrupt_record"
 
@@ -58,3 +63,38 @@ def write_tables(tables: dict[str, DataFrame], path: str, format: str = "parquet
     """Each table to a folder of its name."""
     for name, df in tables.items():
         df.write.mode("overwrite").format(format).save(f"{path.rstrip('/')}/{name}")
+
+
+_MANIFEST = "version string, published_at bigint, name string, format string, schema string"
+
+
+def publish_tables(tables: dict[str, DataFrame], path: str, format: str = "parquet") -> str:
+    """All tables of a run as one version, whose name is returned: each goes to a folder of the version, and one file then names them all, so readers see every table of a run or none.
+
+    A run that ends before that file leaves the newest version as it was; runs at the same time don't touch each other's folders, and the one that ends later is the newest.
+    """
+    if not tables:
+        raise ValueError("there is no table to publish")
+    root, version = path.rstrip("/"), uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.format(format).save(f"{root}/data/{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(version, time.time_ns(), name, format, df.schema.json()) for name, df in tables.items()]
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").json(f"{root}/versions")
+    return version
+
+
+def published_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(version, published_at, name, format, schema): a row for each table of every whole version. A path where nothing was published is an error."""
+    return spark.read.schema(_MANIFEST).json(f"{path.rstrip('/')}/versions")
+
+
+def read_published(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a version, or of the newest whole one; an unknown version is an error."""
+    m = published_versions(spark, path)
+    if version is None:
+        version = m.agg(F.max(F.struct("published_at", "version")).alias("v")).first()["v"]["version"]
+    found = m.filter(F.col("version") == version).collect()  # a row for each table of one run
+    if not found:
+        raise ValueError(f"no version {version} at {path}")
+    return {r["name"]: spark.read.format(r["format"]).schema(StructType.fromJson(json.loads(r["schema"]))).load(f"{path.rstrip('/')}/data/{version}/{r['name']}") for r in found}
