@@ -1,11 +1,10 @@
-"""Tags and trees of documents whose sections span many blocks, against a plain loop."""
+"""Tags and trees of documents with many sections, against a plain loop."""
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from foliograph.operators import content, scans
+from foliograph.operators import content
 
 
 def walk(levels, words):
@@ -30,10 +29,8 @@ def walk(levels, words):
     return [tuple(x) for x in out]
 
 
-@pytest.mark.parametrize("block", [1, 3, 16])
-def test_tree_like_a_stack(spark, monkeypatch, block):
-    monkeypatch.setattr(scans, "BLOCK", block)
-    rng = random.Random(block)
+def test_tree_like_a_stack(spark):
+    rng = random.Random(3)
     docs = {d: [(rng.choice((1, 2, 3, 3, 3)), rng.randint(0, 9)) for _ in range(rng.randint(1, 60))] for d in range(12)}
     docs |= {100: [(3, 1)] * 20, 101: [(2, 2), (3, 1), (1, 4), (3, 5)], 102: [(1, 1)] + [(3, 2)] * 40 + [(2, 1)]}
     rows = [(d, i + 1, level, n) for d, x in docs.items() for i, (level, n) in enumerate(x)]
@@ -44,7 +41,7 @@ def test_tree_like_a_stack(spark, monkeypatch, block):
 
 
 def test_one_document_of_many_sections(spark):
-    """A third of all sections are one document's: tasks get blocks of it, and its totals are right."""
+    """A third of all sections are one document's: its totals are right."""
     n = 200_000
     heads = spark.range(1, n + 1).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.col("id") / 3).otherwise(1).cast("long").alias("sec_no"), F.lit(1).cast("long").alias("word_count"))
     heads = heads.filter("doc_id <> 1 or sec_no > 1").union(spark.createDataFrame([(1, 1, 1)], heads.schema)).distinct()
