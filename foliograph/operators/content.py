@@ -56,7 +56,8 @@ def _before():
 
 
 def _after():
-    return _rows(1, Window.unboundedFollowing)
+    """Sections after each, nearest last: a frame that ends at the last row would be read again for every row."""
+    return Window.partitionBy("doc_id").orderBy(F.col("sec_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _unified() -> Column:
@@ -423,8 +424,8 @@ def document_tree(section_rows: DataFrame) -> DataFrame:
         {
             "parent_id": by_level(lambda n: F.last(F.when(level < n, F.col("tag")), True).over(_before())),
             "_two": F.last(F.when(level < 3, level), True).over(_before()),
-            "subtree_end": by_level(lambda n: F.first(F.when(level <= n, F.col("sec_no")), True).over(_after())),
-            "_upto": F.coalesce(by_level(lambda n: F.first(F.when(level <= n, F.col("_sum") - F.col("word_count")), True).over(_after())), total),
+            "subtree_end": by_level(lambda n: F.last(F.when(level <= n, F.col("sec_no")), True).over(_after())),
+            "_upto": F.coalesce(by_level(lambda n: F.last(F.when(level <= n, F.col("_sum") - F.col("word_count")), True).over(_after())), total),
         }
     )
     one = F.max((level == 1).cast("int")).over(_before())
