@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
 from foliograph.operators import content, registry
+from foliograph.sources import scratch
 
 QUIRKS = """lost before the first heading
 ## orphan
@@ -210,3 +211,12 @@ def test_flags_raw_and_stripped(spark):
 def test_empty_tables(spark):
     none = table(spark, "x").limit(0)
     assert content.document_tree(content.sections(none)).count() == 0 and content.blocks(content.section_lines(content.corpus_lines(none))).count() == 0
+
+
+def test_runs_are_made_once(spark):
+    """Nothing that comes of runs is in a filter, where they would be made again, and documents are spread over tasks by their number."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'# a\n\ntext **b**\n\n$$ $$\n\n$$x$$' AS text")
+    blocks = content.document_blocks(scratch.spread(docs, "doc_id"))
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "<sup>" in x]
+    assert dict(blocks.groupBy("kind").count().collect()) == {"paragraph": 3000, "equation": 3000}
