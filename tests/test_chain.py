@@ -314,3 +314,14 @@ def test_foreign_paragraphs_exchange_texts_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(1, 50), (2, 1)}
     assert _shuffled(spark) - before < 10 * sum(map(len, words))
+
+
+def test_growing_tables_are_not_broadcast(built, spark, sf):
+    """No join of the plan, of its application or of the checks sends a table that grows with the input to every executor, however small its files are."""
+    c, logical, ops, children, elements = built
+    classified = Q._classified(spark, sf)[3]
+    planned = plan.plan(c.docs, logical, c.sections, c.blocks, c.paras, c.prototypes)
+    checked = checks.run_checks(c.docs, ops, elements, c.paras, c.sections, logical, template.best_prototype(c.prototypes), template.body_format(c.paras), template.body_style(c.paras), classified)
+    for name, df in {"plan": planned, "degrade": plan.degrade_equations(ops, Q._failed(ops))[0], "apply": plan.apply_plan(children, ops), "checks": checked}.items():
+        assert len(df.collect()) > 0, name  # the plan is final then
+        assert name and "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
