@@ -97,3 +97,18 @@ def test_no_profiles_no_titles(spark):
     assert resolved.count() == errors.count() == 0
     nodes = spark.createDataFrame([], "doc_id long, node_id string, profile_id string, title string, first_paragraph string")
     assert roles.router_classify(nodes, resolved, lazy=True).count() == 0
+
+
+def test_grams_that_no_role_has_stay_in_their_row(spark):
+    """They count in a text's norm, but give no row: a text of only such grams has no score, and the default role."""
+    resolved, _ = profiles.resolve_profiles(X.profiles(spark))
+    base = resolved.filter("id = 'base'")
+    texts = roles._keyed(spark.createDataFrame([("base", "qqxq wwzw"), ("base", "method qqxq qqxq"), ("base", "")], "profile_id string, query string"))
+    weights = roles.role_weights(base)
+    scores = roles._scores(texts, weights).collect()
+    assert len(scores) == 1
+    idf = {r["gram"]: r["idf"] for r in weights.collect()}
+    grams = Counter(f" {w} "[i : i + n] for w in ("method", "qqxq", "qqxq") for n in (3, 4, 5) for i in range(len(w) + 3 - n))
+    assert math.isclose(scores[0]["qn"], math.sqrt(sum((n * idf.get(g, 1.0)) ** 2 for g, n in grams.items())), rel_tol=1e-12)
+    best = {r["query"]: (r["role"], r["similarity"]) for r in roles.best_role(texts.select("profile_id", "query"), base).collect()}
+    assert best["qqxq wwzw"] == best[""] == ("generic", 0.0) and best["method qqxq qqxq"][0] == "methodology"
