@@ -10,7 +10,7 @@ units go from every document but its first (the smallest doc_id). Windows are li
 the threshold differ at their ends only, and an edited passage has other windows.
 
 Equal units enter once. A list of colliding units is searched breadth first and yields a link per member, not its pairs; a list above
-CHUNK members is cut into chunks and each pair of chunks is a task's work.
+CHUNK members is cut into chunks and each pair of chunks is a task's work. Joins exchange both sides: no table that grows with the corpus goes through the driver.
 
 Rules for odd rows: null and empty texts have no units; a run of fewer than MIN_WORDS words is never compared; a passage repeated inside one document
 only is left alone; a null doc_id neither loses words nor counts as a first one; rows with the same doc_id are the same document, each with its own text; an empty table gives an empty one; extra columns
@@ -312,20 +312,20 @@ def _repeated(docs: DataFrame, cut: Cut, banded: Cut) -> DataFrame:
     met = scratch.written(bands.mapInArrow(_colliding, "key long, k1 long"), "colliding")
     classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last_doc"), F.bool_or(F.col("bands").isNotNull()).alias("banded"))
     classes = scratch.written(classes.filter("banded or doc < last_doc"), "unit_classes")
-    classes = classes.join(met.select(F.col("k1").alias("m1")).distinct(), F.col("k1") == F.col("m1"), "left").filter("m1 is not null or doc < last_doc")
+    classes = classes.join(met.select(F.col("k1").alias("m1")).distinct().hint("merge"), F.col("k1") == F.col("m1"), "left").filter("m1 is not null or doc < last_doc")
     classes = scratch.written(classes, "met_classes")
     wanted = classes.filter("m1 is not null").groupBy(F.col("doc").alias("w_doc")).agg(F.collect_list("k1").alias("wanted"))
-    sets = docs.join(wanted, F.col("doc_id") == F.col("w_doc")).select("wanted", "text").mapInArrow(_shingle_sets(banded), "k1 long, shingles binary")
+    sets = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("w_doc")).select("wanted", "text").mapInArrow(_shingle_sets(banded), "k1 long, shingles binary")
     sets = scratch.written(sets.groupBy("k1").agg(F.any_value("shingles").alias("shingles")), "shingle_sets")
-    pairs = paired_chunks(met, ["key"], "k1", CHUNK).join(sets, "k1")
+    pairs = paired_chunks(met, ["key"], "k1", CHUNK).join(sets.hint("merge"), "k1")
     pairs = pairs.select("key", "i", "j", "side", "k1", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     parts = connected_components(pairs.mapInArrow(_verified, "a long, b long"))
     joined = classes.select("k1", "k2", "doc", "last_doc").join(parts, F.col("k1") == F.col("node"), "left")
     joined = scratch.written(joined.filter("component is not null or doc < last_doc").withColumn("component_id", F.coalesce("component", "k1")).select("k1", "k2", "doc", "component_id"), "repeats")
     firsts = scratch.written(joined.groupBy(F.col("component_id").alias("c")).agg(F.min("doc").alias("first_doc_id")), "firsts")
-    placed = written(joined.join(firsts, F.col("component_id") == F.col("c")).select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "component_id", "first_doc_id"), "placed")
+    placed = written(joined.join(firsts.hint("merge"), F.col("component_id") == F.col("c")).select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "component_id", "first_doc_id"), "placed")
     scratch.clear()
-    out = rows.select("doc_id", "text_crc", "start", "size", "k1", "k2").join(placed, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
+    out = rows.select("doc_id", "text_crc", "start", "size", "k1", "k2").join(placed.hint("merge"), (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
     return out.filter("doc_id > first_doc_id").select("doc_id", "text_crc", "start", "size", "first_doc_id", "component_id")
 
 
@@ -340,7 +340,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     """
     gone = _repeated(docs, document_units, document_units).select("doc_id", "text_crc").distinct()
     row = in_row(docs, id=F.col("doc_id").cast("long"), crc=_text_crc("text")).filter("id is not null")
-    kept = row.join(gone, (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left_anti")
+    kept = row.join(gone.hint("merge"), (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left_anti")
     return out_of_row(one_of_each(kept, docs.columns), docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
@@ -363,7 +363,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """docs without the passages that an earlier document has; all columns stay. White space around a passage stays."""
     gone = repeated_passages(docs).groupBy("doc_id", "text_crc").agg(F.collect_set(F.struct("start", "size")).alias("ranges"))
     row = in_row(docs, id=F.col("doc_id").cast("long"), crc=_text_crc("text"))
-    joined = row.join(gone, (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left")
+    joined = row.join(gone.hint("merge"), (F.col("id") == gone["doc_id"]) & (F.col("crc") == gone["text_crc"]), "left")
     return out_of_row(joined, docs.columns, text=F.pandas_udf(_without, "string")(F.col("row.text").cast("string"), F.col("ranges")))
 
 

@@ -41,6 +41,29 @@ def test_components_of_chains_stars_and_odd_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def _executions(spark):
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {(e := listed.apply(i)).executionId(): e.physicalPlanDescription() for i in range(listed.size())}
+
+
+def test_components_send_no_growing_table_through_the_driver(spark):
+    """No round broadcasts, however small its edges are, and the size that Spark estimates stays that of the edges."""
+    before = max(_executions(spark), default=-1)
+    parts = connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
+    assert parts.filter("component = 0").count() == 61
+    assert int(parts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1_000_000
+    plans = [p for i, p in _executions(spark).items() if i > before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_repeated_passages_broadcast_no_growing_table(spark, odd_docs):
+    before = max(_executions(spark), default=-1)
+    assert paragraphs.repeated_passages(odd_docs).count()
+    plans = [p for i, p in _executions(spark).items() if i > before]
+    joined = [p for p in plans if "BroadcastHashJoin" in p]
+    assert plans and all("_chunks" in p and "LocalTableScan" not in p for p in joined) and len(joined) <= 1  # the counted table of long lists
+
+
 def test_paired_chunks_meet_all_pairs(spark):
     rows = spark.range(50).selectExpr("id % 2 AS k", "id AS v")
     out = paired_chunks(rows, ["k"], "v", 7).collect()
