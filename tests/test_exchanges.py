@@ -1,15 +1,39 @@
 """What is left on disk and what is exchanged: tables that are written leave no shuffle files, and texts aren't exchanged where only a part of them is needed."""
 
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
 from foliograph.operators import readback
+from foliograph.plans import queries as Q
+from foliograph.sources.scratch import shared_dir, written
 
 from .test_chain import _shuffled
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    assert written(spark.range(1000).repartition(3, "id"), "some").count() == 1000
+    late = time.time() + 20
+    while (left := {f for f in _shuffle_files(spark) - before if f.endswith(".data")}) and time.time() < late:
+        time.sleep(0.2)
+    assert len(left) <= 4, left  # those of the count
+
+
+def test_chain_deletes_the_corpus_that_nothing_reads_again(spark, sf):
+    assert Q.chain(spark, sf).docs.count() > 0
+    folder = shared_dir(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("md-")] and [x for x in os.listdir(folder) if x.startswith("blocks-")]
+
+
 def _long(n: int, seed: int) -> str:
     r = random.Random(seed)
     return "".join(chr(r.randrange(97, 123)) for _ in range(n))
