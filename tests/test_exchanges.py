@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.operators import readback
+from foliograph.operators import checks, readback
 from foliograph.plans import queries as Q
 from foliograph.sources.scratch import shared_dir, written
 
@@ -49,6 +49,18 @@ def _merged(spark, f):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_checks_exchange_the_beginnings_of_texts(spark):
+    docs = spark.createDataFrame([(1, 1)], "doc_id long, template_id long")
+    texts = [_long(20_000, i) for i in range(40)]
+    e = spark.createDataFrame([(1, i, "para", f"p{i}", "Normal", t, "exact") for i, t in enumerate([*texts, "  "])], "doc_id long, seq int, kind string, para_id string, style string, text string, line_rule string")
+    styles = spark.createDataFrame([(1, "Normal")], "template_id long, body_style string")
+    formats = spark.createDataFrame([(1, {"lineSpacing": "1.5", "lineRule": "auto"})], "template_id long, body_format map<string,string>")
+    s6, moved = _merged(spark, lambda: checks.line_spacing(docs, e, formats, styles).first())
+    assert not s6["passed"] and s6["details"][0] == f"{texts[0][:30]}: exact line height, the template has auto" and moved < 100_000
+    s5, moved = _merged(spark, lambda: checks.trailing_empties(docs, e.withColumn("style", F.lit("Other")), styles).first())
+    assert s5["message"] == "1 empty paragraphs near the end" and moved < 100_000
+
+
 def test_front_matter_exchanges_no_texts(spark):
     e = [(1, i, "para", "Heading1" if i == 30 else "Normal", "" if i == 3 else _long(20_000, i)) for i in range(40)] + [(2, 1, "para", "Normal", "no heading"), (3, 1, "para", "Heading2", "x")]
     got, moved = _merged(spark, lambda: {(r["doc_id"], r["n"]) for r in readback.front_matter_count(spark.createDataFrame(e, "doc_id long, seq int, kind string, style string, text string")).collect()})
